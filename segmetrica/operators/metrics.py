@@ -163,7 +163,9 @@ def leave_one_family_out(
     before = n_gt / n_neg - (F.lit(1.0) - tp0 / n_pos)
     agg = pts.groupBy(*fk).agg(
         F.min(F.when(both, F.least(cand(F.col("n_ge"), F.col("tp")), cand(n_gt, tp0)))).alias("best"),
-        F.min(F.when(both & (before > 0), F.col("tp") - F.col("pos"))).alias("cross_tp"),
+        F.min(F.when(both & (before > 0), tp0)).alias("cross_tp"),
+        F.max(F.when(both & (before <= 0), F.col("n_ge"))).alias("from_fp"),
+        F.min(F.when(both & (before > 0), n_gt)).alias("to_fp"),
         F.max("n_pos").alias("n_pos"),
         F.max("n_neg").alias("n_neg"),
         F.sum(F.col("pos") * (n_neg - F.col("n_ge") + F.col("n_eq") * 0.5)).alias("wins"),
@@ -198,46 +200,31 @@ def leave_one_family_out(
         lambda b: (b["lo"] / F.col("n_neg") <= F.col("miss")) & (b["hi"] / F.col("n_neg") > F.col("miss")),
     )
     placed = placed.withColumn("hit", F.get(hit, F.lit(0))).drop("spans")
-    spotted = placed.filter(F.col("hit").isNotNull()).select(
-        *fk, F.col("hit._b").alias("_b"), F.col("hit.lo").alias("lo"), "miss", F.col("n_neg").alias("nn")
+    placed = placed.select("*", F.col("hit._b").alias("_b"), F.col("hit.lo").alias("lo")).drop("hit")
+    inner = join_back(placed, reals.select(*keys, "_b", F.col("n_ge").alias("fp")), [*keys, "_b"], "left")
+    rate = F.col("fp") / n_neg
+    carried = [c for c in placed.columns if c not in (*fk, "_b")]
+    near = inner.groupBy(*fk).agg(
+        *[F.first(c).alias(c) for c in carried],
+        F.min(F.when(rate > F.col("miss"), F.col("fp"))).alias("up"),
+        F.max(F.when(rate <= F.col("miss"), F.col("fp"))).alias("down"),
     )
-    inner = join_back(spotted, reals.select(*keys, "_b", "n_ge", "n_eq"), [*keys, "_b"])
 
     def at(fp):
-        fpr, fnr = fp / F.col("nn"), F.col("miss")
+        fpr, fnr = fp / n_neg, F.col("miss")
         return F.struct(
             F.abs(fpr - fnr).alias("gap"), fpr.alias("fpr"), (-fnr).alias("fnr"), ((fpr + fnr) / 2.0).alias("eer")
         )
 
-    # Only points that exist at this miss rate count: the first rate above it, and the
-    # last one not above it (which may be the family point itself, already in `best`).
-    rate = F.col("n_ge") / F.col("nn")
-    near = inner.groupBy(*fk).agg(
-        F.min(F.when(rate > F.col("miss"), F.col("n_ge"))).alias("up"),
-        F.max(F.when(rate <= F.col("miss"), F.col("n_ge"))).alias("down"),
-        F.max("lo").alias("lo"),
-        F.max("miss").alias("miss"),
-        F.max("nn").alias("nn"),
-    )
-    near = near.select(
-        *fk, "miss", "nn", "up", F.coalesce("down", "lo").alias("down")
-    )
-    # A candidate below the family's previous score would have another miss rate; keep
-    # those between the previous family point and the next one only.
-    bounds = pts.select(*fk, "tp", "n_ge", n_gt.alias("n_gt"), tp0.alias("tp0"))
-    edge = join_back(bounds, target.select(*fk, "cross_tp"), fk).groupBy(*fk).agg(
-        F.max(F.when(F.col("tp") == F.col("cross_tp"), F.col("n_ge"))).alias("from_fp"),
-        F.min(F.when(F.col("tp0") == F.col("cross_tp"), F.col("n_gt"))).alias("to_fp"),
-    )
-    near = join_back(near, edge, fk)
+    # Points outside this stretch have another miss rate and are already in `best`.
     from_fp = F.coalesce("from_fp", F.lit(0))
-    to_fp = F.coalesce("to_fp", F.col("nn"))
-    near = near.select(
-        *fk,
+    to_fp = F.coalesce("to_fp", n_neg)
+    down = F.coalesce("down", "lo")
+    out = near.select(
+        "*",
         F.when((F.col("up") >= from_fp) & (F.col("up") <= to_fp), at(F.col("up"))).alias("c_up"),
-        F.when((F.col("down") >= from_fp) & (F.col("down") <= to_fp), at(F.col("down"))).alias("c_down"),
+        F.when((down >= from_fp) & (down <= to_fp), at(down)).alias("c_down"),
     )
-    out = join_back(placed.drop("hit"), near, fk, "left")
     start = F.struct(
         F.lit(1.0).alias("gap"), F.lit(0.0).alias("fpr"), F.lit(-1.0).alias("fnr"), F.lit(0.5).alias("eer")
     )

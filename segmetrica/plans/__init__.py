@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "segments")
 
 
 def load_all():
