@@ -23,30 +23,38 @@ SIGNAL_FIELDS = (
 )
 
 
-def _gated(name: str) -> list[tuple[str, Column]]:
+def _logit_of(name: str, *factors: str):
+    """Clipped logit of a column, or of a product of columns."""
+    def build() -> Column:
+        p = F.col(factors[0])
+        for f in factors[1:]:
+            p = p * F.col(f)
+        return A.logit(p)
+
+    return name, build
+
+
+def _gated(name: str) -> list:
     """A probability and its product with voice presence."""
-    return [
-        (f"logit_{name}", A.logit(F.col(name))),
-        (f"logit_vp_{name}", A.logit(F.col("voice_present") * F.col(name))),
-    ]
+    return [_logit_of(f"logit_{name}", name), _logit_of(f"logit_vp_{name}", "voice_present", name)]
 
 
-def _base() -> list[tuple[str, Column]]:
-    plain = [(f"logit_{n}", A.logit(F.col(n))) for n in SCORE_FIELDS]
-    return plain + [(f"logit_{a}_x_{b}", A.logit(F.col(a) * F.col(b))) for a, b in INTERACTIONS]
+def _base() -> list:
+    plain = [_logit_of(f"logit_{n}", n) for n in SCORE_FIELDS]
+    return plain + [_logit_of(f"logit_{a}_x_{b}", a, b) for a, b in INTERACTIONS]
 
 
-def score_stats(scores: str, prefix: str, sort: bool = False) -> list[tuple[str, Column]]:
+def _score_stats(scores: str, prefix: str, sort: bool = False) -> list:
     """Mean, max and range of one to three scores, the first two also gated."""
-    values = F.array_sort(scores) if sort else F.col(scores)
-    mean, top = A.array_mean(values), F.array_max(scores)
-    vp = F.col("voice_present")
+    mean = lambda: A.array_mean(F.array_sort(scores) if sort else F.col(scores))
+    top = lambda: F.array_max(scores)
+    vp = lambda: F.col("voice_present")
     return [
-        (f"logit_{prefix}_mean", A.logit(mean)),
-        (f"logit_vp_{prefix}_mean", A.logit(vp * mean)),
-        (f"logit_{prefix}_max", A.logit(top)),
-        (f"logit_vp_{prefix}_max", A.logit(vp * top)),
-        (f"range_{prefix}", top - F.array_min(scores)),
+        (f"logit_{prefix}_mean", lambda: A.logit(mean())),
+        (f"logit_vp_{prefix}_mean", lambda: A.logit(vp() * mean())),
+        (f"logit_{prefix}_max", lambda: A.logit(top())),
+        (f"logit_vp_{prefix}_max", lambda: A.logit(vp() * top())),
+        (f"range_{prefix}", lambda: top() - F.array_min(scores)),
     ]
 
 
@@ -54,63 +62,72 @@ def _r10(x: Column) -> Column:
     return F.round(x, A.ROUND_PLACES)
 
 
-def _support() -> list[tuple[str, Column]]:
-    v = _r10(F.col("voice38"))
-    sv = _r10(_r10(F.col("voice_present")) * v)
-    sm = _r10(_r10(F.col("music_present")) * _r10(F.col("music17")))
+def _support() -> list:
+    voice = lambda: _r10(F.col("voice38"))
+    gated_voice = lambda: _r10(_r10(F.col("voice_present")) * voice())
+    gated_music = lambda: _r10(_r10(F.col("music_present")) * _r10(F.col("music17")))
     return [
-        ("logit_voice38", A.logit(v)),
-        ("logit_support_voice", A.logit(sv)),
-        ("logit_support_music", A.logit(sm)),
-        ("logit_support_max", A.logit(F.greatest(sv, sm))),
+        ("logit_voice38", lambda: A.logit(voice())),
+        ("logit_support_voice", lambda: A.logit(gated_voice())),
+        ("logit_support_music", lambda: A.logit(gated_music())),
+        ("logit_support_max", lambda: A.logit(F.greatest(gated_voice(), gated_music()))),
     ]
 
 
-def _consistency() -> list[tuple[str, Column]]:
-    v, m = _r10(F.col("voice38")), _r10(F.col("music17"))
-    one = F.lit(1.0)
+def _consistency() -> list:
+    r = lambda c: _r10(F.col(c))
+    absent = lambda c, p: _r10(r(c) * (F.lit(1.0) - r(p)))
     return [
-        ("logit_file29", A.logit(_r10(F.col("file29")))),
-        ("logit_disagreement", A.logit(_r10(F.abs(v - m)))),
-        ("logit_voice_absent", A.logit(_r10(v * (one - _r10(F.col("voice_present")))))),
-        ("logit_music_absent", A.logit(_r10(m * (one - _r10(F.col("music_present")))))),
+        ("logit_file29", lambda: A.logit(r("file29"))),
+        ("logit_disagreement", lambda: A.logit(_r10(F.abs(r("voice38") - r("music17"))))),
+        ("logit_voice_absent", lambda: A.logit(absent("voice38", "voice_present"))),
+        ("logit_music_absent", lambda: A.logit(absent("music17", "music_present"))),
     ]
 
 
-def feature_set(name: str) -> list[tuple[str, Column]]:
-    """(name, column) pairs in the fixed order of the set; sets nest by prefix."""
+def _plain(name: str, source: str | None = None):
+    return name, lambda: F.col(source or name).cast("double")
+
+
+def _definitions(name: str) -> list:
     base = _base()
-    evidence = base + _gated("eliya_fake") + score_stats("spectra_scores", "spectra")
-    stacked = evidence + [("logit_music17", A.logit(F.col("music17")))]
+    evidence = base + _gated("eliya_fake") + _score_stats("spectra_scores", "spectra")
+    stacked = evidence + [_logit_of("logit_music17", "music17")]
     support = stacked + _support()
-    sets = {
+    spectra = {n: f for n, f in _score_stats("spectra_scores", "spectra")}
+    return {
         "file17": base,
         "music17": base,
         "peak19": base + _gated("df_voice_max"),
         "aux19": base + _gated("nes2_fake"),
-        "signal22": base + [(f, F.col(f)) for f in SIGNAL_FIELDS],
+        "signal22": base + [_plain(f) for f in SIGNAL_FIELDS],
         "evidence24": evidence,
         "music24": evidence,
-        "temporal29": evidence + score_stats("eliya_scores", "eliya", sort=True),
+        "temporal29": evidence + _score_stats("eliya_scores", "eliya", sort=True),
         "stacked25": stacked,
         "support29": support,
         "mms31": support + _gated("mms_fake"),
         "nes31": support + _gated("nes2_fake"),
-        "raw31": support + [("logit_raw_mean", A.logit(F.col("raw_df_mean"))), ("logit_raw_max", A.logit(F.col("raw_df_max")))],
+        "raw31": support + [_logit_of("logit_raw_mean", "raw_df_mean"), _logit_of("logit_raw_max", "raw_df_max")],
         "consistency33": support + _consistency(),
-        "margin18": base + [("margin", F.col("margin").cast("double"))],
+        "margin18": base + [_plain("margin")],
         "voice8": [
-            ("logit_df_voice_mean", A.logit(F.col("df_voice_mean"))),
-            ("logit_nii", A.logit(F.col("nii"))),
-            ("logit_eliya_fake", A.logit(F.col("eliya_fake"))),
-            ("logit_spectra_mean", A.logit(A.array_mean(F.col("spectra_scores")))),
-            ("logit_spectra_max", A.logit(F.array_max("spectra_scores"))),
-            ("logit_voice_present", A.logit(F.col("voice_present"))),
-            ("logit_voice44", A.logit(F.col("voice44"))),
-            ("range_spectra", F.array_max("spectra_scores") - F.array_min("spectra_scores")),
+            *[_logit_of(f"logit_{n}", n) for n in ("df_voice_mean", "nii", "eliya_fake")],
+            ("logit_spectra_mean", spectra["logit_spectra_mean"]),
+            ("logit_spectra_max", spectra["logit_spectra_max"]),
+            *[_logit_of(f"logit_{n}", n) for n in ("voice_present", "voice44")],
+            ("range_spectra", spectra["range_spectra"]),
         ],
-    }
-    return sets[name]
+    }[name]
+
+
+def feature_names(name: str) -> list[str]:
+    return [n for n, _ in _definitions(name)]
+
+
+def feature_set(name: str) -> list[tuple[str, Column]]:
+    """(name, column) pairs in the fixed order of the set; sets nest by prefix."""
+    return [(n, build()) for n, build in _definitions(name)]
 
 
 def complete(name: str) -> Column:

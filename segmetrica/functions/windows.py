@@ -26,18 +26,24 @@ def tumbling_starts(n: Column, width: int = SEGMENT_SAMPLES) -> Column:
     return sliding_starts(n, width, width)
 
 
-def cap_evenly(starts: Column, limit: int = MAX_WINDOWS) -> Column:
-    """At most ``limit`` starts, spread evenly over the file (half-even rounding)."""
-    count = F.size(starts)
-    picks = F.array_distinct(
+def capped_sliding_starts(
+    n: Column, width: int = WINDOW_SAMPLES, hop: int = HOP_SAMPLES, limit: int = MAX_WINDOWS
+) -> Column:
+    """Sliding starts, at most ``limit`` of them, spread evenly (half-even rounding).
+
+    Start k is min(k * hop, last), so only the kept indices are ever built.
+    """
+    n = n.cast("long")
+    last = F.greatest(n - F.lit(width), F.lit(0)).cast("long")
+    top = F.ceil(last / F.lit(hop)).cast("long")  # index of the last start
+    picks = F.when(top < limit, F.sequence(F.lit(0).cast("long"), top)).otherwise(
         F.transform(
-            F.sequence(F.lit(0), F.lit(limit - 1)),
-            lambda i: F.rint(i * ((count - 1) / F.lit(float(limit - 1)))).cast("int"),
+            F.sequence(F.lit(0).cast("long"), F.lit(limit - 1).cast("long")),
+            lambda i: F.rint(i * (top / F.lit(float(limit - 1)))).cast("long"),
         )
     )
-    return F.when(count <= limit, starts).otherwise(
-        F.transform(picks, lambda k: F.element_at(starts, k + 1))
-    )
+    starts = F.transform(F.array_distinct(picks), lambda k: F.least(k * hop, last))
+    return F.when(n.isNotNull(), starts)
 
 
 def first_middle_last(n: Column, width: int = SEGMENT_SAMPLES) -> Column:

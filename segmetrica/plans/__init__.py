@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("evaluation", "segments")
+MODULES = ("evaluation", "segments", "scoring")
 
 
 def load_all():

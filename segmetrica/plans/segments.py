@@ -84,7 +84,7 @@ SELECT r.file_id, count(*)::BIGINT AS windows, sum(start)::BIGINT AS start_sum,
 FROM r LEFT JOIN k ON k.file_id=r.file_id AND k.i=r.i WHERE c <= 150 OR k.i IS NOT NULL GROUP BY 1""")
 def sliding_starts_capped(spark, sf):
     return _per_file(lengths(spark, sf).select(
-        "file_id", F.explode(N.cap_evenly(N.sliding_starts(F.col("n")))).alias("start")
+        "file_id", F.explode(N.capped_sliding_starts(F.col("n"))).alias("start")
     ))
 
 
