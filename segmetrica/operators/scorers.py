@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,48 +35,59 @@ def linear_score_array(df: DataFrame, vector: str, mean: Column, scale: Column,
     return df.withColumn(out, A.sigmoid(A.dot(x, coef) + F.lit(float(intercept))))
 
 
-def _tree_value(tree: Mapping, features: Sequence[str], node: int = 0, depth: int = 0) -> Column:
-    left, right = tree["children_left"][node], tree["children_right"][node]
-    if left == LEAF:
-        return F.lit(float(tree["value"][node]))
-    if depth >= 8 or not node < left or not node < right:
-        raise ValueError("malformed tree")
-    # Inputs are rounded to float32, then compared as doubles; equal goes left.
-    x = F.col(features[tree["feature"][node]])
-    return F.when(x <= F.lit(float(tree["threshold"][node])), _tree_value(tree, features, left, depth + 1)).otherwise(
-        _tree_value(tree, features, right, depth + 1)
-    )
+def flatten_tree(tree: Mapping) -> dict:
+    """A tree of depth <= 2 as two levels of splits and four leaf values.
+
+    A leaf above the last level becomes a split both sides of which give its value.
+    """
+    left, right = tree["children_left"], tree["children_right"]
+
+    def split(node: int) -> tuple[int, float]:
+        return (tree["feature"][node], float(tree["threshold"][node])) if left[node] != LEAF else (0, 0.0)
+
+    def leaf(node: int) -> float:
+        if left[node] != LEAF:
+            raise ValueError("tree is deeper than two levels")
+        return float(tree["value"][node])
+
+    def pair(node: int) -> tuple[float, float]:
+        return (leaf(left[node]), leaf(right[node])) if left[node] != LEAF else (leaf(node), leaf(node))
 
+    a, b = (left[0], right[0]) if left[0] != LEAF else (0, 0)
+    (f0, t0), (f1, t1), (f2, t2) = split(0), split(a), split(b)
+    (v0, v1), (v2, v3) = pair(a), pair(b)
+    return dict(f0=f0, t0=t0, f1=f1, t1=t1, f2=f2, t2=t2, v0=v0, v1=v1, v2=v2, v3=v3)
 
-def tree_score(df: DataFrame, set_name: str, model: Mapping, out: str, checked: bool = True) -> DataFrame:
+
+TREE_TYPE = "array<struct<f0:int,t0:double,f1:int,t1:double,f2:int,t2:double,v0:double,v1:double,v2:double,v3:double>>"
+
+
+def tree_score(df: DataFrame, set_name: str, model: Mapping, out: str) -> DataFrame:
     """Score one feature set with a boosted-tree export; NULL where inputs are incomplete.
 
-    The model is a bounded constant (at most MAX_TREES small trees), compiled into the
-    projection: no join, no shuffle.
+    The model is a bounded constant (at most MAX_TREES small trees) folded into the
+    projection: no join, no shuffle. Inputs are rounded to float32 and compared as
+    doubles; equal goes left.
     """
     trees = model["trees"]
     if not 1 <= len(trees) <= MAX_TREES:
         raise ValueError("tree count out of bounds")
-    pairs = feature_set(set_name)
-    names = [f"_x{i}" for i in range(len(pairs))]
     keep = df.columns
-    wide = df.select("*", (complete(set_name) if checked else F.lit(True)).alias("_ok"),
-                     *[c.cast("float").cast("double").alias(n) for n, (_, c) in zip(names, pairs)])
-    # Partial sums keep the generated methods small.
-    chunks = [trees[i:i + 8] for i in range(0, len(trees), 8)]
-    rate = F.lit(float(model["learning_rate"]))
-    sums = []
-    for chunk in chunks:
-        total = None
-        for tree in chunk:
-            v = _tree_value(tree, names)
-            total = v if total is None else total + v
-        sums.append(total)
-    wide = wide.select(*keep, "_ok", *[s.alias(f"_s{i}") for i, s in enumerate(sums)])
-    raw = F.lit(float(model["initial_log_odds"]))
-    for i in range(len(sums)):
-        raw = raw + rate * F.col(f"_s{i}")
-    return wide.select(*keep, F.when(F.col("_ok"), A.sigmoid(raw)).alias(out))
+    values = F.array(*[c for _, c in feature_set(set_name)])
+    # The transform keeps the array a computed column, so it is built once per row.
+    wide = df.select(
+        "*", complete(set_name).alias("_ok"),
+        F.transform(values, lambda v: v.cast("float").cast("double")).alias("_x"),
+    )
+    constant = json.dumps([flatten_tree(t) for t in trees])
+    raw = F.expr(
+        f"""aggregate(from_json('{constant}', '{TREE_TYPE}'), {float(model["initial_log_odds"])!r}D,
+          (z, t) -> z + {float(model["learning_rate"])!r}D * CASE
+            WHEN _x[t.f0] <= t.t0 THEN CASE WHEN _x[t.f1] <= t.t1 THEN t.v0 ELSE t.v1 END
+            ELSE CASE WHEN _x[t.f2] <= t.t2 THEN t.v2 ELSE t.v3 END END)"""
+    )
+    wide = wide.select(*keep, F.when(F.col("_ok"), raw).alias("_raw"))
+    return wide.select(*keep, A.sigmoid(F.col("_raw")).alias(out))
 
 
 def tree_nodes(spark, model: Mapping, model_id: str = "model") -> DataFrame:

@@ -110,16 +110,20 @@ SCORE_FIELDS = (
 def score13(spark: SparkSession, sf: str) -> DataFrame:
     """The 13 scores plus evidence arrays and the later-stage scores, one row per file."""
     li = table(spark, sf, "lineitem")
-    s = F.col("l_quantity") / 50
+    # Whole-number sums keep the means exact whatever the order of addition; 51 and 10.3
+    # keep them away from decimal ties when results are rounded.
+    s = F.col("l_quantity")
+    mean = lambda c: F.avg(F.when(c, s)) / 51
+    top = lambda c: F.max(F.when(c, s)) / 51
     voice, music = F.col("l_returnflag") == "A", F.col("l_returnflag") == "N"
     pooled = li.groupBy(F.col("l_orderkey").alias("file_id")).agg(
-        F.round(F.avg(F.when(voice, s)), 10).alias("vmean"),
-        F.max(F.when(voice, s)).alias("vmax"),
-        F.round(F.avg(F.when(music, s)), 10).alias("mmean"),
-        F.max(F.when(music, s)).alias("mmax"),
-        F.max(F.when(~voice & ~music, s)).alias("xmax"),
-        F.round(F.avg(F.when(~voice & ~music, s)), 10).alias("xmean"),
-        F.round(F.avg("l_discount") * 10, 10).alias("disc"),
+        mean(voice).alias("vmean"),
+        top(voice).alias("vmax"),
+        mean(music).alias("mmean"),
+        top(music).alias("mmax"),
+        top(~voice & ~music).alias("xmax"),
+        mean(~voice & ~music).alias("xmean"),
+        (F.avg(F.rint(F.col("l_discount") * 100)) / 10.3).alias("disc"),
     )
     fid = F.col("file_id")
     zero = F.lit(0.0)
@@ -171,13 +175,13 @@ def score13(spark: SparkSession, sf: str) -> DataFrame:
 
 SCORE13 = f"""{ITEMS}, pooled13 AS (
   SELECT l_orderkey AS file_id,
-    round(avg(CASE WHEN l_returnflag='A' THEN l_quantity/50 END), 10) AS vmean,
-    max(CASE WHEN l_returnflag='A' THEN l_quantity/50 END) AS vmax,
-    round(avg(CASE WHEN l_returnflag='N' THEN l_quantity/50 END), 10) AS mmean,
-    max(CASE WHEN l_returnflag='N' THEN l_quantity/50 END) AS mmax,
-    max(CASE WHEN l_returnflag NOT IN ('A','N') THEN l_quantity/50 END) AS xmax,
-    round(avg(CASE WHEN l_returnflag NOT IN ('A','N') THEN l_quantity/50 END), 10) AS xmean,
-    round(avg(l_discount)*10, 10) AS disc
+    avg(CASE WHEN l_returnflag='A' THEN l_quantity END)/51e0 AS vmean,
+    max(CASE WHEN l_returnflag='A' THEN l_quantity END)/51e0 AS vmax,
+    avg(CASE WHEN l_returnflag='N' THEN l_quantity END)/51e0 AS mmean,
+    max(CASE WHEN l_returnflag='N' THEN l_quantity END)/51e0 AS mmax,
+    max(CASE WHEN l_returnflag NOT IN ('A','N') THEN l_quantity END)/51e0 AS xmax,
+    avg(CASE WHEN l_returnflag NOT IN ('A','N') THEN l_quantity END)/51e0 AS xmean,
+    avg(round_even(l_discount*100,0))/10.3e0 AS disc
   FROM lineitem GROUP BY 1),
 score13a AS (
   SELECT items.*, coalesce(vmean,0e0) AS df_voice_mean, coalesce(vmax,0e0) AS df_voice_max,

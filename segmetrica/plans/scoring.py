@@ -20,7 +20,7 @@ L, SG, LB = B.sql_logit, B.sql_sigmoid, B.sql_logit_blend
 
 @query("score_algebra", f"""WITH {B.SCORE13} SELECT file_id, round({L('df_voice_mean')},7)+0e0 AS logit_p, round({SG('(spectra-0.5)*20')},8) AS sig,
  round(0.375e0*df_voice_mean+0.625e0*spectra,8) AS lin, round({LB('current_voice', 'nii', 0.2)},8) AS log_blend,
- round(voice_present*df_voice_mean,8) AS gate1, round(pow(voice_present,0.5e0)*df_voice_mean,8) AS gate_half, df_voice_mean AS gate0,
+ round(voice_present*df_voice_mean,8) AS gate1, round(pow(voice_present,0.5e0)*df_voice_mean,8) AS gate_half, round(df_voice_mean,8) AS gate0,
  round(greatest(spectra,nii),8) AS c_max, round(1e0-(1e0-spectra)*(1e0-nii),8) AS c_or, round(least(1e0,spectra+nii),8) AS c_sum, round((spectra+nii)*0.5e0,8) AS c_mean,
  round({SG('-(nii-0.5)*6')},8) AS reversed, round({SG('spectra*3-nii*2')},8) AS softmax0, round(0.5e0+atan((lofcz-0.5)*9)/pi(),8) AS squash FROM score13""")
 def score_algebra(spark, sf):
@@ -47,8 +47,8 @@ def _with_invalid(d):
 
 @query("logit_blend_floor", f"""WITH {B.SCORE13}, b AS (SELECT *, {_BAD} AS bad FROM score13), v AS (SELECT *, bad IS NOT NULL AND NOT isnan(bad) AND bad BETWEEN 0 AND 1 AS ok FROM b),
 m AS (SELECT *, {LB('current_file', 'nii', 0.15)} AS cand FROM v)
-SELECT file_id, ok AS valid, CASE WHEN ok THEN round(greatest(cand, voice_present*bad, music_present*current_music),8) ELSE round(cand,8) END AS floored,
- round(CASE WHEN ok THEN bad ELSE current_voice END,8) AS retained FROM m""")
+SELECT file_id, ok AS valid, CASE WHEN ok THEN round(greatest(cand, voice_present*bad, music_present*current_music),10) ELSE round(cand,10) END AS floored,
+ round(CASE WHEN ok THEN bad ELSE current_voice END,10) AS retained FROM m""")
 def logit_blend_floor(spark, sf):
     d = _with_invalid(B.score13(spark, sf))
     c = F.col
@@ -57,7 +57,7 @@ def logit_blend_floor(spark, sf):
         "file_id", A.is_probability(c("bad")).alias("valid"),
         A.component_floor(cand, c("bad"), c("current_music"), c("voice_present"), c("music_present")).alias("floored"),
         A.retain(c("bad"), c("current_voice")).alias("retained"),
-    ))
+    ), 10)
 
 
 @query("invalid_probabilities", f"""WITH {B.SCORE13}, b AS (SELECT *, {_BAD} AS bad FROM score13)
@@ -131,23 +131,24 @@ def sql_features(name: str) -> list[str]:
 def _register_features(name: str):
     parts = sql_features(name)
     names = feature_names(name)
-    cols = ", ".join(f"round({e},6)+0e0 AS {n}" for n, e in zip(names, parts))
+    cols = ", ".join(f"round({e},5)+0e0 AS {n}" for n, e in zip(names, parts))
 
     @query(f"features_{name}", f"WITH {EVIDENCE} SELECT file_id, {cols} FROM evidence")
     def run(spark, sf):
-        return B.rounded(evidence(spark, sf).select("file_id", *[c.alias(n) for n, c in feature_set(name)]), 6)
+        return B.rounded(evidence(spark, sf).select("file_id", *[c.alias(n) for n, c in feature_set(name)]), 5)
 
 
 def _register_trees(name: str, seed: int):
     n = len(sql_features(name))
     sql_seed = MD.sql_tree("f", n, seed)
-    raw_rule = " AND raw_df_mean <= raw_df_max + 1e-12" if name == "raw31" else ""
+    rule = "raw_df_mean <= raw_df_max + 1e-12" if name == "raw31" else "true"
 
-    @query(f"tree_score_{name}", f"""WITH {EVIDENCE}, f AS (SELECT file_id, [{', '.join(sql_features(name))}]::FLOAT[] AS f FROM evidence WHERE true{raw_rule})
-SELECT file_id, round({sql_seed},7) AS score FROM f""")
+    @query(f"tree_score_{name}", f"""WITH {EVIDENCE}, f AS (SELECT file_id, {rule} AS ok, [{', '.join(sql_features(name))}]::FLOAT[] AS f FROM evidence)
+SELECT file_id, CASE WHEN ok THEN round({sql_seed},7) END AS score FROM f""")
     def run(spark, sf):
         d = S.tree_score(evidence(spark, sf), name, MD.tree_model(n, seed), "score")
-        return B.rounded(d.filter("score IS NOT NULL").select("file_id", "score"), 7)
+        # No filter on the score: it would be pushed down through every projection.
+        return B.rounded(d.select("file_id", "score"), 7)
 
 
 TREE_SETS = {"file17": 1, "peak19": 2, "aux19": 3, "evidence24": 4, "temporal29": 5, "stacked25": 6, "support29": 7, "mms31": 8,
@@ -205,7 +206,7 @@ def _faulty(d):
 
 
 def _stage(name, seed, extra=""):
-    return MD.sql_tree(f"[{', '.join(sql_features(name))}]::FLOAT[]", len(sql_features(name)), seed)
+    return MD.sql_tree(f"([{', '.join(sql_features(name))}]::FLOAT[])", len(sql_features(name)), seed)
 
 
 _FAULTY = f"""{B.SCORE13}, faulty AS (SELECT * REPLACE (CASE WHEN file_id%11<>0 THEN eliya_fake END AS eliya_fake, CASE WHEN file_id%13<>0 THEN lofcz END AS lofcz),
@@ -235,8 +236,8 @@ def _cascade(spark, sf):
   CASE WHEN file_id%5<>0 THEN file29 END AS tf, nii AS tv, music17 AS tm, CASE WHEN file_id%3<>0 THEN spectra END AS ov, CASE WHEN file_id%4<>0 THEN lofcz END AS om FROM evidence),
 a AS (SELECT *, CASE WHEN tf IS NOT NULL THEN round({LB('f0', 'tf', 0.15)},10) ELSE f0 END AS f1 FROM s),
 b AS (SELECT *, round(greatest(f1, vp*v0, mp*m0),10) AS f2, coalesce(round(ov,10),v0) AS v1, coalesce(round(om,10),m0) AS m1 FROM a)
-SELECT file_id, round(f2,8) AS file, round(CASE WHEN tf IS NOT NULL THEN {LB('v1', 'tv', 0.1)} ELSE v1 END,8) AS voice,
- round(CASE WHEN tf IS NOT NULL THEN {LB('m1', 'tm', 0.35)} ELSE m1 END,8) AS music, round(vp,8) AS vp, round(mp,8) AS mp FROM b""")
+SELECT file_id, round(f2,10) AS file, round(CASE WHEN tf IS NOT NULL THEN {LB('v1', 'tv', 0.1)} ELSE v1 END,10) AS voice,
+ round(CASE WHEN tf IS NOT NULL THEN {LB('m1', 'tm', 0.35)} ELSE m1 END,10) AS music, round(vp,10) AS vp, round(mp,10) AS mp FROM b""")
 def publish_outputs(spark, sf):
     c, k = F.col, F.col("file_id")
     d = evidence(spark, sf).select(
@@ -245,7 +246,7 @@ def publish_outputs(spark, sf):
         F.when(k % 5 != 0, c("file29")).alias("tuned_file"), c("nii").alias("tuned_voice"), c("music17").alias("tuned_music"),
         F.when(k % 3 != 0, c("spectra")).alias("out_voice"), F.when(k % 4 != 0, c("lofcz")).alias("out_music"),
     )
-    return B.rounded(S.publish(d).select("file_id", "file", "voice", "music", "vp", "mp"))
+    return B.rounded(S.publish(d).select("file_id", "file", "voice", "music", "vp", "mp"), 10)
 
 
 @query("neutral_fallback", f"""WITH {B.SCORE13} SELECT file_id, CASE WHEN file_id%37=0 THEN 0.5e0 ELSE round(current_file,8) END AS file, CASE WHEN file_id%37=0 THEN 0.5e0 ELSE round(voice_present,8) END AS vp FROM score13""")
@@ -275,9 +276,9 @@ _HEAD = "(-0.2735022303019513e0" + "".join(f"+{c!r}*{_RL(x)}" for c, x in zip(A.
 @query("incumbent_rebuild", f"""WITH {_WSCORES}, wz2 AS (SELECT file_id, sum(presence*{_HEAD})/sum(presence) AS z FROM wscores GROUP BY 1),
 {EVIDENCE},
 r AS (SELECT e.*, z FROM evidence e LEFT JOIN wz2 USING (file_id))
-SELECT file_id, round(greatest(current_file, voice_present*voice38, music_present*music17),8) AS file,
- CASE WHEN z IS NULL THEN round(voice38,8) ELSE round({LB('voice38', '(' + SG('z') + ')', 0.5)},7) END AS voice,
- CASE WHEN file_id%4=0 THEN round(music17,8) ELSE round({LB('music17', 'lofcz', 0.5)},8) END AS music FROM r""")
+SELECT file_id, round(greatest(current_file, voice_present*voice38, music_present*music17),10) AS file,
+ CASE WHEN z IS NULL THEN round(voice38,10) ELSE round({LB('voice38', '(' + SG('z') + ')', 0.5)},7) END AS voice,
+ CASE WHEN file_id%4=0 THEN round(music17,10) ELSE round({LB('music17', 'lofcz', 0.5)},10) END AS music FROM r""")
 def incumbent_rebuild(spark, sf):
     """Published outputs rebuilt from stored windows: head, weighted mean, half blend, floor."""
     w = window_scores(spark, sf)
@@ -289,7 +290,7 @@ def incumbent_rebuild(spark, sf):
     voice = F.when(c("z").isNull(), c("voice38")).otherwise(F.round(A.logit_blend(c("voice38"), A.sigmoid(c("z")), A.SEGMENT_BLEND_WEIGHT), 7))
     music = F.when(c("file_id") % 4 == 0, c("music17")).otherwise(r10(A.logit_blend(c("music17"), c("lofcz"), A.SEGMENT_BLEND_WEIGHT)))
     file = r10(F.greatest(c("current_file"), c("voice_present") * c("voice38"), c("music_present") * c("music17")))
-    return B.rounded(d.select("file_id", file.alias("file"), voice.alias("voice"), music.alias("music")))
+    return B.rounded(d.select("file_id", file.alias("file"), voice.alias("voice"), music.alias("music")), 10)
 
 
 _WIN_FILE = f"""{_WSCORES}, {EVIDENCE}, wf AS (SELECT e.* REPLACE (w_df AS df_voice_mean, w_spectra AS spectra, w_nii AS nii, w_eliya AS eliya_fake, [w_spectra] AS spectra_scores,
