@@ -78,20 +78,37 @@ def pooled_streams(segments: DataFrame, items: DataFrame, key: str = "file_id")
     return d.na.fill(0.0, [f"{s}_{c}" for s in ("voice", "music", "mixture") for c in cols])
 
 
-def formula_score(f: dict) -> Column:
-    """Pool, gate both components, combine, blend the ungated mixture last, clip."""
-    voice = A.gate(F.col("voice_" + column_name(f["voice_pooling"])), F.col("voice_present"), f["voice_exponent"])
-    music = A.gate(F.col("music_" + column_name(f["music_pooling"])), F.col("music_present"), f["music_exponent"])
-    mixed = A.combine(voice, music, f["combine"])
-    if f["mixture_weight"] > 0:
-        mixed = A.linear_blend(mixed, F.col("mixture_" + column_name(f["mixture_pooling"])), f["mixture_weight"])
-    return A.clip(mixed, 0.0, 1.0)
+GRID_TYPE = "array<struct<formula_id:int,v:int,m:int,x:int,combine:string,w:double>>"
 
 
 def score_grid(pooled: DataFrame, grid: Sequence[dict], keep: Sequence[str]) -> DataFrame:
-    """Long form (formula_id, keep..., score): one array of scores per file, exploded."""
-    scores = F.array(*[formula_score(f) for f in grid])
-    return pooled.select(*keep, scores.alias("_s")).select(*keep, F.posexplode("_s").alias("formula_id", "score"))
+    """Long form (keep..., formula_id, score) of every formula.
+
+    Pool, gate both components, combine, blend the ungated mixture last, clip. Gated
+    components are computed once per (pooling, exponent); the parameter list is a bounded
+    constant exploded next to each file, so the generated code does not grow with it.
+    """
+    def axis(pairs):
+        return sorted({p for p in pairs})
+
+    vs = axis((f["voice_pooling"], f["voice_exponent"]) for f in grid)
+    ms = axis((f["music_pooling"], f["music_exponent"]) for f in grid)
+    xs = axis(f["mixture_pooling"] for f in grid)
+    gated = lambda s, ax: F.array(*[
+        A.gate(F.col(f"{s}_{column_name(p)}"), F.col(f"{s}_present"), e) for p, e in ax])
+    rows = json.dumps([
+        dict(formula_id=i, v=vs.index((f["voice_pooling"], f["voice_exponent"])), m=ms.index((f["music_pooling"], f["music_exponent"])),
+             x=xs.index(f["mixture_pooling"]), combine=f["combine"], w=f["mixture_weight"])
+        for i, f in enumerate(grid)
+    ])
+    long = pooled.select(
+        *keep, gated("voice", vs).alias("_v"), gated("music", ms).alias("_m"),
+        F.array(*[F.col("mixture_" + column_name(p)) for p in xs]).alias("_x"),
+        F.explode(F.from_json(F.lit(rows), GRID_TYPE)).alias("f"),
+    ).select(*keep, "f.formula_id", "f.combine", "f.w", F.expr("_v[f.v]").alias("v"), F.expr("_m[f.m]").alias("m"), F.expr("_x[f.x]").alias("x"))
+    mixed = A.combine(F.col("v"), F.col("m"), F.col("combine"))
+    score = F.when(F.col("w") > 0, A.linear_blend(mixed, F.col("x"), F.col("w"))).otherwise(mixed)
+    return long.select(*keep, "formula_id", A.clip(score, 0.0, 1.0).alias("score"))
 
 
 def sweep(pooled: DataFrame, grid: Sequence[dict], n_resamples: int = 1000, seed: int = 42, blend_weight: float = 0.5,

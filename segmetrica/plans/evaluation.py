@@ -175,11 +175,13 @@ SELECT round((f+v+(0.6e0*x+0.4e0*m))/3,8) AS objective FROM p""")
 def selection_objective(spark, sf):
     """Equal-head mean of pooled FILE, pooled VOICE, and 0.6 external + 0.4 pooled MUSIC."""
     c = F.col
+    head = lambda h, y, keep: F.struct(
+        F.lit(h).alias("head"), c(y).alias("label"), c(f"{y}_prob").alias("score"), keep.alias("keep"))
     rows = F.array(
-        F.struct(F.lit("file").alias("head"), c("file_fake").alias("label"), c("file_fake_prob").alias("score"), F.lit(True).alias("keep")),
-        F.struct(F.lit("voice"), c("voice_fake"), c("voice_fake_prob"), c("voice_present") == 1),
-        F.struct(F.lit("music"), c("music_fake"), c("music_fake_prob"), c("music_present") == 1),
-        F.struct(F.lit("external"), c("music_fake"), c("music_fake_prob"), (c("music_present") == 1) & (c("domain") == "BUILDING")),
+        head("file", "file_fake", F.lit(True)),
+        head("voice", "voice_fake", c("voice_present") == 1),
+        head("music", "music_fake", c("music_present") == 1),
+        head("external", "music_fake", (c("music_present") == 1) & (c("domain") == "BUILDING")),
     )
     long = _labels(spark, sf).select(F.explode(rows).alias("h")).select("h.*").filter("keep AND label IS NOT NULL")
     e = M.eer(long, ["head"])
@@ -337,7 +339,7 @@ def file_pool_eval(spark, sf):
     s = lambda z: F.round(A.sigmoid(F.col(z)), 7)
     pools = F.array(*[F.struct(F.lit(n).alias("pool"), s(z).alias("score")) for n, z in (("mean", "mean"), ("max", "mx"), ("lse1", "lse_0"))])
     d = p.join(B.items(spark, sf).select("file_id", "file_fake", "voice_fake"), "file_id").select("file_fake", "voice_fake", F.explode(pools).alias("p"))
-    heads = F.array(F.struct(F.lit("file").alias("head"), F.col("file_fake").alias("label")), F.struct(F.lit("voice"), F.col("voice_fake")))
+    heads = F.array(F.struct(F.lit("file").alias("head"), F.col("file_fake").alias("label")), F.struct(F.lit("voice").alias("head"), F.col("voice_fake").alias("label")))
     long = d.select("p.*", F.explode(heads).alias("h")).select("pool", "score", "h.*").filter("label IS NOT NULL")
     e = M.eer(long, ["head", "pool"])
     mean3 = e.filter("pool = 'lse1'").agg(F.lit("all").alias("head"), F.lit("mean_lse1").alias("pool"), F.avg("eer").alias("eer"))

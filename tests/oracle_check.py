@@ -75,7 +75,7 @@ def main(argv):
         except Exception as e:  # noqa: BLE001
             msg = "ERROR " + str(e)[:600]
         failed += not msg.startswith("ok")
-        print(f"{time.time() - t0:6.2f}s {name}: {msg}", flush=True)
+        print(f"\n{time.time() - t0:6.2f}s {name}: {msg}", flush=True)
     print("FAILED", failed, "of", len(names))
     return failed
 
