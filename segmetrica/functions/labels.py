@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed token lists.
 REAL_TOKENS = ("real", "bonafide", "genuine", "0")
@@ -50,7 +51,7 @@ def member_path(track_id: Column, prefix: str = "fma_small") -> Column:
     return F.format_string(f"{prefix}/%03d/%06d.mp3", F.floor(t / 1000), t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """NFKD to ASCII; Spark SQL has no Unicode decomposition."""
     return text.map(

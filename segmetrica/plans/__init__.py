@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("evaluation", "segments", "scoring")
+MODULES = ("evaluation", "segments", "scoring", "provenance")
 
 
 def load_all():
