@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("evaluation", "segments", "scoring", "provenance")
+MODULES = ("evaluation", "segments", "scoring", "provenance", "sampling")
 
 
 def load_all():
