@@ -144,20 +144,24 @@ def rank_formulas(df: DataFrame, metric: str = "worst_family") -> DataFrame:
 WEIGHTS = tuple(round(0.05 * i, 2) for i in range(21))
 
 
-def weight_curve(df: DataFrame, heads: dict[str, tuple[str, str, str | None]], keys: Sequence[str] = (), weights=WEIGHTS) -> DataFrame:
-    """EER of every head at every blend weight, one pass.
+def weight_curve(df: DataFrame, heads: dict, keys: Sequence[str] = (), weights=WEIGHTS, places: int = 7) -> DataFrame:
+    """EER of every head at every blend weight, one pass: (keys, head, w, eer).
 
-    heads: name -> (label column, array-of-scores column aligned with weights, presence column).
+    heads: name -> (label column, function of the weight column giving the score,
+    presence column or None). Weights and heads are a small constant exploded per row.
     """
-    arr = F.array(*[
-        F.struct(F.lit(h).alias("head"), F.col(y).alias("label"), F.col(s).alias("scores"),
-                 (F.col(p) == 1 if p else F.lit(True)).alias("keep"))
-        for h, (y, s, p) in heads.items()
-    ])
-    long = df.select(*keys, F.explode(arr).alias("h")).filter("h.keep AND h.label IS NOT NULL")
-    long = long.select(*keys, F.col("h.head").alias("head"), F.col("h.label").alias("label"), F.posexplode("h.scores").alias("i", "score"))
-    out = M.eer(long, [*keys, "head", "i"])
-    return out.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("i") + 1)).drop("i")
+    cells = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(float(w)).alias("w")) for h in heads for w in weights])
+    long = df.select("*", F.explode(cells).alias("_c")).select(*df.columns, "_c.head", "_c.w")
+    label = score = keep = None
+    for h, (y, fn, p) in heads.items():
+        here = F.col("head") == h
+        parts = (F.col(y).cast("int"), fn(F.col("w")), (F.col(p) == 1) if p else F.lit(True))
+        if label is None:
+            label, score, keep = (F.when(here, x) for x in parts)
+        else:
+            label, score, keep = (acc.when(here, x) for acc, x in zip((label, score, keep), parts))
+    long = long.select(*keys, "head", "w", label.alias("label"), F.round(score, places).alias("score"), keep.alias("keep"))
+    return M.eer(long.filter("keep AND label IS NOT NULL").drop("keep"), [*keys, "head", "w"])
 
 
 def smooth_argmin(curve: DataFrame, keys: Sequence[str]) -> DataFrame:

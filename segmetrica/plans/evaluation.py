@@ -275,12 +275,16 @@ def weight_curves(spark, sf):
     from ..operators import grid as GR
 
     c = F.col
-    d = B.score13(spark, sf)
-    blend = lambda cur, new, w: A.logit_blend(c(cur), c(new), w) if w else c(cur)
-    files = F.array(*[F.round(F.greatest(blend("current_file", "spectra", w), c("voice_present") * c("current_voice"), c("music_present") * c("current_music")), 7) for w in GR.WEIGHTS])
-    voices = F.array(*[F.round(blend("current_voice", "nii", w), 7) for w in GR.WEIGHTS])
-    d = d.select("file_fake", "voice_fake", (c("file_id") % 4 != 0).cast("int").alias("vp"), files.alias("fs"), voices.alias("vs"))
-    return GR.weight_curve(d, {"file": ("file_fake", "fs", None), "voice": ("voice_fake", "vs", "vp")})
+    d = B.score13(spark, sf).select(
+        "file_fake", "voice_fake", (c("file_id") % 4 != 0).cast("int").alias("vp"), "current_file", "current_voice",
+        *[A.ratio_logit(c(x)).alias(f"l_{x}") for x in ("current_file", "spectra", "current_voice", "nii")],
+        F.greatest(c("voice_present") * c("current_voice"), c("music_present") * c("current_music")).alias("floor"))
+    mixed = lambda cur, new, w: F.when(w == 0, c(cur)).otherwise(
+        A.sigmoid((F.lit(1.0) - w) * c(f"l_{cur}") + w * c(f"l_{new}")))
+    return GR.weight_curve(d, {
+        "file": ("file_fake", lambda w: F.greatest(mixed("current_file", "spectra", w), c("floor")), None),
+        "voice": ("voice_fake", lambda w: mixed("current_voice", "nii", w), "vp"),
+    })
 
 
 @query("weight_curve", f"WITH {_WEIGHTED}, {B.sql_eer('wl', ['head', 'w'], 'cv')} SELECT head, w::DOUBLE AS w, round(eer,8) AS eer FROM cv")
