@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,35 +58,38 @@ def flatten_tree(tree: Mapping) -> dict:
     return dict(f0=f0, t0=t0, f1=f1, t1=t1, f2=f2, t2=t2, v0=v0, v1=v1, v2=v2, v3=v3)
 
 
-TREE_TYPE = "array<struct<f0:int,t0:double,f1:int,t1:double,f2:int,t2:double,v0:double,v1:double,v2:double,v3:double>>"
+def _tree_sql(tree: Mapping) -> str:
+    f = flatten_tree(tree)
+    side = lambda i, t, a, b: f"CASE WHEN _x{f[i]} <= {f[t]!r}D THEN {f[a]!r}D ELSE {f[b]!r}D END"
+    return f"CASE WHEN _x{f['f0']} <= {f['t0']!r}D THEN {side('f1', 't1', 'v0', 'v1')} ELSE {side('f2', 't2', 'v2', 'v3')} END"
 
 
 def tree_score(df: DataFrame, set_name: str, model: Mapping, out: str) -> DataFrame:
     """Score one feature set with a boosted-tree export; NULL where inputs are incomplete.
 
-    The model is a bounded constant (at most MAX_TREES small trees) folded into the
-    projection: no join, no shuffle. Inputs are rounded to float32 and compared as
-    doubles; equal goes left.
+    The model is a bounded constant (at most MAX_TREES small trees) written into the
+    projection as CASE expressions: generated code, no join, no shuffle. Inputs are rounded
+    to float32 and compared as doubles; equal goes left.
+
+    Do not filter on the result in the same plan: the optimizer would push the filter down
+    and spell the whole model out again. Filter on the inputs, or after a write.
     """
     trees = model["trees"]
     if not 1 <= len(trees) <= MAX_TREES:
         raise ValueError("tree count out of bounds")
     keep = df.columns
-    values = F.array(*[c for _, c in feature_set(set_name)])
-    # The transform keeps the array a computed column, so it is built once per row.
     wide = df.select(
         "*", complete(set_name).alias("_ok"),
-        F.transform(values, lambda v: v.cast("float").cast("double")).alias("_x"),
-    )
-    constant = json.dumps([flatten_tree(t) for t in trees])
-    raw = F.expr(
-        f"""aggregate(from_json('{constant}', '{TREE_TYPE}'), {float(model["initial_log_odds"])!r}D,
-          (z, t) -> z + {float(model["learning_rate"])!r}D * CASE
-            WHEN _x[t.f0] <= t.t0 THEN CASE WHEN _x[t.f1] <= t.t1 THEN t.v0 ELSE t.v1 END
-            ELSE CASE WHEN _x[t.f2] <= t.t2 THEN t.v2 ELSE t.v3 END END)"""
+        *[c.cast("float").cast("double").alias(f"_x{i}") for i, (_, c) in enumerate(feature_set(set_name))],
     )
-    wide = wide.select(*keep, F.when(F.col("_ok"), raw).alias("_raw"))
-    return wide.select(*keep, A.sigmoid(F.col("_raw")).alias(out))
+    rate = f"{float(model['learning_rate'])!r}D"
+    # Partial sums keep each expression small.
+    parts = [" + ".join(f"{rate} * ({_tree_sql(t)})" for t in trees[i:i + 16]) for i in range(0, len(trees), 16)]
+    wide = wide.select(*keep, "_ok", *[F.expr(p).alias(f"_p{i}") for i, p in enumerate(parts)])
+    raw = F.lit(float(model["initial_log_odds"]))
+    for i in range(len(parts)):
+        raw = raw + F.col(f"_p{i}")
+    return wide.select(*keep, F.when(F.col("_ok"), raw).alias("_raw")).select(*keep, A.sigmoid(F.col("_raw")).alias(out))
 
 
 def tree_nodes(spark, model: Mapping, model_id: str = "model") -> DataFrame:

@@ -169,7 +169,7 @@ def fake_manifest_rows(spark, sf):
     return MF.fake_rows(_reals(spark, sf), bound(spark, sf, "events", FAKES))
 
 
-@query("paired_fakes", f"""WITH {_PAIRS_SQL}, {cte('fk', 'events', FAKES)} SELECT original_audio, path_in_dataset, (row_number() OVER (PARTITION BY original_audio ORDER BY path_in_dataset))::INT AS pos FROM fk WHERE original_audio IN (SELECT original_audio FROM pairs)""")
+@query("paired_fakes", f"""WITH {_PAIRS_SQL}, {cte('fk', 'events', FAKES)} SELECT original_audio, path_in_dataset, row_number() OVER (PARTITION BY original_audio ORDER BY path_in_dataset) AS pos FROM fk WHERE original_audio IN (SELECT original_audio FROM pairs)""")
 def paired_fakes(spark, sf):
     return MF.paired_fakes(bound(spark, sf, "events", FAKES), _pairs(spark, sf)).select("original_audio", "path_in_dataset", "pos")
 

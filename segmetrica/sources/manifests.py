@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import AUDIO_EXTENSIONS, known, parse_label, parse_training_label
+from ..operators.prefix import accumulate
 from ..operators.quality import duplicates, first_wins
 from ..schemas import LEDGER, TEMPLATE
 
@@ -93,13 +94,13 @@ def licence_index(df: DataFrame, wanted: DataFrame, row: str = "row") -> DataFra
 def paired_fakes(df: DataFrame, originals: DataFrame) -> DataFrame:
     """Fakes of wanted originals with their position in path order.
 
-    Positions come from a sorted window over one original's fakes, not from a collected list.
+    Positions are counted in two levels over path prefixes, so an original with very many
+    fakes is shared by many tasks and nothing is collected.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("original_audio").orderBy("path_in_dataset")
     d = df.withColumn("original_audio", F.trim("original_audio")).join(originals.select("original_audio").distinct(), "original_audio", "left_semi")
-    return d.withColumn("pos", F.row_number().over(order))
+    d = accumulate(d.withColumn("_one", F.lit(1)), ["original_audio"], [F.col("path_in_dataset").asc()],
+                   F.substring("path_in_dataset", 1, 24), ["_one"], descending=False)
+    return d.withColumn("pos", F.col("_one_cum")).drop("_one", "_one_cum", "_one_all")
 
 
 def template(spark: SparkSession, path: str, pos: Column | None = None) -> DataFrame:
