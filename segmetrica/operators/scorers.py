@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
-from ..functions.features import complete, feature_set
+from ..functions.features import complete, feature_names, feature_set
 from .prefix import attach
 
 MAX_TREES = 512
@@ -64,32 +64,44 @@ def _tree_sql(tree: Mapping) -> str:
     return f"CASE WHEN _x{f['f0']} <= {f['t0']!r}D THEN {side('f1', 't1', 'v0', 'v1')} ELSE {side('f2', 't2', 'v2', 'v3')} END"
 
 
-def tree_score(df: DataFrame, set_name: str, model: Mapping, out: str) -> DataFrame:
-    """Score one feature set with a boosted-tree export; NULL where inputs are incomplete.
+def tree_scores(df: DataFrame, set_name: str, models: Mapping[str, tuple[str, Mapping]]) -> DataFrame:
+    """Score one feature set with boosted-tree exports: models is out -> (its own set, model).
+
+    Sets nest by prefix, so models of smaller sets share the columns of the larger one. A
+    score is NULL where the inputs of its own set are incomplete.
 
-    The model is a bounded constant (at most MAX_TREES small trees) written into the
+    A model is a bounded constant (at most MAX_TREES small trees) written into the
     projection as CASE expressions: generated code, no join, no shuffle. Inputs are rounded
     to float32 and compared as doubles; equal goes left.
 
     Do not filter on the result in the same plan: the optimizer would push the filter down
     and spell the whole model out again. Filter on the inputs, or after a write.
     """
-    trees = model["trees"]
-    if not 1 <= len(trees) <= MAX_TREES:
-        raise ValueError("tree count out of bounds")
     keep = df.columns
+    sets = sorted({own for own, _ in models.values()})
     wide = df.select(
-        "*", complete(set_name).alias("_ok"),
+        "*", *[complete(own).alias(f"_ok_{own}") for own in sets],
         *[c.cast("float").cast("double").alias(f"_x{i}") for i, (_, c) in enumerate(feature_set(set_name))],
     )
-    rate = f"{float(model['learning_rate'])!r}D"
-    # Partial sums keep each expression small.
-    parts = [" + ".join(f"{rate} * ({_tree_sql(t)})" for t in trees[i:i + 16]) for i in range(0, len(trees), 16)]
-    wide = wide.select(*keep, "_ok", *[F.expr(p).alias(f"_p{i}") for i, p in enumerate(parts)])
-    raw = F.lit(float(model["initial_log_odds"]))
-    for i in range(len(parts)):
-        raw = raw + F.col(f"_p{i}")
-    return wide.select(*keep, F.when(F.col("_ok"), raw).alias("_raw")).select(*keep, A.sigmoid(F.col("_raw")).alias(out))
+    parts, raws, scores = [], [], []
+    for k, (out, (own, model)) in enumerate(models.items()):
+        trees = model["trees"]
+        if not 1 <= len(trees) <= MAX_TREES or feature_names(set_name)[: len(feature_names(own))] != feature_names(own):
+            raise ValueError("model does not fit the feature set")
+        rate = f"{float(model['learning_rate'])!r}D"
+        # Partial sums keep each expression small.
+        sums = [" + ".join(f"{rate} * ({_tree_sql(t)})" for t in trees[i:i + 16]) for i in range(0, len(trees), 16)]
+        parts += [F.expr(p).alias(f"_p{k}_{i}") for i, p in enumerate(sums)]
+        total = " + ".join([f"{float(model['initial_log_odds'])!r}D", *[f"_p{k}_{i}" for i in range(len(sums))]])
+        raws.append(F.expr(f"CASE WHEN _ok_{own} THEN {total} END").alias(f"_raw{k}"))
+        scores.append(A.sigmoid(F.col(f"_raw{k}")).alias(out))
+    wide = wide.select(*keep, *[f"_ok_{own}" for own in sets], *parts)
+    return wide.select(*keep, *raws).select(*keep, *scores)
+
+
+def tree_score(df: DataFrame, set_name: str, model: Mapping, out: str) -> DataFrame:
+    """One model on its own feature set."""
+    return tree_scores(df, set_name, {out: (set_name, model)})
 
 
 def tree_nodes(spark, model: Mapping, model_id: str = "model") -> DataFrame:
@@ -194,29 +206,29 @@ def cascade(df: DataFrame, models: Mapping[str, Mapping]) -> DataFrame:
     Needs the 13 scores, eliya_fake, spectra_scores, voice38. models: file17, file24,
     music17, file25, duration25, native25, support29.
     """
-    d = tree_score(df, "file17", models["file17"], "_c17")
-    d = d.withColumn("ok_17", A.is_probability(F.col("_c17"))).withColumn(
-        "file_17", A.retain(F.col("_c17"), F.col("current_file")))
-    d = tree_score(d, "evidence24", models["file24"], "_c24")
-    d = d.withColumn("ok_24", F.col("ok_17") & A.is_probability(F.col("_c24")))
-    d = d.withColumn("file_24", F.when(F.col("ok_24"), F.col("_c24")).otherwise(F.col("file_17")))
+    c = F.col
+    early = tree_scores(df, "evidence24", {
+        "_c17": ("file17", models["file17"]), "_c24": ("evidence24", models["file24"]), "_m17": ("file17", models["music17"])})
     # MUSIC has its own completeness check and becomes evidence of the later stages.
     before = F.when(
-        A.is_probability(F.col("lofcz")), A.linear_blend(F.col("current_music"), F.col("lofcz"), A.MUSIC_LOFCZ_FINAL_WEIGHT)
-    ).otherwise(F.col("current_music"))
-    d = d.withColumn("music_13", before)
-    d = tree_score(d, "music17", models["music17"], "_m17")
-    d = d.withColumn("music_ok", A.is_probability(F.col("_m17")) & A.is_probability(F.col("music_13")))
-    d = d.withColumn("music17", F.when(F.col("music_ok"), F.col("_m17")).otherwise(F.col("music_13")))
-    ok, score = F.col("ok_24") & F.col("music_ok"), "file_24"
-    for step, set_name, key in (
-        ("25", "stacked25", "file25"), ("25d", "stacked25", "duration25"),
-        ("25n", "stacked25", "native25"), ("29", "support29", "support29"),
-    ):
-        d = tree_score(d, set_name, models[key], f"_c{step}")
-        d = d.withColumn(f"ok_{step}", ok & A.is_probability(F.col(f"_c{step}")))
-        d = d.withColumn(f"file_{step}", F.when(F.col(f"ok_{step}"), F.col(f"_c{step}")).otherwise(F.col(score)))
-        ok, score = F.col(f"ok_{step}"), f"file_{step}"
+        A.is_probability(c("lofcz")), A.linear_blend(c("current_music"), c("lofcz"), A.MUSIC_LOFCZ_FINAL_WEIGHT)
+    ).otherwise(c("current_music"))
+    d = early.select("*", before.alias("music_13"), A.is_probability(c("_c17")).alias("ok_17"))
+    d = d.select(
+        "*", (c("ok_17") & A.is_probability(c("_c24"))).alias("ok_24"),
+        (A.is_probability(c("_m17")) & A.is_probability(c("music_13"))).alias("music_ok"))
+    d = d.select(
+        "*", A.retain(c("_c17"), c("current_file")).alias("file_17"),
+        F.when(c("music_ok"), c("_m17")).otherwise(c("music_13")).alias("music17"))
+    d = d.select("*", F.when(c("ok_24"), c("_c24")).otherwise(c("file_17")).alias("file_24"))
+    d = tree_scores(d, "support29", {
+        "_c25": ("stacked25", models["file25"]), "_c25d": ("stacked25", models["duration25"]),
+        "_c25n": ("stacked25", models["native25"]), "_c29": ("support29", models["support29"])})
+    ok, score = c("ok_24") & c("music_ok"), "file_24"
+    for step in ("25", "25d", "25n", "29"):
+        d = d.select("*", (ok & A.is_probability(c(f"_c{step}"))).alias(f"ok_{step}"))
+        d = d.select("*", F.when(c(f"ok_{step}"), c(f"_c{step}")).otherwise(c(score)).alias(f"file_{step}"))
+        ok, score = c(f"ok_{step}"), f"file_{step}"
     return d.withColumn("file_score", F.col("file_29")).drop(*[c for c in d.columns if c.startswith("_")])
 
 
