@@ -149,7 +149,6 @@ def leave_one_family_out(
     both = (n_pos > 0) & (n_neg > 0)
     n_gt = F.col("n_ge") - F.col("n_eq")
     tp0 = F.col("tp") - F.col("pos")
-    # at = running count of negatives, then of positives: the order along the curve.
     def cand(fp, tp):
         fpr, fnr = fp / n_neg, F.lit(1.0) - tp / n_pos
         return F.struct(
