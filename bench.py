@@ -1,4 +1,4 @@
-"""Headline queries, warm, median of three: prints one JSON line."""
+"""Headline queries, warm, median of BENCH_RUNS timed runs (one by default): prints one JSON line."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def main() -> None:
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     queries = load_all()[0]
