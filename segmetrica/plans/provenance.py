@@ -256,10 +256,11 @@ def _length_scorer():
     return score
 
 
-@query("scored_with_cache", "SELECT CASE WHEN doc_id%2=0 THEN 'cached' WHEN doc_id%31=0 THEN 'ValueError' ELSE 'fresh' END AS outcome, count(*)::BIGINT AS n, round(sum(CASE WHEN doc_id%2=0 THEN 0.25e0 WHEN doc_id%31=0 THEN 0 ELSE (length(text)%97)/96e0 END),6) AS total FROM documents GROUP BY 1")
+@query("scored_with_cache", """WITH d AS (SELECT *, bool_or(doc_id%2=0) OVER (PARTITION BY text) AS hit, min(doc_id::VARCHAR) OVER (PARTITION BY text)::BIGINT AS first FROM documents)
+SELECT CASE WHEN hit THEN 'cached' WHEN first%31=0 THEN 'ValueError' ELSE 'fresh' END AS outcome, count(*)::BIGINT AS n, round(sum(CASE WHEN hit THEN 0.25e0 WHEN first%31=0 THEN 0 ELSE (length(text)%97)/96e0 END),6) AS total FROM d GROUP BY 1""")
 def scored_with_cache(spark, sf):
-    """A user scorer over whole texts: cached rows are reused, failures become rows."""
-    d = B.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.length("text").alias("n"), F.sha2(F.concat_ws("|", "doc_id", "text"), 256).alias("sha256"))
+    """A user scorer over whole texts: equal texts are scored once, cached ones are reused, failures become rows."""
+    d = B.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.length("text").alias("n"), F.sha2("text", 256).alias("sha256"))
     cache = d.filter("CAST(sample_id AS BIGINT) % 2 = 0").select(F.concat_ws(":", F.lit("len"), "sha256").alias("cache_key"), F.lit(0.25).alias("score"))
     scores, _, failures = stores.score_with_cache(d, cache, "len", _length_scorer)
     rows = scores.select(F.when(F.col("cached"), "cached").otherwise("fresh").alias("outcome"), "score").unionByName(failures.select(F.col("error_type").alias("outcome"), F.lit(0.0).alias("score")))

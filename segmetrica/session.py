@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,19 +27,45 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that setting is
-    absent (tests on one machine) is a temporary folder used instead.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose executors
+    are this very process, may go without: it gets a temporary folder, removed at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="segmetrica-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a path; none if the path doesn't exist. Other errors are raised."""
+    store, at = _store(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()) if store.exists(at) else []
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder was committed."""
+    store, at = _store(spark, f"{path}/_SUCCESS")
+    return store.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -45,9 +45,14 @@ def compact(spark: SparkSession, path: str, target: str) -> None:
 
 
 def cache_split(rows: DataFrame, cache: DataFrame, detector: str) -> tuple[DataFrame, DataFrame]:
-    """(hits with score, misses) for rows with a sha256 column; cache(cache_key, score)."""
+    """(hits with score, misses) for rows with a sha256 column; cache(cache_key, score).
+
+    One left join serves both. The cache counts once a key, whatever it holds twice (the smallest score).
+    """
     keyed = rows.withColumn("cache_key", F.concat_ws(":", F.lit(detector), F.col("sha256")))
-    return keyed.join(cache, "cache_key"), keyed.join(cache, "cache_key", "left_anti")
+    once = cache.groupBy("cache_key").agg(F.min("score").alias("score"), F.lit(True).alias("_hit"))
+    found = keyed.join(once, "cache_key", "left")
+    return found.filter("_hit").drop("_hit"), found.filter("_hit IS NULL").drop("_hit", "score")
 
 
 def unscored(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -97,12 +102,14 @@ def run_scorer(rows: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame
 
 
 def score_with_cache(rows: DataFrame, cache: DataFrame, detector: str, make_scorer) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scores, new cache rows, failures). New results are written once, then used three times."""
+    """(scores, new cache rows, failures). Each missing key is scored once, for its smallest sample_id, written once,
+    and given to all rows of that key; the new cache rows have every key once."""
     hits, misses = cache_split(rows, cache, detector)
     path = scratch_path(rows.sparkSession, "scored")
-    run_scorer(misses, make_scorer).write.parquet(path)
+    run_scorer(first_wins(misses, ["cache_key"], ["sample_id"]).select(*misses.columns), make_scorer).write.parquet(path)
     fresh = rows.sparkSession.read.schema(RESULT).parquet(path)
-    ok = fresh.filter("score IS NOT NULL")
+    ok = fresh.filter("score IS NOT NULL").select("cache_key", "score")
+    given = misses.select("cache_key", "sample_id").join(fresh.drop("sample_id"), "cache_key")
     scores = hits.select("sample_id", "score", F.lit(True).alias("cached")).unionByName(
-        ok.select("sample_id", "score", F.lit(False).alias("cached")))
-    return scores, ok.select("cache_key", "score"), fresh.filter("score IS NULL").select("sample_id", "error_type", "message")
+        given.filter("score IS NOT NULL").select("sample_id", "score", F.lit(False).alias("cached")))
+    return scores, ok, given.filter("score IS NULL").select("sample_id", "error_type", "message")

@@ -2,47 +2,115 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import first_wins
+from ..session import complete, folders, remove
 
 
-def _rows(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Table at path, empty before its first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001
+def _run_id(checkpoint: str) -> str:
+    """The same for every restart from one checkpoint."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
+def _scored(spark: SparkSession, table: str, skip: str | None = None) -> list[str]:
+    """Committed batch folders of a score table."""
+    found = (f"{table}/{r}/{b}" for r in folders(spark, table) for b in folders(spark, f"{table}/{r}"))
+    return [p for p in found if p != skip and complete(spark, p)]
+
+
+def read_scores(spark: SparkSession, table: str, schema=None, skip: str | None = None) -> DataFrame:
+    """All scored rows; without a committed batch an empty table, for which a schema is needed."""
+    paths = _scored(spark, table, skip)
+    if not paths:
         return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(*paths)
 
 
-def score_new(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], table: str, checkpoint: str):
-    """Score only rows whose key is not in the score table yet.
+def score_new(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, order: Sequence[str] = ()):
+    """Score only rows whose key is not in the score table yet; of rows with one key in a batch the first by ``order``.
 
-    Each batch writes its own folder, so a batch retried after a failure overwrites itself.
+    A batch writes the folder run=<checkpoint>/batch=<number>, and asks all other committed folders, of this and
+    of earlier runs, which keys are done. So a batch retried after its write finds its own rows undone and writes
+    the same folder again, and a new checkpoint on an existing table scores nothing twice. ``order`` defaults to
+    all other columns. Rows without a key are scored once.
     """
+    run = _run_id(checkpoint)
+
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        todo = df.dropDuplicates([key])
-        done = _rows(spark, f"{table}/*", score(df.limit(0)).schema) if epoch else None
-        if done is not None:
-            todo = todo.join(done.select(key), key, "left_anti")
-        score(todo).write.mode("overwrite").parquet(f"{table}/batch={epoch}")
+        spark, own = df.sparkSession, f"{table}/run={run}/batch={epoch}"
+        todo = first_wins(df, [key], list(order) or [c for c in df.columns if c != key]).select(*df.columns)
+        done = read_scores(spark, table, score(df.limit(0)).schema, own).select(F.col(key).alias("_done"))
+        score(todo.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")).write.mode("overwrite").parquet(own)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_write_wins(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str):
-    """Latest row per key; state is written to a folder per batch, the newest folder is current."""
+def _versions(spark: SparkSession, table: str) -> list[tuple[int, str, int, str]]:
+    """(version, run, batch, folder) of all committed versions, oldest first."""
+    found = []
+    for name in folders(spark, table):
+        number, run, epoch = name.removeprefix("v=").split("-")
+        if complete(spark, f"{table}/{name}"):
+            found.append((int(number), run, int(epoch), name))
+    return sorted(found)
+
+
+def _newest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, list[str]]:
+    """Folders that hold each part of the state, newest first."""
+    held: dict[int, list[str]] = {}
+    for number, _, _, name in reversed(_versions(spark, table)):
+        if before is None or number < before:
+            for part in folders(spark, f"{table}/{name}"):
+                held.setdefault(int(part.removeprefix("part=")), []).append(f"{table}/{name}/{part}")
+    return held
+
+
+def read_latest(spark: SparkSession, table: str, schema) -> DataFrame:
+    """The current state: the newest version of every part."""
+    paths = [p[0] for p in _newest(spark, table).values()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def last_write_wins(stream: DataFrame, keys: list[str], order: list[str], table: str, checkpoint: str, parts: int = 64):
+    """Latest row per key. The state is cut into parts by a hash of the keys; a batch rewrites only parts it touches.
+
+    A batch writes one version folder from the newest older version of each touched part. Repeated after a failure
+    it takes the same version number and the same older parts. A new checkpoint goes on with the next number. Parts
+    older than the one a retry would need are removed. Only a table that doesn't exist counts as empty; any other
+    read error is raised. Needs the same ``parts`` for the table's whole life.
+    """
+    run = _run_id(checkpoint)
+
     def batch(df: DataFrame, epoch: int) -> None:
-        merged = df
-        if epoch:
-            merged = df.unionByName(_rows(df.sparkSession, f"{table}/v={epoch - 1}", df.schema))
-        first_wins(merged, keys, order, last=True).select(*df.columns).write.mode("overwrite").parquet(f"{table}/v={epoch}")
+        spark = df.sparkSession
+        new = df.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        new.persist()
+        try:
+            touched = [r[0] for r in new.select("part").distinct().collect()]  # at most ``parts`` numbers
+            if not touched:
+                return
+            known = _versions(spark, table)
+            number = next((n for n, r, e, _ in known if (r, e) == (run, epoch)), max((n for n, *_ in known), default=-1) + 1)
+            held = _newest(spark, table, number)
+            old = [held[p][0] for p in touched if p in held]
+            merged = new
+            if old:
+                kept = spark.read.schema(df.schema).parquet(*old)
+                merged = new.unionByName(kept.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")))
+            out = first_wins(merged, keys, order, last=True).select(*df.columns, "part")
+            out.write.mode("overwrite").partitionBy("part").parquet(f"{table}/v={number}-{run}-{epoch}")
+            for p in touched:
+                for path in held.get(p, [])[1:]:
+                    remove(spark, path)
+        finally:
+            new.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
