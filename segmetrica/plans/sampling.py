@@ -195,17 +195,32 @@ def binary_digests(spark, sf):
     return d.join(bad, "doc_id", "left").select("doc_id", "sha256", F.coalesce("bad", F.lit(False)).alias("differs"))
 
 
-@query("header_probe")
+@query("header_probe", """SELECT page_id::VARCHAR AS path, CASE page_id % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'mp3' ELSE '' END AS codec,
+  (CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 16000 ELSE 44100 END WHEN 1 THEN 44100 END)::INT AS sample_rate,
+  (CASE page_id % 3 WHEN 0 THEN 1 + page_id % 2 WHEN 1 THEN 2 END)::INT AS channels,
+  (CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 256 ELSE 1411 END WHEN 1 THEN 128 END)::INT AS bitrate_kbps,
+  CASE page_id % 3 WHEN 0 THEN round(strlen(html) / (2 * (1 + page_id % 2)) / (CASE WHEN page_id % 2 = 0 THEN 16000e0 ELSE 44100e0 END), 3)
+    WHEN 1 THEN CASE WHEN page_id % 2 = 1 THEN round((page_id + 1) * 1152e0 / 44100, 3) ELSE round(834 / 16000e0, 3) END END AS duration_seconds
+FROM pages""")
 def header_probe(spark, sf):
-    """Header facts of RIFF files whose bytes are built from each page's text."""
+    """Header facts of files built from each page: RIFF around its text, MPEG frames behind text and tags, plain text."""
     from ..sources.probe import probe
 
-    n = F.octet_length("html")
-    hexle = lambda c: F.concat(*[F.substring(F.lpad(F.hex(c.cast("long")), 8, "0"), p, 2) for p in (7, 5, 3, 1)])
-    fmt = F.concat(F.lit("524946460000000057415645666D742010000000"), F.lit("0100"), F.lit("0100"), hexle(F.lit(16000)), hexle(F.lit(32000)), F.lit("02001000"), F.lit("64617461"), hexle(n))
-    content = F.concat(F.unhex(fmt), F.encode("html", "UTF-8"))
-    p = B.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), content.alias("content"))
-    return probe(p)
+    n, k = F.octet_length("html"), F.col("page_id")
+    word = lambda c, digits: F.lpad(F.hex(c.cast("long")), digits, "0")
+    little = lambda c, digits: F.concat(*[F.substring(word(c, digits), p, 2) for p in range(digits - 1, 0, -2)])
+    channels, rate = 1 + k % 2, F.when(k % 2 == 0, 16000).otherwise(44100)
+    form = F.concat(
+        F.lit("524946460000000057415645666D742010000000"), F.lit("0100"), little(channels, 4), little(rate, 8), little(rate * channels * 2, 8),
+        little(channels * 2, 4), F.lit("1000"), F.lit("64617461"), little(n, 8))
+    riff = F.concat(F.unhex(form), F.encode("html", "UTF-8"))
+    # two frames of 417 bytes at 128 kbit/s and 44.1 kHz; odd pages carry a VBR tag with page_id + 1 frames
+    blank = F.lit("00" * 413)
+    tag = F.concat(F.lit("00" * 32), F.lit("58696E6700000001"), word(k + 1, 8), F.lit("00" * (413 - 44)))
+    frames = F.concat(F.lit("FFFB9000"), F.when(k % 2 == 1, tag).otherwise(blank), F.lit("FFFB9000"), blank)
+    mpeg = F.concat(F.encode(F.substring("html", 1, 200), "UTF-8"), F.unhex(frames))
+    content = F.when(k % 3 == 0, riff).when(k % 3 == 1, mpeg).otherwise(F.encode("html", "UTF-8"))
+    return probe(B.table(spark, sf, "pages").select(k.cast("string").alias("path"), content.alias("content")))
 
 
 # --- fits ------------------------------------------------------------------------------
