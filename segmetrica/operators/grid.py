@@ -112,9 +112,11 @@ def score_grid(pooled: DataFrame, grid: Sequence[dict], keep: Sequence[str]) ->
 
 
 def sweep(pooled: DataFrame, grid: Sequence[dict], n_resamples: int = 1000, seed: int = 42, blend_weight: float = 0.5,
-          metric: str = "worst_family", places: int = 10) -> DataFrame:
-    """Rank formulas by a robust error: (metric, overall EER, interval upper bound, key)."""
-    long = score_grid(pooled, grid, ["file_id", "grp", "family", "label"]).withColumn("score", F.round("score", places))
+          metric: str = "worst_family", places: int | None = None) -> DataFrame:
+    """Rank formulas by a robust error: (metric, overall EER, interval upper bound, key). ``places`` rounds the scores first."""
+    long = score_grid(pooled, grid, ["file_id", "grp", "family", "label"])
+    if places is not None:
+        long = long.withColumn("score", F.round("score", places))
     k = ["formula_id"]
     overall = M.summarize(long, k)
     worst = M.worst_family(M.leave_one_family_out(long, k), overall, k, blend_weight)
@@ -144,7 +146,7 @@ def rank_formulas(df: DataFrame, metric: str = "worst_family") -> DataFrame:
 WEIGHTS = tuple(round(0.05 * i, 2) for i in range(21))
 
 
-def weight_curve(df: DataFrame, heads: dict, keys: Sequence[str] = (), weights=WEIGHTS, places: int = 7) -> DataFrame:
+def weight_curve(df: DataFrame, heads: dict, keys: Sequence[str] = (), weights=WEIGHTS, places: int | None = None) -> DataFrame:
     """EER of every head at every blend weight, one pass: (keys, head, w, eer).
 
     heads: name -> (label column, function of the weight column giving the score,
@@ -160,7 +162,7 @@ def weight_curve(df: DataFrame, heads: dict, keys: Sequence[str] = (), weights=W
             label, score, keep = (F.when(here, x) for x in parts)
         else:
             label, score, keep = (acc.when(here, x) for acc, x in zip((label, score, keep), parts))
-    long = long.select(*keys, "head", "w", label.alias("label"), F.round(score, places).alias("score"), keep.alias("keep"))
+    long = long.select(*keys, "head", "w", label.alias("label"), (score if places is None else F.round(score, places)).alias("score"), keep.alias("keep"))
     return M.eer(long.filter("keep AND label IS NOT NULL").drop("keep"), [*keys, "head", "w"])
 
 
@@ -180,34 +182,51 @@ def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns
 
 
 def affine_fits(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "label", c: float = 100.0,
-                iterations: int = 12) -> DataFrame:
-    """Regularised one-feature logistic fit for every key at once (Newton steps).
+                tolerance: float = 1e-9, max_steps: int = 500) -> DataFrame:
+    """Regularised one-feature logistic fit for every key at once: (keys, a, b), by damped Newton steps.
 
-    Minimises c * sum(loss) + a^2 / 2. Each step is one aggregation over the data that
-    returns one small row per key; parameters go back by a join on the key. The number
-    of keys is the size of a parameter grid.
+    Minimises c * sum(loss) + a^2 / 2. Each step is one aggregation over the data that returns one small row per key;
+    parameters go back by a join on the key. The number of keys is the size of a parameter grid. A step that raises
+    the loss is halved; a key is done when its step is at most ``tolerance`` of its parameters. A key with one class
+    only has no minimum and gets NULL parameters. If some key isn't done after ``max_steps``, an error names how many.
     """
     from ..session import cut_lineage, materialize
 
     keys = list(keys)
     data = materialize(df.select(*keys, F.col(x).alias("_x"), F.col(y).cast("double").alias("_y")), "affine")
-    par = cut_lineage(data.groupBy(*keys).agg(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
-    for _ in range(iterations):
-        j = attach(data, par, keys)
-        p = A.sigmoid(F.col("a") * F.col("_x") + F.col("b"))
+    start = data.groupBy(*keys).agg((F.min("_y") < F.max("_y")).alias("_both"))
+    single = start.filter("NOT coalesce(_both, false)").select(*keys, F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    zero = F.lit(0.0)
+    # a, b: the best so far with its loss; da, db: the step to try from there
+    par = cut_lineage(start.filter("_both").select(*keys, zero.alias("a"), zero.alias("b"), F.lit(float("inf")).alias("loss"), zero.alias("da"), zero.alias("db"), F.lit(False).alias("done")))
+    for _ in range(max_steps):
+        todo = par.filter("NOT done")
+        if todo.isEmpty():
+            return par.select(*keys, "a", "b").unionByName(single)
+        at = attach(data, todo.select(*keys, (F.col("a") + F.col("da")).alias("_a"), (F.col("b") + F.col("db")).alias("_b")), keys)
+        z = F.col("_a") * F.col("_x") + F.col("_b")
+        p = A.sigmoid(z)
         r, w = p - F.col("_y"), p * (F.lit(1.0) - p)
-        g = j.groupBy(*keys).agg(
-            F.first("a").alias("a"), F.first("b").alias("b"),
-            (F.sum(r * F.col("_x")) * c + F.first("a")).alias("ga"), (F.sum(r) * c).alias("gb"),
+        # log(1 + exp(z)) - y z without overflow
+        loss = F.greatest(z, zero) - F.col("_y") * z + F.log1p(F.exp(-F.abs(z)))
+        g = at.groupBy(*keys).agg(
+            (F.sum(loss) * c + F.first("_a") * F.first("_a") / 2).alias("_loss"),
+            (F.sum(r * F.col("_x")) * c + F.first("_a")).alias("ga"), (F.sum(r) * c).alias("gb"),
             (F.sum(w * F.col("_x") * F.col("_x")) * c + 1.0).alias("haa"), (F.sum(w * F.col("_x")) * c).alias("hab"), (F.sum(w) * c).alias("hbb"),
         )
         det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
-        par = cut_lineage(g.select(
-            *keys,
-            (F.col("a") - (F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb")) / det).alias("a"),
-            (F.col("b") - (F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga")) / det).alias("b"),
-        ))
-    return par
+        na = -F.try_divide(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"), det)
+        nb = -F.try_divide(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"), det)
+        better = F.col("_loss") <= F.col("loss") + F.abs("_loss") * 1e-14
+        pick = lambda yes, no: F.when(better, yes).otherwise(no)
+        moved = attach(todo, g, keys).select(
+            *keys, pick(F.col("a") + F.col("da"), F.col("a")).alias("a"), pick(F.col("b") + F.col("db"), F.col("b")).alias("b"),
+            pick(F.col("_loss"), F.col("loss")).alias("loss"), pick(na, F.col("da") / 2).alias("da"), pick(nb, F.col("db") / 2).alias("db"))
+        small = (F.abs("da") + F.abs("db")) <= tolerance * (F.abs("a") + F.abs("b") + 1.0)
+        # a flat second derivative (det 0) leaves nothing to gain
+        moved = moved.withColumn("done", F.coalesce(small, F.lit(True)))
+        par = cut_lineage(par.filter("done").unionByName(moved))
+    raise ValueError(f"{par.filter('NOT done').count()} fits did not converge in {max_steps} steps")
 
 
 TAUS = (0.25, 0.5, 1.0, 2.0, 4.0, 1000.0)

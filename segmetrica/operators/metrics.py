@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_long, hash_text
-from .prefix import accumulate, attach, hash_rank, join_back, magnitude_bucket, probability_bucket
+from .prefix import accumulate, attach, hash_rank, join_back, probability_bucket, with_quantile_bucket
 
 INF = float("inf")
 
@@ -436,7 +436,8 @@ def exact_percentiles(df: DataFrame, column: str, points: dict[str, float]) -> D
     Positions come from two-level cumulative counts, so the values never meet in one task.
     """
     hist = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    run = accumulate(hist, [], [F.col("v").asc()], magnitude_bucket(F.col("v")), ["c"], descending=False)
+    hist = with_quantile_bucket(hist, "v")
+    run = accumulate(hist, [], [F.col("v").asc()], F.col("_q"), ["c"], descending=False)
     end, begin, n = F.col("c_cum"), F.col("c_cum") - F.col("c"), F.col("c_all")
 
     def at(index):

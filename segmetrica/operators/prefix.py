@@ -22,16 +22,26 @@ def probability_bucket(score: Column, buckets: int = SCORE_BUCKETS) -> Column:
     """Ordered buckets, equal steps on the logit scale.
 
     log and log1p are monotone, so a higher score never lands in a lower bucket,
-    and saturated scores near 0 and 1 still spread over many buckets.
+    and saturated scores near 0 and 1 still spread over many buckets. Scores outside
+    [0, 1] have buckets of their own on a log scale.
     """
     p = F.greatest(F.least(score, F.lit(1.0 - 1e-12)), F.lit(1e-12))
     z = F.log(p) - F.log1p(-p)
-    return F.floor((z + F.lit(28.0)) * F.lit(buckets / 56.0)).cast("int")
+    inside = F.floor((z + F.lit(28.0)) * F.lit(buckets / 56.0))
+    above = F.lit(buckets) + F.floor(F.log1p(score - 1) * 64)
+    below = -F.lit(1) - F.floor(F.log1p(-score) * 64)
+    return F.when(score > 1, above).when(score < 0, below).otherwise(inside).cast("int")
 
 
-def magnitude_bucket(value: Column, buckets: int = SCORE_BUCKETS) -> Column:
-    """Ordered buckets for any finite double (signed log scale)."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(buckets / 64.0)).cast("int")
+def with_quantile_bucket(df: DataFrame, value: str, name: str = "_q", buckets: int = 256) -> DataFrame:
+    """Adds ordered buckets between quantiles of the data, so values in any range spread over all of them.
+
+    The quantiles are approximate, but every value is dealt by exact comparison.
+    """
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    bounds = df.agg(F.percentile_approx(value, shares, 20 * buckets).alias("_bounds"))
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    return attach(df, bounds, []).withColumn(name, F.coalesce(below, F.lit(0))).drop("_bounds")
 
 
 def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -76,24 +86,22 @@ def accumulate(
     ``bucket`` must be monotone in ``order``.
     """
     keys = list(keys)
-    cut = df.withColumn("_b", bucket)
-    totals = cut.groupBy(*keys, "_b").agg(*[F.sum(v).alias("_t_" + v) for v in values])
+    # one key that is never NULL serves the join and the window alike, so the rows move once
+    cut = df.withColumn("_b", bucket).withColumn("_k", F.struct(*keys, F.lit(0))).withColumn("_kb", F.struct("_k", "_b"))
+    totals = cut.groupBy("_k", "_b", "_kb").agg(*[F.sum(v).alias("_t_" + v) for v in values])
     b_order = F.col("_b").desc() if descending else F.col("_b").asc()
-    before = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    before = Window.partitionBy("_k").orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_k")
     offsets = totals.select(
-        *keys,
-        "_b",
+        F.col("_kb").alias("_kb_total"),
         *[F.coalesce(F.sum("_t_" + v).over(before), F.lit(0)).alias("_o_" + v) for v in values],
         *[F.sum("_t_" + v).over(whole).alias(v + "_all") for v in values],
     )
-    inside = (
-        Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    joined = join_back(cut, offsets, [*keys, "_b"])
+    inside = Window.partitionBy("_kb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(offsets, F.col("_kb") == F.col("_kb_total"))
     for v in values:
         joined = joined.withColumn(v + "_cum", F.sum(v).over(inside) + F.col("_o_" + v))
-    return joined.drop("_b", *["_o_" + v for v in values])
+    return joined.drop("_b", "_k", "_kb", "_kb_total", *["_o_" + v for v in values])
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, tie: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_long, hash_text, hash_uniform
 from ..session import cut_lineage
+from .graph import components
 from .prefix import accumulate, attach, hash_rank
 
 
@@ -87,8 +90,7 @@ def balanced_pairs(df: DataFrame, key: str, group: str, label: str, max_rows: in
     return picked
 
 
-def generator_round_robin(df: DataFrame, key: str, group: str, label: str, family: str, budget: int | None = None, seed: int = 0,
-                          max_rounds: int = 10000) -> DataFrame:
+def generator_round_robin(df: DataFrame, key: str, group: str, label: str, family: str, budget: int | None = None, seed: int = 0) -> DataFrame:
     """Fakes picked family by family in turn, each from a group nobody took yet: (grp, family, fake_id, round).
 
     Within a round every family proposes its best free group; a group goes to the first
@@ -103,9 +105,8 @@ def generator_round_robin(df: DataFrame, key: str, group: str, label: str, famil
     free = cut_lineage(free.join(paired, "grp", "left_semi").groupBy("grp", "family").agg(F.min("c").alias("c")))
     total = paired.count()
     budget = total if budget is None else min(budget, total)
-    chosen = None
-    taken = 0
-    for turn in range(max_rounds):
+    chosen, taken = None, 0
+    for turn in count():
         offers, won = free, None
         while True:
             best = offers.groupBy("family").agg(F.min(F.struct("c", "grp")).alias("b")).select("family", "b.*")
@@ -125,7 +126,8 @@ def generator_round_robin(df: DataFrame, key: str, group: str, label: str, famil
         if taken + n >= budget:
             order = Window.orderBy("family")  # one row per family
             won = won.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= budget - taken).drop("_k")
-        chosen = won if chosen is None else chosen.unionByName(won)
+        # one table for all rounds so far, so that the plan doesn't grow with their number
+        chosen = won if chosen is None else cut_lineage(chosen.unionByName(won))
         taken += n
         if taken >= budget:
             break
@@ -162,23 +164,14 @@ def repeat_rows(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(int(times)))))
 
 
-def connected_groups(edges: DataFrame, item: str, token: str, max_rounds: int = 50) -> DataFrame:
+def connected_groups(edges: DataFrame, item: str, token: str) -> DataFrame:
     """(item, component): items linked by shared tokens, labelled by their smallest item.
 
-    Labels travel item -> token -> item as minima (combined on the map side, so a token on
-    a third of all rows is no problem), and each round also jumps to the label's own label,
-    which halves the remaining distance. Fails if it does not settle.
+    Each token ties its items to the smallest of them: an aggregate and a join on the token, whose
+    small side has one row a token, so that Spark can split a token that very many items carry.
     """
     e = cut_lineage(edges.select(F.col(item).alias("i"), F.col(token).alias("t")).distinct())
-    lab = cut_lineage(e.groupBy("i").agg(F.min("i").alias("l")))
-    for _ in range(max_rounds):
-        low = e.join(lab, "i").groupBy("t").agg(F.min("l").alias("l"))
-        near = e.join(low, "t").groupBy("i").agg(F.min("l").alias("n"))
-        jump = lab.select(F.col("i").alias("n"), F.col("l").alias("j"))
-        new = near.join(jump, "n").select("i", F.least("n", "j").alias("l"))
-        new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("l", "old"), "i").filter("l <> old").limit(1).count()
-        lab = new
-        if not changed:
-            return lab.select(F.col("i").alias(item), F.col("l").alias("component"))
-    raise ValueError("components did not settle")
+    ties = e.join(e.groupBy("t").agg(F.min("i").alias("m")), "t").select(F.col("i").alias("a"), F.col("m").alias("b"))
+    found = components(ties)
+    items = e.select("i").distinct()
+    return items.join(found, F.col("i") == F.col("node"), "left").select(F.col("i").alias(item), F.coalesce("root", "i").alias("component"))

@@ -133,7 +133,7 @@ def system_slices(spark, sf):
 _DRAWS = """gi AS (SELECT grp, row_number() OVER (ORDER BY md5('{seed}:'||grp), grp)-1 AS idx, count(*) OVER () AS g FROM (SELECT DISTINCT grp FROM file_scores)),
 times AS (SELECT replicate, d.idx, count(*) AS times FROM (SELECT r AS replicate, ('0x'||substr(md5('{seed}:'||r||':'||idx),1,8))::BIGINT % g AS idx FROM gi, range({n}) t(r)) d GROUP BY 1,2),
 drawn AS (SELECT replicate, label, score, times FROM file_scores JOIN gi USING (grp) JOIN times USING (idx))"""
-RESAMPLES = 200
+RESAMPLES = 1000
 
 
 @query("cluster_bootstrap_ci", f"""WITH {B.FILE_SCORES}, {_DRAWS.format(seed=42, n=RESAMPLES)}, {B.sql_eer('drawn', ['replicate'], 'b', weight='times')}
@@ -265,26 +265,31 @@ _register_sweep()
 
 
 _WLIST = "[" + ",".join(f"{0.05 * i:.2f}e0" for i in range(21)) + "]"
-_WEIGHTED = f"""{B.SCORE13}, wc AS (SELECT file_fake, voice_fake, unnest({_WLIST}) AS w, (file_id%4<>0) AS vp, current_file, current_voice, nii, spectra, voice_present, music_present, current_music FROM score13),
+_WEIGHTED = f"""{B.SCORE13}, wc AS (SELECT file_fake, voice_fake, CASE WHEN file_id%6=0 THEN NULL WHEN file_fake=1 AND file_id%2=0 THEN 1 ELSE 0 END AS music_fake, unnest({_WLIST}) AS w, (file_id%4<>0) AS vp, (file_id%5<>0) AS mp, current_file, current_voice, nii, spectra, lofcz, voice_present, music_present, current_music FROM score13),
 wl AS (SELECT 'file' AS head, w, file_fake AS label, round(greatest(CASE WHEN w=0 THEN current_file ELSE {B.sql_logit_blend('current_file', 'spectra', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END, voice_present*current_voice, music_present*current_music),7) AS score FROM wc
- UNION ALL SELECT 'voice', w, voice_fake, round(CASE WHEN w=0 THEN current_voice ELSE {B.sql_logit_blend('current_voice', 'nii', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE vp AND voice_fake IS NOT NULL)"""
+ UNION ALL SELECT 'voice', w, voice_fake, round(CASE WHEN w=0 THEN current_voice ELSE {B.sql_logit_blend('current_voice', 'nii', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE vp AND voice_fake IS NOT NULL
+ UNION ALL SELECT 'music', w, music_fake, round(CASE WHEN w=0 THEN current_music ELSE {B.sql_logit_blend('current_music', 'lofcz', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE mp AND music_fake IS NOT NULL)"""
 
 
 def weight_curves(spark, sf):
-    """FILE is blended before the floor, VOICE after it."""
+    """FILE is blended before the floor, VOICE and MUSIC after it. Rounded, so that both engines see the same ties."""
     from ..operators import grid as GR
 
     c = F.col
     d = B.score13(spark, sf).select(
-        "file_fake", "voice_fake", (c("file_id") % 4 != 0).cast("int").alias("vp"), "current_file", "current_voice",
-        *[A.ratio_logit(c(x)).alias(f"l_{x}") for x in ("current_file", "spectra", "current_voice", "nii")],
+        "file_fake", "voice_fake",
+        F.when(c("file_id") % 6 == 0, None).when((c("file_fake") == 1) & (c("file_id") % 2 == 0), 1).otherwise(0).alias("music_fake"),
+        (c("file_id") % 4 != 0).cast("int").alias("vp"), (c("file_id") % 5 != 0).cast("int").alias("mp"),
+        "current_file", "current_voice", "current_music",
+        *[A.ratio_logit(c(x)).alias(f"l_{x}") for x in ("current_file", "spectra", "current_voice", "nii", "current_music", "lofcz")],
         F.greatest(c("voice_present") * c("current_voice"), c("music_present") * c("current_music")).alias("floor"))
     mixed = lambda cur, new, w: F.when(w == 0, c(cur)).otherwise(
         A.sigmoid((F.lit(1.0) - w) * c(f"l_{cur}") + w * c(f"l_{new}")))
     return GR.weight_curve(d, {
         "file": ("file_fake", lambda w: F.greatest(mixed("current_file", "spectra", w), c("floor")), None),
         "voice": ("voice_fake", lambda w: mixed("current_voice", "nii", w), "vp"),
-    })
+        "music": ("music_fake", lambda w: mixed("current_music", "lofcz", w), "mp"),
+    }, places=7)
 
 
 @query("weight_curve", f"WITH {_WEIGHTED}, {B.sql_eer('wl', ['head', 'w'], 'cv')} SELECT head, w::DOUBLE AS w, round(eer,8) AS eer FROM cv")

@@ -90,23 +90,34 @@ def deduplicated_documents(spark, sf):
 
 
 def _source_edges(spark, sf):
-    """Orders linked by customer region tokens of a narrow kind: part and supplier of expensive lines."""
-    li = B.table(spark, sf, "lineitem")
-    return li.select("l_orderkey", F.explode(F.array(F.concat(F.lit("p"), F.col("l_partkey") % 20011, F.lit("-"), "l_linenumber"), F.concat(F.lit("s"), "l_suppkey", F.lit("-"), "l_shipdate"))).alias("token"))
+    """Orders with the sources they come from: a customer's orders of one priority and year, and those of four
+    neighbouring customers in one month. Sources overlap in few orders, so components stay small at every scale."""
+    o = B.table(spark, sf, "orders")
+    year, month = F.year("o_orderdate"), F.date_format("o_orderdate", "yyyy-MM")
+    a = F.concat_ws("-", F.lit("a"), "o_custkey", F.substring("o_orderpriority", 1, 1), year)
+    b = F.concat_ws("-", F.lit("b"), F.floor(F.col("o_custkey") / 4), month)
+    return o.select("o_orderkey", F.explode(F.array(a, b)).alias("token"))
+
+
+_COMPONENTS = """WITH RECURSIVE e AS (SELECT o_orderkey AS i, unnest([concat_ws('-', 'a', o_custkey, left(o_orderpriority, 1), year(o_orderdate)),
+  concat_ws('-', 'b', o_custkey // 4, strftime(o_orderdate, '%Y-%m'))]) AS t FROM orders),
+p AS (SELECT DISTINCT x.i AS a, y.i AS b FROM e x JOIN e y USING (t) WHERE x.i <> y.i),
+r AS (SELECT DISTINCT i AS root, i FROM e UNION SELECT r.root, p.b FROM r JOIN p ON r.i = p.a),
+c AS (SELECT i, min(root) AS component FROM r GROUP BY 1)"""
 
 
-@query("source_components")
+@query("source_components", f"{_COMPONENTS} SELECT component, count(*)::BIGINT AS size FROM c GROUP BY 1")
 def source_components(spark, sf):
-    c = SP.connected_groups(_source_edges(spark, sf), "l_orderkey", "token")
+    c = SP.connected_groups(_source_edges(spark, sf), "o_orderkey", "token")
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query("fold_purge")
+@query("fold_purge", f"{_COMPONENTS} SELECT i AS o_orderkey FROM c WHERE i % 10 <> 0 AND component NOT IN (SELECT component FROM c WHERE i % 10 = 0)")
 def fold_purge(spark, sf):
     """Training items (other folds) that share no component with the held-out items."""
-    c = SP.connected_groups(_source_edges(spark, sf), "l_orderkey", "token")
-    held = c.filter("l_orderkey % 1000 = 0").select("component").distinct()
-    return c.filter("l_orderkey % 1000 <> 0").join(held, "component", "left_anti").select("l_orderkey")
+    c = SP.connected_groups(_source_edges(spark, sf), "o_orderkey", "token")
+    held = c.filter("o_orderkey % 10 = 0").select("component").distinct()
+    return c.filter("o_orderkey % 10 <> 0").join(held, "component", "left_anti").select("o_orderkey")
 
 
 # --- ledger ---------------------------------------------------------------------------

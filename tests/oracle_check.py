@@ -58,7 +58,7 @@ def main(argv):
     import __spark_entry__ as entry
 
     sf = argv[0] if argv else "/root/testdata/sf0.01"
-    spark = local_session("8")
+    spark = local_session(__import__("os").environ.get("CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     names = argv[1:] or list(entry.queries())

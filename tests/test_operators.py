@@ -205,7 +205,7 @@ def test_affine_fits_against_newton(spark):
             h = 100 * np.array([[(w * x * x).sum(), (w * x).sum()], [(w * x).sum(), w.sum()]]) + [[1, 0], [0, 0]]
             t = t - np.linalg.solve(h, g)
         want[k] = t
-    got = GR.affine_fits(spark.createDataFrame(rows, "k int, x double, label int"), ["k"], iterations=10).collect()
+    got = GR.affine_fits(spark.createDataFrame(rows, "k int, x double, label int"), ["k"]).collect()
     for r in got:
         assert (r.a, r.b) == pytest.approx(tuple(want[r.k]), abs=1e-8)
 
