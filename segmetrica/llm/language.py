@@ -72,7 +72,7 @@ class Words:
         size = self.sizes + 2
         self.edges = np.concatenate([[0], np.cumsum(size)])
         chars = np.zeros(self.edges[-1], np.uint64)
-        owner = np.repeat(np.arange(n), size)
+        owner = np.repeat(np.arange(n, dtype=np.int32), size)
         inner = np.ones(len(chars), bool)
         inner[self.edges[:-1]] = inner[self.edges[1:] - 1] = False
         chars[inner] = code[is_letter]
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "
     def run(batches):
         model = shared.value
         m = len(model.languages)
-        for part, strings in slices(batches, "text", 8 << 20):
+        for part, strings in slices(batches):
             words = Words(strings.to_pylist())
             n = part.num_rows
             names, share, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
