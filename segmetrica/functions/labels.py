@@ -14,6 +14,17 @@ REAL_TOKENS = ("real", "bonafide", "genuine", "0")
 FAKE_TOKENS = ("fake", "spoof", "synthetic", "1")
 TRAIN_REAL_TOKENS = ("real", "bonafide", "bona-fide", "bona_fide", "0")
 TRAIN_FAKE_TOKENS = ("fake", "spoof", "1")
+# How licence URLs and titles (in lower case) are read. Equal results need equal patterns.
+CC_URL = r"/licenses/(by[a-z-]*)/(\d+\.\d+)(?:/([a-z]{2}))?"
+NO_DERIVATIVES_URL = r"/by(?:-nc)?-nd(?:[/-]|$)"
+NO_DERIVATIVES_TITLE = r"no[\s-]*deriv"
+NON_COMMERCIAL_URL = "/by-nc"
+NON_COMMERCIAL_TITLE = "noncommercial"  # in the title without spaces and hyphens
+PUBLIC_DOMAIN = (  # identifier, part of the URL, pattern of the title
+    ("CC0-1.0", "publicdomain/zero", "cc0"),
+    ("CC-PDM-1.0", "publicdomain/mark", "public domain mark"),
+    ("CC-PD", "publicdomain", "^public domain$"),
+)
 AUDIO_EXTENSIONS = ("aac", "flac", "m4a", "mp3", "ogg", "opus", "wav", "wma")
 
 
@@ -69,18 +80,13 @@ def licence(title: Column, url: Column) -> Column:
     t = F.trim(F.coalesce(title, F.lit("")))
     u = F.replace(F.trim(F.coalesce(url, F.lit(""))), F.lit("http://"), F.lit("https://"))
     lt, lu = F.lower(t), F.lower(u)
-    pattern = r"/licenses/(by[a-z-]*)/(\d+\.\d+)(?:/([a-z]{2}))?"
-    clause, version, place = (F.regexp_extract(lu, pattern, i) for i in (1, 2, 3))
-    named = F.concat(F.lit("CC-"), F.upper(clause), F.lit("-"), version)
-    licence_id = (
-        F.when(lu.contains("publicdomain/zero") | lt.contains("cc0"), "CC0-1.0")
-        .when(lu.contains("publicdomain/mark") | lt.contains("public domain mark"), "CC-PDM-1.0")
-        .when(lu.contains("publicdomain") | (lt == "public domain"), "CC-PD")
-        .when(version != "", F.when(place != "", F.concat(named, F.lit("-"), F.upper(place))).otherwise(named))
-        .otherwise(F.nullif(F.upper(slug(t)), F.lit("")))
-    )
-    no_derivatives = lu.rlike(r"/by(?:-nc)?-nd(?:[/-]|$)") | lt.rlike(r"no[\s-]*deriv")
-    non_commercial = lu.rlike("/by-nc") | F.regexp_replace(lt, "[- ]", "").contains("noncommercial")
+    clause, version, place = (F.regexp_extract(lu, CC_URL, i) for i in (1, 2, 3))
+    # by what names a licence: the public domain, else the URL's parts, else the title
+    parts = F.concat_ws("-", F.lit("CC"), *[F.nullif(F.upper(x), F.lit("")) for x in (clause, version, place)])
+    public = [F.when(lu.contains(part) | lt.rlike(title), name) for name, part, title in PUBLIC_DOMAIN]
+    licence_id = F.coalesce(*public, F.when(version != "", parts), F.nullif(F.upper(slug(t)), F.lit("")))
+    no_derivatives = lu.rlike(NO_DERIVATIVES_URL) | lt.rlike(NO_DERIVATIVES_TITLE)
+    non_commercial = lu.contains(NON_COMMERCIAL_URL) | F.translate(lt, "- ", "").contains(NON_COMMERCIAL_TITLE)
     return F.struct(
         F.when(u != "", licence_id).alias("license_id"),
         u.alias("license_url"),

@@ -15,6 +15,8 @@ from . import metrics as M
 from .sampling import group_kfold
 
 C_VALUES = (0.03, 0.3, 3.0)  # fixed grid
+MAX_STEPS = 1000
+PARITY = 1e-9  # most that an exported model's score may differ from the fitted one's
 
 
 def _standardise(df: DataFrame, features: Sequence[str], train) -> tuple[DataFrame, dict]:
@@ -28,22 +30,35 @@ def _standardise(df: DataFrame, features: Sequence[str], train) -> tuple[DataFra
 
 
 def _fit(df: DataFrame, label: str, c: float):
-    """Balanced class weights sum to n, so regParam = 1 / (c * n) gives the usual objective."""
-    n, pos = df.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
+    """Balanced class weights sum to n, so regParam = 1 / (c * n) gives the usual objective.
+
+    Rows of one class only, or a fit that doesn't converge, are errors.
+    """
+    n, pos = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).first()
+    if pos == 0 or pos == n:
+        raise ValueError("a fit needs rows of both classes")
     w = F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
     lr = LogisticRegression(featuresCol="_v", labelCol=label, weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            standardization=False, maxIter=200, tol=1e-8)
-    return lr.fit(df.withColumn("_w", w))
+                            standardization=False, maxIter=MAX_STEPS, tol=1e-8)
+    fitted = lr.fit(df.withColumn("_w", w))
+    if fitted.summary.totalIterations >= MAX_STEPS:
+        raise ValueError(f"the fit did not converge in {MAX_STEPS} steps")
+    return fitted
 
 
 def fit_grouped(df: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 4, seed: int = 20260905,
                 c_values: Sequence[float] = C_VALUES) -> tuple[dict, DataFrame]:
-    """(model, search table C/eer/roc_auc). The chosen C is the best (EER, -AUC, C) over pooled folds."""
-    data = materialize(group_kfold(df, group, folds, seed).select(*features, label, group, "fold"), "fit").cache()
+    """(model, search table C/eer/roc_auc). The chosen C is the best (EER, -AUC, C) over pooled folds.
+
+    Needs at least as many groups as folds, and both classes outside each fold. The exported model must score as the
+    fitted one does, within ``PARITY``; its ``parity`` says how closely.
+    """
+    if df.select(group).distinct().count() < folds:
+        raise ValueError(f"{folds} folds need as many groups")
+    data = materialize(group_kfold(df, group, folds, seed).select(*features, label, group, "fold"), "fit")
     oof = None
     for k in range(folds):
         z, _ = _standardise(data, features, F.col("fold") != k)
-        z = z.cache()
         for c in c_values:
             fitted = _fit(z.filter(F.col("fold") != k), label, c)
             p = fitted.transform(z.filter(F.col("fold") == k)).select(
@@ -54,4 +69,9 @@ def fit_grouped(df: DataFrame, features: Sequence[str], label: str, group: str,
     z, stats = _standardise(data, features, F.lit(True))
     final = _fit(z, label, best["C"])
     model = dict(**stats, coef=[float(x) for x in final.coefficients], intercept=float(final.intercept), C=best["C"])
+    line = sum((F.col(f"_z{i}") * c for i, c in enumerate(model["coef"])), F.lit(model["intercept"]))
+    gap = F.abs(vector_to_array("probability")[1] - F.lit(1.0) / (F.lit(1.0) + F.exp(-line)))
+    model["parity"] = final.transform(z).agg(F.max(gap)).first()[0]
+    if model["parity"] > PARITY:
+        raise ValueError(f"the exported model differs from the fitted one by {model['parity']}")
     return model, search

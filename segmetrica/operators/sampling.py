@@ -58,18 +58,36 @@ def stratified_subsample(df: DataFrame, key: str, label: str, limit: int, seed:
     return out.filter(F.col("pos") <= F.rint(F.lit(float(limit)) * F.col("n") / F.col("_t"))).drop("_h", "pos", "n", "_t")
 
 
-def draw_weights(df: DataFrame, source: str, label: str, weight: str, shares: dict[str, float] | None = None) -> DataFrame:
-    """Adds draw_weight: share per source, labels balanced inside it, row weight inside that."""
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in an order; Spark keeps n rows a task, so nothing is sorted whole."""
+    return df.orderBy(*order).limit(n)
+
+
+def sample_rows(df: DataFrame, key: str, label: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows drawn by a hash of their key, in that order. A sample of one class only is an error when it is computed."""
+    picked = first_rows(df.withColumn("_h", hash_text(seed, F.col(key))), ["_h", key], n).drop("_h")
+    both = picked.agg((F.min(label) < F.max(label)).alias("_both"))
+    fail = F.raise_error(F.lit("the sample has rows of one class only"))
+    return attach(picked, both, []).filter(F.when(F.col("_both"), True).otherwise(fail.cast("boolean"))).drop("_both")
+
+
+def draw_weights(df: DataFrame, source: str, label: str, weight: str, shares: dict[str, float] | None = None, balanced: bool = True) -> DataFrame:
+    """Adds draw_weight: share per source, labels balanced inside it (or not), row weight inside that.
+
+    A row whose source has no share is an error when it is computed.
+    """
     src = F.col(source) if shares else F.lit("")
-    cells = df.groupBy(src.alias("_s"), F.col(label).alias("_y")).agg(F.sum(weight).alias("_w"))
+    y = F.col(label) if balanced else F.lit(0)
+    cells = df.groupBy(src.alias("_s"), y.alias("_y")).agg(F.sum(weight).alias("_w"))
     per = cells.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.join(per, "_s")
     share = F.lit(1.0)
     if shares:
         total = float(sum(shares.values()))
-        share = F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v / total))]), F.col("_s"))
-    j = df.withColumn("_src", src).join(cells, (F.col("_src") == F.col("_s")) & (F.col(label) == F.col("_y")))
-    return j.withColumn("draw_weight", share * F.col(weight) / (F.col("_w") * F.col("_n"))).drop("_s", "_y", "_w", "_n", "_src")
+        known = F.element_at(F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v / total))]), F.col("_s"))
+        share = F.coalesce(known, F.raise_error(F.concat(F.lit("no share for source "), F.col("_s"))).cast("double"))
+    j = df.withColumn("_src", src).withColumn("_cls", y).join(cells, (F.col("_src") == F.col("_s")) & (F.col("_cls") == F.col("_y")))
+    return j.withColumn("draw_weight", share * F.col(weight) / (F.col("_w") * F.col("_n"))).drop("_s", "_y", "_w", "_n", "_src", "_cls")
 
 
 def limit_groups(df: DataFrame, group: str, limit: int, seed: int = 0) -> DataFrame:

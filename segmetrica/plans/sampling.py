@@ -49,6 +49,26 @@ def draw_weights(spark, sf):
     return B.rounded(d.select("file_id", (F.col("draw_weight") * 1e6).alias("draw_weight")))
 
 
+@query("draw_weights_plain", f"""WITH {_LAB}, w AS (SELECT *, CASE domain WHEN 'BUILDING' THEN 'a' ELSE 'b' END AS src, 1e0+file_id%3 AS wt FROM lb), c AS (SELECT src, sum(wt) AS cw FROM w GROUP BY 1)
+SELECT file_id, round(CASE src WHEN 'a' THEN 0.25e0 ELSE 0.75e0 END*wt/cw*1e6,8) AS draw_weight FROM w JOIN c USING (src)""")
+def draw_weights_plain(spark, sf):
+    """Shares per source without balancing the labels."""
+    d = _labelled(spark, sf).withColumn("src", F.when(F.col("domain") == "BUILDING", "a").otherwise("b")).withColumn("wt", 1.0 + F.col("file_id") % 3)
+    d = SP.draw_weights(d, "src", "label", "wt", {"a": 1.0, "b": 3.0}, balanced=False)
+    return B.rounded(d.select("file_id", (F.col("draw_weight") * 1e6).alias("draw_weight")))
+
+
+@query("sampled_rows", f"WITH {_LAB} SELECT file_id, label FROM (SELECT *, row_number() OVER (ORDER BY {HASH(4, 'file_id')}, file_id) AS k FROM lb) WHERE k <= 300")
+def sampled_rows(spark, sf):
+    return SP.sample_rows(_labelled(spark, sf), "file_id", "label", 300, 4).select("file_id", "label")
+
+
+@query("ordered_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def ordered_limit(spark, sf):
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return SP.first_rows(o, [F.desc("o_totalprice"), F.asc("o_orderkey")], 100)
+
+
 @query("balanced_pairs", f"""WITH {_LAB}, p AS (SELECT grp, arg_min(CASE WHEN label=0 THEN file_id END, CASE WHEN label=0 THEN {HASH(1, 'file_id')} END) AS real_id,
   arg_min(CASE WHEN label=1 THEN file_id END, CASE WHEN label=1 THEN {HASH(1, 'file_id')} END) AS fake_id FROM lb GROUP BY 1 HAVING max(label)=1 AND min(label)=0),
 r AS (SELECT *, row_number() OVER (ORDER BY {HASH(1, 'grp')}, grp) AS k FROM p) SELECT grp, real_id, fake_id FROM r WHERE k <= 100""")
