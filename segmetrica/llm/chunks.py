@@ -79,8 +79,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, digests): for each document the chunks that a smaller document has."""
     chunks = chunk_table(docs)
     first = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = chunks.join(first.select("digest", "first"), "digest").where("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
+    later = chunks.join(first.select("digest", "first"), "digest").where("doc_id > first").select("doc_id", "digest")
+    # dealt first: lists made before the shuffle would hold one digest each and only take room
+    return later.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
 
 
 def _runs(hit: np.ndarray, words: np.ndarray, core: int, passage: int) -> list[tuple[int, int]]:
