@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .rawtext import mix, slices, stream
 from .shared import written
-from .units import encoder
+from .units import binary, encoder, with_end
 
 DIMS, BITS, HASHED = 4, 8, 4096
 RANGE_BYTES = 24 << 20
@@ -63,15 +63,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, spaces_count: bool =
     rows_of = table[(salts % np.uint64(HASHED)).astype(np.int64)]
 
     def run(batches):
-        enc, end = encoder(tokenizer, spaces_count, "<u2"), np.array([end_id], "<u2").tobytes()
-        for part, strings in slices(batches, "text"):
-            bodies = [x + end for x in enc(strings.to_pylist())]
-            at = np.cumsum([0] + [len(x) // 2 for x in bodies])
-            ids = np.frombuffer(b"".join(bodies), "<u2")
-            sums = np.stack([np.add.reduceat(rows_of[:, k][ids], at[:-1]) for k in range(DIMS)])
+        enc = encoder(tokenizer, spaces_count, "<u2")
+        for part, strings in slices(batches):
+            ids, at = with_end(*enc(strings), end_id)
             n = np.diff(at)
+            sums = np.stack([np.add.reduceat(rows_of[:, k][ids], at[:-1]) for k in range(DIMS)])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(bodies, pa.binary()), pa.array(n, pa.int64()), *(pa.array(s / n) for s in sums)],
+                [part.column(0), binary(ids, at), pa.array(n), *(pa.array(s / n) for s in sums)],
                 names=["doc_id", "ids", "n", *_COORDS],
             )
 

@@ -5,7 +5,8 @@ A data file is a run of records; a record is
     length (8 bytes) | masked CRC-32 of those 8 bytes (4) | payload | masked CRC-32 of the payload (4)
 
 all little-endian. A checksum c is masked as rotate_right(c, 15) + 0xA282EAD8 modulo 2**32, so that a record may itself
-hold checksums. The payload is the document's id (8 bytes) followed by its token ids (4 bytes each). Beside every data
+hold checksums. The payload is the document's id (8 bytes), the width of an id (1 byte: 2, or 4 where the vocabulary needs
+it), and the token ids. All records of a file have one width. Beside every data
 file lies an index file: the byte offset of each record (8 bytes each) and, last, the file's length, so any record can
 be read on its own in any order.
 
@@ -29,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .rawtext import slices
 from .shared import materialize, scratch_path
-from .units import encoder
+from .units import binary, encoder, library, with_end
 
 FILE_BYTES = 64 << 20
 FLUSH_BYTES = 4 << 20
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
-_FRAME_BYTES = 8 + 4 + 8 + 4  # length, its checksum, doc_id, the payload's checksum
+_FRAME_BYTES = 12 + 9 + 4  # length and checksum, doc_id and width, checksum
 
 
 class DamagedRecord(ValueError):
@@ -82,8 +83,8 @@ def _rename(store, base: str, old: str, new: str) -> None:
 _FILES = "shard int, name string, records long, ids long, bytes long"
 
 
-def write_records(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes (doc_id, ids: little-endian 4-byte ids as binary), sorted within its partitions, as record files.
+def write_records(rows: DataFrame, folder: str, width: int = 4) -> DataFrame:
+    """Writes (doc_id, ids: little-endian ids of ``width`` bytes as binary), sorted within its partitions, as record files.
 
     Every partition starts its own files and begins a new one after about ``FILE_BYTES``. Returns the list of files,
     (shard, name, records, ids, bytes), as a table. An empty partition writes no file.
@@ -119,9 +120,9 @@ def write_records(rows: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     out, offsets, held = store.open_output_stream(f"{base}/{tag}.bin"), [0], 0
                 body = body.as_buffer().to_pybytes() if body.is_valid else b""
-                waiting.append(frame(struct.pack("<q", doc) + body))
+                waiting.append(frame(struct.pack("<qB", doc, width) + body))
                 offsets.append(offsets[-1] + len(waiting[-1]))
-                ids += len(body) // 4
+                ids += len(body) // width
                 held += len(waiting[-1])
                 if held > FLUSH_BYTES:
                     out.write(b"".join(waiting))
@@ -136,7 +137,7 @@ def write_records(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def read_records(files: DataFrame, folder: str, shuffle_seed: int | None = None) -> DataFrame:
-    """Rows (shard, position, before, doc_id, ids) of all listed files, every checksum proved.
+    """Rows (shard, position, before, doc_id, width, ids) of all listed files, every checksum proved.
 
     ``before`` counts the ids that stand earlier in the same file, which the index gives. Records are found through the
     index and read in blocks of neighbours; with ``shuffle_seed`` they come one by one in an order drawn from the seed.
@@ -156,19 +157,20 @@ def read_records(files: DataFrame, folder: str, shuffle_seed: int | None = None)
                         at, docs, bodies = 0, [], []
                         for _ in block:
                             payload, at = unframe(data, at)
-                            docs.append(struct.unpack_from("<q", payload)[0])
-                            bodies.append(bytes(payload[8:]))
+                            doc, width = struct.unpack_from("<qB", payload)
+                            docs.append(doc)
+                            bodies.append(bytes(payload[9:]))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([shard] * len(docs), pa.int32()), pa.array(block, pa.int64()),
-                                pa.array((offsets[block] - block * _FRAME_BYTES) // 4, pa.int64()),
-                                pa.array(docs, pa.int64()), pa.array(bodies, pa.binary()),
+                                pa.array((offsets[block] - block * _FRAME_BYTES) // width, pa.int64()),
+                                pa.array(docs, pa.int64()), pa.array([width] * len(docs), pa.int32()), pa.array(bodies, pa.binary()),
                             ],
-                            names=["shard", "position", "before", "doc_id", "ids"],
+                            names=["shard", "position", "before", "doc_id", "width", "ids"],
                         )
 
     listed = files.select("shard", "name").repartition("shard")
-    return listed.mapInArrow(read, "shard int, position long, before long, doc_id long, ids binary")
+    return listed.mapInArrow(read, "shard int, position long, before long, doc_id long, width int, ids binary")
 
 
 def _blocks(offsets: np.ndarray, n: int, seed: int | None, shard: int):
@@ -183,32 +185,29 @@ def _blocks(offsets: np.ndarray, n: int, seed: int | None, shard: int):
         start = stop
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int, spaces_count: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, ids): the whole text's ids and the end id, 4 bytes each. A null text is empty; rows without a key stay out."""
+def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4, spaces_count: bool = True) -> DataFrame:
+    """(doc_id, ids): the whole text's ids and the end id, ``width`` bytes each. A null text is empty."""
 
     def run(batches):
-        enc, end = encoder(tokenizer, spaces_count), struct.pack("<I", end_id)
-        for part, strings in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([x + end for x in enc(strings.to_pylist())], pa.binary())], names=["doc_id", "ids"]
-            )
+        enc = encoder(tokenizer, spaces_count, f"<u{width}")
+        for part, strings in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), binary(*with_end(*enc(strings), end_id))], names=["doc_id", "ids"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, ids binary"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def export(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> tuple[DataFrame, str]:
     """Encodes documents and writes them as record files in ascending doc_id order: (list of files, folder).
 
     The order is made by range-partitioning the documents by id before they are encoded, so each text is moved once and
-    encoded once. Repeated ids keep their rows side by side (ordered by text). Empty tables give no file.
+    encoded once. Ids take two bytes where the vocabulary allows. Rows without doc_id have no place and are left out. Repeated ids keep their rows side by side (ordered by text). Empty tables give no file.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "records")
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return write_records(encode(ordered, tokenizer, end_id), folder), folder
+    width = 2 if max(library(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    return write_records(encode(ordered, tokenizer, end_id, width), folder, width), folder
 
 
 def token_layout(files: DataFrame, folder: str) -> DataFrame:
@@ -216,19 +215,16 @@ def token_layout(files: DataFrame, folder: str) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            bodies = [x.as_buffer() for x in batch.column(3)]
+            wide = [np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4") for w, x in zip(batch.column(3).to_pylist(), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(k) for k in range(3)), pa.array([x.size // 4 for x in bodies], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in bodies], pa.int64()),
-                ],
+                [*(batch.column(k) for k in range(3)), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64())],
                 names=["shard", "before", "doc_id", "n_tokens", "ids_crc32"],
             )
 
     # one row a file
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
-    sized = read_records(files, folder).select("shard", "before", "doc_id", "ids").mapInArrow(
+    sized = read_records(files, folder).select("shard", "before", "doc_id", "width", "ids").mapInArrow(
         measure, "shard int, before long, doc_id long, n_tokens long, ids_crc32 long"
     )
     return sized.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

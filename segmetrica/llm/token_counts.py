@@ -2,34 +2,21 @@
 
 Offline, every vocabulary string is put to the tokenizer by itself; those that come back as exactly their own single
 token are proved "whole". A pre-token that is a whole token counts one; only the others go through the merges of the
-library. Texts are cut into space-separated units first (see ``units``), each different unit is split by the tokenizer's
-pattern once, and its count is kept in a bounded cache.
+library. Texts are cut into units first (see ``units``), each different unit is split by the tokenizer's pattern once, and its
+count is kept in a bounded cache.
 """
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rawtext import slices
-from .units import UnitCache, library, units
-
-
-def _byte_letters() -> dict[int, int]:
-    """The printable letter that stands for each byte in byte-level vocabularies: itself, or one from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
-
-
-LETTERS = _byte_letters()
-
-
-def letters(text: str) -> str:
-    return text.encode().decode("latin-1").translate(LETTERS)
+from .units import Cutter, UnitCache, letters, library, merges_only, special_strings
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -53,35 +40,34 @@ class Counter:
         import regex
 
         tok = library(path)
-        self.whole, self.split, self.model, self.tok = whole_tokens(path), regex.compile(pattern).findall, tok.model, tok
-        self.special = tuple(x.content for x in tok.get_added_tokens_decoder().values())
-        self.first, self.rest = UnitCache(self._make("")), UnitCache(self._make(" "))
-
-    def _make(self, lead: str):
-        def count(new: list[str]) -> list[int]:
-            return [self.count(lead + u) for u in new]
-
-        return count
+        self.whole, self.split, self.model, self.tok = whole_tokens(path), regex.compile(pattern).findall, merges_only(path), tok
+        self.special = special_strings(tok)
+        self.cut, self.units = Cutter(True, list(self.special)), UnitCache(lambda new: [self.count(u.decode()) for u in new])
 
     def count(self, unit: str) -> int:
         if any(s in unit for s in self.special):
             return len(self.tok.encode(unit, add_special_tokens=False).ids)
-        n = 0
-        for pre in self.split(unit):
-            piece = letters(pre)
-            n += 1 if piece in self.whole else len(self.model.tokenize(piece))
-        return n
+        pieces = map(letters, self.split(unit))
+        return sum(1 if p in self.whole else len(self.model.tokenize(p)) for p in pieces)
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        cut = [units(t) for t in texts]
-        lead = [[u.pop(0)] for u in cut]
-        first, rest = self.first.need(lead), self.rest.need(cut)
-        return [first[k[0]] + sum(map(rest.__getitem__, u)) for k, u in zip(lead, cut, strict=True)]
+    def __call__(self, strings: pa.Array) -> np.ndarray:
+        different, which, owner = self.cut(strings)
+        held = self.units.need([different])
+        n = np.fromiter((held[u] for u in different), np.int64, len(different))
+        total = np.concatenate([[0], np.cumsum(n[which])])
+        return np.diff(total[owner])
 
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
+def counter_of(path: str, pattern: str) -> Counter:
+    """One per worker process, kept between tasks."""
+    if (path, pattern) not in _COUNTERS:
+        _COUNTERS[path, pattern] = Counter(path, pattern)
+    return _COUNTERS[path, pattern]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) of whole texts; a null or empty text has 0 of both. One pass, no shuffle.
 
@@ -89,11 +75,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_
     """
 
     def run(batches):
-        if (tokenizer, pattern) not in _COUNTERS:
-            _COUNTERS[tokenizer, pattern] = Counter(tokenizer, pattern)
-        counter = _COUNTERS[tokenizer, pattern]
-        for part, strings in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counter(strings.to_pylist()), pa.int64())], names=["id", "n_bytes", "n_tokens"])
+        counter = counter_of(tokenizer, pattern)
+        for part, strings in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counter(strings))], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (
