@@ -47,8 +47,10 @@ _OTHER = frozenset(
     "navigation menu menus breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification "
     "alert popup modal overlay comment comments respond disqus replies share sharing social related recommended "
     "recommendations newsletter subscribe subscription signup login search pagination pager masthead toolbar widget widgets "
-    "copyright disclaimer teaser teasers outbrain taboola hidden skip".split()
+    "copyright disclaimer teaser teasers outbrain taboola hidden skip topbar rail".split()
 )
+#: A header named with one of these belongs to the article.
+_ARTICLE = frozenset("article post entry content story".split())
 _KEEP_ANYWAY = frozenset(("html", "body", "article", "main"))
 #: An open tag on the left is closed by a start tag on the right.
 _CLOSED_BY = {
@@ -72,8 +74,10 @@ def _other(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(w.lower() in _OTHER for w in _WORD_PARTS.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = {w.lower() for w in _WORD_PARTS.findall(value)}
+            if words & _OTHER or "header" in words and not words & _ARTICLE:
+                return True
     return False
 
 
