@@ -3,10 +3,11 @@
 1. Every text gives its set of word shingles (64-bit hashes), and ``HASHES`` minima of universal hash functions over it.
 2. Documents with equal sets are one class from here on, held by its smallest id.
 3. Bands of ``ROWS`` minima give bucket keys; classes that share a bucket may be linked.
-4. In each bucket, links are looked for in rounds. First every class is compared with the bucket's smallest, then with its
-   largest, each time only where the two aren't yet connected. Buckets that still hold several components are then
-   searched whole: classes outside the bucket's largest component against all others, in blocks of bounded size, by
-   signature. What is already connected needs no comparison, so large groups of copies cost about one comparison a class.
+4. In each bucket, links are looked for in rounds. First every class is compared with the bucket's hub, the class that
+   shares most buckets with others; then those that are not connected with the bucket's largest component have a hub of
+   their own. Buckets that still hold several components are then searched whole, in blocks of bounded size: signatures
+   gather what may be linked into clusters, and inside a cluster the full sets decide. What is already connected needs
+   no comparison, so large groups of copies cost about one comparison a class.
 5. A pair first passes a comparison of signatures, wide enough not to lose a link, and is then proved on the full sets.
 
 The chance that a pair at the limit of 0.75 shares no bucket is (1 - 0.75**5)**48, two in a million.
@@ -156,14 +157,35 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _main_roots(members: DataFrame) -> DataFrame:
+    """(key, main, most, all): each bucket's largest component, its members there, and all its members."""
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    return sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+
+
+def _hub_pairs(rows: DataFrame, outside_main: bool) -> DataFrame:
+    """Pairs (a, b) of each bucket's hub with its members of other components.
+
+    The hub is the member that shares most buckets with others, as the text that near copies were made from does;
+    ``outside_main`` takes it from the members outside the bucket's largest component.
+    """
+    able = rows
+    if outside_main:
+        able = rows.join(_main_roots(rows).select("key", "main"), "key").where("root <> main")
+    hubs = able.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("least"), "root")).alias("hub"))
+    hubs = hubs.select("key", (-F.col("hub.least")).alias("hub"), F.col("hub.root").alias("hub_root"))
+    pairs = rows.join(hubs, "key").where("root <> hub_root")
+    return pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+
+
 def _whole_buckets(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Close pairs of different components in the given buckets: all but the largest component against everything.
+    """Edges (a, b) that connect all documents of different components which signatures don't rule out, bucket by bucket.
 
-    Rows are (key, doc_id, root). Cells pair a block of the smaller components with a block of the bucket, so a cell has
-    at most about twice ``BLOCK`` small rows and emits only pairs that signatures don't rule out.
+    Rows are (key, doc_id, root); all but a bucket's largest component are compared with everything in it. Cells pair a
+    block of the smaller components with a block of the bucket, so a cell has at most about twice ``BLOCK`` small rows,
+    and it emits less than one edge a row.
     """
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-    per = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    per = _main_roots(members)
     per = per.withColumn("small", F.ceil((F.col("all") - F.col("most")) / BLOCK)).withColumn("large", F.ceil(F.col("most") / BLOCK))
     rows = members.join(per, "key")
     spot = F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("root") == F.col("main"), F.col("large")).otherwise(F.col("small")))
@@ -184,19 +206,50 @@ def _whole_buckets(members: DataFrame, sigs: DataFrame) -> DataFrame:
         doc, root = cell["doc_id"].to_numpy(), cell["root"].to_numpy()
         lead = cell["lead"].to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
-        one, two, a, b = np.flatnonzero(lead), np.flatnonzero(~lead), [], []
-        for i in one:
+        two, group = np.flatnonzero(~lead), np.arange(len(doc))
+        for i in np.flatnonzero(lead):
             near = (sig[two] == sig[i]).mean(axis=1) >= SURE_BELOW
             hit = two[near & (root[two] != root[i])]
-            a.append(np.minimum(doc[hit], doc[i]))
-            b.append(np.maximum(doc[hit], doc[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+            if len(hit):
+                joined = np.unique(np.append(group[hit], group[i]))
+                group[np.isin(group, joined)] = joined[0]
+        out = np.flatnonzero(group != np.arange(len(doc)))
+        return pa.table({"a": doc[group[out]], "b": doc[out]})
 
     cells = as_side.unionByName(leads)
     return cells.groupBy("key", "i", "j", "main").applyInArrow(run, "a long, b long")
 
 
+def _links_in_clusters(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components inside each cluster of close documents (cluster, doc_id, root).
+
+    All pairs of a cluster are looked at, but none leaves its task unless it is a link that joins two components. A
+    cluster is cut into blocks; a task holds the texts of two.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = clusters.join(sizes, "cluster").withColumn("spot", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(docs.select("doc_id", "text"), "doc_id").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("spot", "t").alias("i"), F.greatest("spot", "t").alias("j"), "spot", "doc_id", "root", "text")
+
+    def run(cell: pa.Table) -> pa.Table:
+        doc, spot = cell["doc_id"].to_numpy(), cell["spot"].to_numpy()
+        sets = shingle_sets(cell["text"].combine_chunks().cast(pa.string()).fill_null(""), SpanHasher())
+        size = np.array([len(s) for s in sets])
+        group = np.unique(cell["root"].to_numpy(), return_inverse=True)[1]
+        one, two = np.flatnonzero(spot == cell["i"][0].as_py()), np.flatnonzero(spot == cell["j"][0].as_py())
+        a, b = [], []
+        for x in one:
+            fits = (100 * np.minimum(size[two], size[x]) >= percent * np.maximum(size[two], size[x])) & (group[two] != group[x])
+            for y in two[fits & (two != x)]:
+                if group[y] != group[x] and similar_enough(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), size[x], size[y], percent):
+                    group[group == group[y]] = group[x]
+                    a.append(doc[x])
+                    b.append(doc[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row with a doc_id.
 
@@ -211,32 +264,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     member = materialize(sets.select("doc_id", "n_shingles", "d1", "d2").join(reps, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     held = sets.where("n_shingles > 0").join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = held.select("doc_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = materialize(banded.join(shared, "key").select("key", "doc_id", "low", "high"), "buckets")
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(banded.join(shared, "key").select("key", "doc_id", "size"), "buckets")
+    degree = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    members = materialize(members.drop("size").join(degree, "doc_id"), "buckets")
     sigs = sets.select("doc_id", "sig")
-    links = None
     labels = None
-    for pivot in ("low", "high", None):
+    for step in ("hub", "next hub", "all"):
         if labels is None:
-            open_rows = members.withColumn("root", F.col("doc_id"))
+            rows = members.withColumn("root", F.col("doc_id"))
         else:
-            open_rows = _labelled(members, labels)
-            several = open_rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-            open_rows = materialize(open_rows.join(several, "key", "left_semi"), "open-buckets")
-            if open_rows.isEmpty():
+            rows = _labelled(members, labels)
+            several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+            rows = materialize(rows.join(several, "key", "left_semi"), "open-buckets")
+            if rows.isEmpty():
                 break
-        if pivot is None:
-            found = _whole_buckets(open_rows.select("key", "doc_id", "root"), sigs).distinct()
+        if step == "all":
+            close = components(_whole_buckets(rows.select("key", "doc_id", "root"), sigs))
+            inside = close.union(close.select("root", "root").distinct()).toDF("doc_id", "cluster")
+            found = _links_in_clusters(_labelled(inside, labels), docs, percent)
         else:
-            pairs = open_rows.where(F.col(pivot) != F.col("doc_id")).select(F.least(pivot, "doc_id").alias("a"), F.greatest(pivot, "doc_id").alias("b"), "root").distinct()
-            if labels is not None:
-                pairs = _labelled(pairs.select(F.col("a").alias("doc_id"), "b"), labels).select(F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("b").alias("doc_id"))
-                pairs = _labelled(pairs, labels).where("ra <> root").select("a", F.col("doc_id").alias("b"))
-            found = _close_sigs(pairs.select("a", "b").distinct(), sigs)
-        found = materialize(found, "close-pairs")
-        new = materialize(_proved(found, docs, percent), "links")
-        links = new if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
-        labels = components(links)
+            close = _close_sigs(_hub_pairs(rows, outside_main=step != "hub"), sigs)
+            found = _proved(materialize(close, "close-pairs"), docs, percent)
+        new = materialize(found, "links")
+        labels = components(new if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
     roots = labels.select(F.col("node").alias("rep"), "root")
     return (
         member.join(roots, "rep", "left")

@@ -1,10 +1,10 @@
-"""Spark helpers of the operators: inputs, written tables, components, and running totals over ordered partitions."""
+"""Spark helpers of the operators: inputs, written tables, components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import materialize, scratch_path
 
 __all__ = ["components", "materialize", "scratch_path", "table", "written"]
@@ -14,38 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (a, b), as (node, root) with root the smallest node reachable.
-
-    Alternates large-star and small-star until the edges stay the same; the number of rounds follows the graph and has
-    no cap. Stars are formed by an aggregate and a join, so a node with very many neighbours is never gathered in one
-    group. Each round is written to the shared folder. Nodes without an edge to another node are not returned; an empty
-    input gives no rows. Null ends are ignored.
-    """
-    now = materialize(_ordered(edges.select("a", "b")), "edges")
-    seen = None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = _ordered(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(_ordered(small.union(least.select("a", F.col("m").alias("b")))), "edges")
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(row) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = tuple(row)
-
-
-def _ordered(edges: DataFrame) -> DataFrame:
-    """Each edge once, the larger end first."""
-    return (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table in the shared folder, compressed harder than the default, for rows that hold text or ids."""
     path = scratch_path(df.sparkSession, name)

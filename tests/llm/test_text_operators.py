@@ -377,10 +377,30 @@ def test_buckets_that_stay_open_are_searched_whole(spark):
         labels[k] = k % 3 if k < 600 else k
     sigs = spark.createDataFrame(rows, "doc_id long, sig binary")
     members = spark.createDataFrame([(1, k, labels[k]) for k in labels], "key long, doc_id long, root long")
-    got = {(r.a, r.b) for r in minhash._whole_buckets(members, sigs).collect()}
+    edges = minhash._whole_buckets(members, sigs)
+    assert edges.count() < 20 * len(labels)
+    got = {r.node: r.root for r in components(edges).collect()}
     value = {k: np.frombuffer(bytes(s), np.uint8) for k, s in rows}
-    want = {(a, b) for a in labels for b in labels if a < b and labels[a] != labels[b] and (value[a] == value[b]).mean() >= minhash.SURE_BELOW}
-    assert got == want and len(want) > 50_000
+    near = [(a, b) for a in labels for b in labels if a < b and labels[a] != labels[b] and (value[a] == value[b]).mean() >= minhash.SURE_BELOW]
+    assert len(near) > 50_000 and all(got.get(a, a) == got.get(b, b) for a, b in near)
+    assert len(set(got.values())) == 3
+
+
+def test_links_inside_clusters(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(700):
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 4, 5])):
+            w[at] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    clusters = spark.createDataFrame([(0, k, k) for k in range(len(texts))], "cluster long, doc_id long, root long")
+    edges = minhash._links_in_clusters(clusters, table(spark, texts), 75)
+    got = {r.node: r.root for r in components(edges).collect()}
+    want = {k: root for k, (_, root) in brute_components(texts).items()}
+    assert {k: got.get(k, k) for k in want} == want
+    assert edges.count() < 20 * len(texts)
 
 
 # --- 8 ------------------------------------------------------------------------------------
