@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .rawtext import mix, slices, stream
 from .shared import written
-from .units import binary, encoder, with_end
+from .units import SLICE, binary, encoder, with_end
 
 DIMS, BITS, HASHED = 4, 8, 4096
 RANGE_BYTES = 24 << 20
@@ -64,7 +64,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, spaces_count: bool =
 
     def run(batches):
         enc = encoder(tokenizer, spaces_count, "<u2")
-        for part, strings in slices(batches):
+        for part, strings in slices(batches, "text", SLICE):
             ids, at = with_end(*enc(strings), end_id)
             n = np.diff(at)
             sums = np.stack([np.add.reduceat(rows_of[:, k][ids], at[:-1]) for k in range(DIMS)])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .rawtext import slices
 from .shared import materialize, scratch_path
-from .units import binary, encoder, library, with_end
+from .units import SLICE, binary, encoder, library, with_end
 
 FILE_BYTES = 64 << 20
 FLUSH_BYTES = 4 << 20
@@ -169,7 +169,8 @@ def read_records(files: DataFrame, folder: str, shuffle_seed: int | None = None)
                             names=["shard", "position", "before", "doc_id", "width", "ids"],
                         )
 
-    listed = files.select("shard", "name").repartition("shard")
+    # as many tasks as files, each named outright, since the rows are too small for Spark to keep them apart
+    listed = files.select("shard", "name").repartition(max(1, files.count()))
     return listed.mapInArrow(read, "shard int, position long, before long, doc_id long, width int, ids binary")
 
 
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4, spaces_
 
     def run(batches):
         enc = encoder(tokenizer, spaces_count, f"<u{width}")
-        for part, strings in slices(batches):
+        for part, strings in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([part.column(0), binary(*with_end(*enc(strings), end_id))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rawtext import slices
-from .units import Cutter, UnitCache, letters, library, merges_only, special_strings
+from .units import SLICE, Cutter, UnitCache, letters, library, merges_only, special_strings
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_
 
     def run(batches):
         counter = counter_of(tokenizer, pattern)
-        for part, strings in slices(batches):
+        for part, strings in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counter(strings))], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -18,9 +18,10 @@ from itertools import filterfalse
 import numpy as np
 import pyarrow as pa
 
-from .rawtext import SpanHasher, raw
+from .rawtext import mix, raw
 
 CACHE = 300_000
+SLICE = 1 << 20
 
 #: Bytes beside a space at which a text may be cut: visible ASCII, and behind the space the first byte of a character
 #: that is surely no white space. In front of it a character of several bytes is told by its last two.
@@ -45,7 +46,7 @@ class Cutter:
     """Cuts a slice of texts into units and finds the different ones. ``special``: strings that must not be cut."""
 
     def __init__(self, spaces_count: bool, special: list[str]) -> None:
-        self.spaces_count, self.hasher, self.special = spaces_count, SpanHasher(), [x.encode() for x in special]
+        self.spaces_count, self.special = spaces_count, [x.encode() for x in special]
 
     def __call__(self, strings: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The different units, the number of each unit of the texts in order, and each text's first unit."""
@@ -73,27 +74,50 @@ class Cutter:
         owner = np.searchsorted(starts, at)
         if not self.spaces_count:
             starts = starts + ((data[starts] == 32) & ~edge[starts])
-        which = self.number(data, starts, ends)
+        eight = eights(data)
+        which = self.number(eight, starts, ends)
         sample = np.empty(int(which.max()) + 1, np.int64)
         sample[which] = np.arange(len(which))
-        if not self.same(data, starts, ends, sample[which]):  # two units share a hash: tell them apart by their bytes
+        if not self.same(eight, starts, ends, sample[which]):  # two units share a hash: tell them apart by their bytes
             seen: dict[bytes, int] = {}
             which = np.array([seen.setdefault(body[s:e], len(seen)) for s, e in zip(starts, ends, strict=True)])
             return list(seen), which, owner
         return [body[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)], which, owner
 
-    def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.unique(self.hasher(data, starts, ends), return_inverse=True)[1]
+    @staticmethod
+    def number(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The same number for units of equal bytes; nearly always another one for others."""
+        h = mix((ends - starts).astype(np.uint64))
+        for todo, (v,) in _loads(eight, ends - starts, starts):
+            h[todo] = mix(h[todo] * np.uint64(0x9E3779B97F4A7C15) + v)
+        return np.unique(h, return_inverse=True)[1]
 
     @staticmethod
-    def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    def same(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
         """Whether every unit has the bytes of the unit it is taken for."""
         size = ends - starts
-        if (size != size[like]).any():
-            return False
-        shift = np.repeat(starts[like] - starts, size)
-        inner = np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
-        return bool((data[inner] == data[inner + shift]).all())
+        return bool((size == size[like]).all()) and all((v == w).all() for _, (v, w) in _loads(eight, size, starts, starts[like]))
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros behind the end."""
+    out = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        out[:-k] |= out[k:] << np.uint64(8 * k)
+    return out
+
+
+def _loads(eight: np.ndarray, size: np.ndarray, *starts: np.ndarray):
+    """Eight bytes of each span at a time, from one or more lists of starts: (spans not at their end, values)."""
+    todo, done = np.arange(len(size)), 0
+    while len(todo):
+        left = size[todo] - done
+        mask = _MASK[np.minimum(left, 8)]
+        yield todo, [eight[s[todo] + done] & mask for s in starts]
+        todo, done = todo[left > 8], done + 8
 
 
 class UnitCache:
@@ -179,7 +203,7 @@ class Encoder:
             for u, w in zip(new, words, strict=True):
                 if w:
                     if not spaces_count:
-                        u = u.decode().lower().encode()
+                        u = u.lower() if u.isascii() else u.decode().lower().encode()
                     ids = [t.id for t in merge(u.decode("latin-1").translate(LETTERS))]
                 else:
                     ids = next(other).ids
