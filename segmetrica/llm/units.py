@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from .rawtext import mix, raw
 
-CACHE = 300_000
+CACHE = 200_000
 SLICE = 1 << 20
 
 #: Bytes beside a space at which a text may be cut: visible ASCII, and behind the space the first byte of a character
