@@ -1,13 +1,13 @@
-"""Removes passages that repeat across documents, by content-defined chunking.
+"""Removes passages that repeat across documents.
 
-A gear rolling hash over the last 16 bytes decides where a chunk ends, so equal passages are cut alike wherever they
-stand and an insertion only moves the cuts next to it. Chunks end at white space (or, much more rarely, inside long
-runs without any) and hold about ``MEAN`` bytes. Chunks are matched by a 64-bit digest. A chunk is a repeat if a
-document with a smaller id has it too; the document with the smallest id keeps its copy.
+A text is read as words between ASCII white space. A word goes if it lies in a window of ``PASSAGE`` + 1 neighbouring
+words that a document with a smaller id holds too, contiguously and in that order; the document with the smallest id
+keeps its copy. So no run of over ``PASSAGE`` words that an earlier document has stays, and nothing else goes. White
+space between words may differ. Text without white space has no words and stays.
 
-A single equal chunk says little, so a run of neighbouring repeats is taken for a repeated passage only if it holds at
-least ``CORE`` words and, with the chunks on both sides, at least ``PASSAGE``. A passage of at least ``PASSAGE`` words
-always meets the second condition, since it can begin and end only inside those two chunks.
+Windows are found in two steps. The smallest hash of the pieces of about half a window's words names the window; it is
+the same wherever the window stands, and neighbouring windows mostly share it, so there are few names. Only windows
+whose name another document has too are then matched, each by a 64-bit hash of all its words.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rawtext import SpanHasher, raw, slices, stream
+from .rawtext import SpanHasher, mix, raw, slices, stream, words_of
 
-MEAN, CORE, PASSAGE = 12, 25, 50
+MEAN, PASSAGE = 12, 50
 WORD_BYTES = 5  # rough bytes a word with its space, only used to set the share of spaces that end a chunk
 GEAR = stream(256, 21)
 _SPACE = np.zeros(256, bool)
@@ -46,6 +46,8 @@ def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Chunker:
+    """Cuts texts into content-defined chunks. remove_repeats doesn't use them: a few words that match prove no passage."""
+
     def __init__(self) -> None:
         self.hasher = SpanHasher()
 
@@ -58,78 +60,145 @@ class Chunker:
         return data, at, starts, ends, digests, np.searchsorted(starts, at)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id): every chunk of every text, once a document."""
+def least(x: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of each ``span`` neighbours."""
+    step = 1
+    while 2 * step <= span:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    rest = span - step
+    return np.minimum(x[: len(x) - rest], x[rest:])
+
+
+class Windows:
+    """The windows of ``size`` words of the texts in a buffer."""
+
+    def __init__(self, size: int) -> None:
+        self.hasher, self.size, self.piece = SpanHasher(), size, (size + 1) // 2
+
+    def _sums(self, words: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of each n neighbouring words."""
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(words * self.hasher.powers[: len(words)], out=total[1:])
+            return mix((total[n:] - total[:-n]) * self.hasher.inverse[: len(words) - n + 1] + np.uint64(n))
+
+    def __call__(self, strings: pa.Array):
+        """Text offsets, word starts, the first word of each text; of the window at each word its hash, its name, and whether it lies in one text."""
+        data, at = raw(strings)
+        _, starts, ends, first = words_of(data, at)
+        if len(starts) < self.size:
+            none = np.zeros(0, np.int64)
+            return data, at, starts, first, none, none, none.astype(bool)
+        words = self.hasher(data, starts, ends)
+        text = np.repeat(np.arange(len(strings)), np.diff(first))
+        inside = text[: len(text) - self.size + 1] == text[self.size - 1 :]
+        names = least(self._sums(words, self.piece), self.size - self.piece + 1)
+        return data, at, starts, first, self._sums(words, self.size).view(np.int64), names.view(np.int64), inside
+
+
+def _once(digests: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """(digest, doc_id) without repeats."""
+    for order in (slice(None), None):
+        order = np.lexsort((digests, docs)) if order is None else order
+        digests, docs = digests[order], docs[order]
+        new = np.ones(len(digests), bool)
+        new[1:] = (digests[1:] != digests[:-1]) | (docs[1:] != docs[:-1])
+        digests, docs = digests[new], docs[new]
+    return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(docs, pa.int64())], names=["digest", "doc_id"])
+
+
+def window_names(docs: DataFrame, size: int) -> DataFrame:
+    """(digest, doc_id): the names of all windows of every text, once a document."""
 
     def run(batches):
-        chunker = Chunker()
+        windows = Windows(size)
         for part, strings in slices(batches, "text"):
-            *_, digests, first = chunker(strings)
-            docs_of = np.repeat(part.column(0).to_numpy(), np.diff(first))
-            order = np.lexsort((digests, docs_of))
-            d, k = digests[order], docs_of[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(k[new])], names=["digest", "doc_id"])
+            _, _, _, first, _, names, inside = windows(strings)
+            keys = np.repeat(part.column(0).to_numpy(), np.diff(first))[: len(names)]
+            yield _once(names[inside], keys[inside])
 
     return docs.select("doc_id", "text").mapInArrow(run, "digest long, doc_id long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests): for each document the chunks that a smaller document has."""
-    chunks = chunk_table(docs)
-    first = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = chunks.join(first.select("digest", "first"), "digest").where("doc_id > first").select("doc_id", "digest")
+def named_windows(joined: DataFrame, size: int) -> DataFrame:
+    """(digest, doc_id): hashes of the windows whose name is in the row's ``__digests``."""
+
+    def run(batches):
+        windows = Windows(size)
+        for part, strings in slices(batches, "text"):
+            lists = part.column(part.schema.get_field_index("__digests"))
+            some = lists.is_valid()
+            if not some.true_count:
+                continue
+            lists, ids = lists.filter(some), part.column(part.schema.get_field_index("doc_id")).filter(some).to_numpy()
+            _, _, _, first, hashes, names, inside = windows(strings.filter(some))
+            for k in range(len(ids)):
+                lo, hi = first[k], min(first[k + 1], len(names))
+                inside[lo:hi] &= np.isin(names[lo:hi], lists[k].values.to_numpy())
+            yield _once(hashes[inside], np.repeat(ids, np.diff(first))[: len(names)][inside])
+
+    return joined.mapInArrow(run, "digest long, doc_id long")
+
+
+def repeats(pairs: DataFrame, later: bool) -> DataFrame:
+    """(__doc, __digests): for each document its digests that another document has, or with ``later`` one with a smaller id."""
+    first = pairs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    found = pairs.join(first.select("digest", "first"), "digest")
+    if later:
+        found = found.where("doc_id > first")
     # dealt first: lists made before the shuffle would hold one digest each and only take room
-    return later.repartition("doc_id").groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
+    found = found.select(F.col("doc_id").alias("__doc"), "digest").repartition("__doc")
+    return found.groupBy("__doc").agg(F.collect_list("digest").alias("__digests"))
 
 
-def _runs(hit: np.ndarray, words: np.ndarray, core: int, passage: int) -> list[tuple[int, int]]:
-    """Chunk ranges of runs of hits that are long enough; words counts each chunk's words."""
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    total = np.concatenate([[0], np.cumsum(words)])
-    out = []
-    for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        around = total[min(hi + 1, len(words))] - total[max(lo - 1, 0)]
-        if total[hi] - total[lo] >= core and around >= passage:
-            out.append((int(lo), int(hi)))
-    return out
+def _covered(hit: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of the words that lie in windows that are hits; hit has the window at each word that begins one."""
+    depth = np.zeros(len(hit) + size + 1, np.int64)
+    depth[: len(hit)] += hit
+    depth[size : size + len(hit)] -= hit
+    edge = np.diff(np.concatenate([[0], np.cumsum(depth) > 0, [0]]).astype(np.int8))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, core: int = CORE, passage: int = PASSAGE) -> DataFrame:
+def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """All columns of docs, with ``text`` without repeated passages, and spans: array of (start, end) in bytes of the old text.
 
     Needs columns doc_id and text. A text without repeats comes back as it was (null stays null); one that repeats
     wholly becomes empty. Rows without doc_id, and a repeat inside one document alone, are left alone. Of rows that
     share a doc_id each is cut alike. An input column ``spans`` is replaced. An empty table gives no rows.
 
-    Two shuffles carry only (digest, doc_id): one behind a map-side aggregate, and one join, which Spark splits where a
-    chunk is in very many documents. A document's list of repeated chunks is no longer than its own text.
+    Both steps shuffle (digest, doc_id) behind a map-side aggregate, and in a join, which Spark splits where a digest is
+    in very many documents. Names are few; window hashes are only made where a name repeats. Both joins of texts with
+    their lists use the same columns, so that the texts are dealt once.
     """
-    keyed = docs.drop("spans")
-    found = repeats(keyed.where("doc_id is not null"))
+    keyed, size = docs.drop("spans"), passage + 1
     columns = keyed.columns
     rest = [c for c in columns if c != "text"]
-    joined = keyed.join(found.withColumnRenamed("doc_id", "__doc").withColumnRenamed("digests", "__digests"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    own = keyed.where("doc_id is not null")
+    listed = lambda found: keyed.join(found, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    named = listed(repeats(window_names(own, size), later=False))
+    joined = listed(repeats(named_windows(named, size), later=True))
 
     def run(batches):
-        chunker = Chunker()
+        windows = Windows(size)
         for part, strings in slices(batches, "text"):
             lists, old = part.column(part.schema.get_field_index("__digests")), part.column(part.schema.get_field_index("text"))
             texts, spans = [], []
-            data, at, starts, ends, digests, first = chunker(strings)
-            inside = np.concatenate([[0], np.cumsum(_SPACE[data])])
+            data, at, starts, first, hashes, _, inside = windows(strings)
             for k in range(part.num_rows):
-                lo, hi = first[k], first[k + 1]
+                lo, hi = first[k], min(first[k + 1], len(hashes))
                 ranges = []
                 if lists[k].is_valid and hi > lo:
-                    hit = np.isin(digests[lo:hi], lists[k].values.to_numpy())
-                    ranges = _runs(hit, inside[ends[lo:hi]] - inside[starts[lo:hi]], core, passage)
+                    ranges = _covered(inside[lo:hi] & np.isin(hashes[lo:hi], lists[k].values.to_numpy()), size)
                 if not ranges:
                     texts.append(old[k].as_py())
                     spans.append([])
                     continue
-                cuts = [(int(starts[lo + a] - at[k]), int(ends[lo + b - 1] - at[k])) for a, b in ranges]
+                # a passage takes the white space behind it along, at the beginning of a text also that before it
+                edges = np.append(starts[lo : first[k + 1]], at[k + 1]) - at[k]
+                edges[0] = 0
+                cuts = [(int(edges[a]), int(edges[b])) for a, b in ranges]
                 body, keep, p = data[at[k] : at[k + 1]].tobytes(), [], 0
                 for a, b in cuts:
                     keep.append(body[p:a])

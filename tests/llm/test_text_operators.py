@@ -424,6 +424,43 @@ def test_repeated_passages_go(spark):
     assert chunks.remove_repeats(docs.limit(0)).count() == 0
 
 
+def brute_repeats(texts, size=51):
+    """Of each text the words that lie in no window of ``size`` words of an earlier text."""
+    seen, out = set(), {}
+    for k, t in enumerate(texts):
+        w = (t or "").encode().split()
+        own = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+        gone = {j for i in range(len(w) - size + 1) if tuple(w[i : i + size]) in seen for j in range(i, i + size)}
+        out[k] = [x.decode() for j, x in enumerate(w) if j not in gone]
+        seen |= own
+    return out
+
+
+def phrases(seed, n=40):
+    """Texts of common phrases in any order, some with a passage of 49 to 53 words of an earlier text, one word, or a long repeat."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(200)]
+    common = [" ".join(rng.choices(vocab, k=rng.randint(3, 12))) for _ in range(25)]
+    texts = []
+    for k in range(n):
+        w = " ".join(rng.choices(common, k=rng.randint(4, 25))).split()
+        if k % 3 == 2:
+            v = rng.choice(texts).split()
+            at, size = rng.randrange(max(1, len(v) - 53)), rng.randint(49, 53)
+            w[(i := rng.randrange(len(w))) : i] = v[at : at + size]
+        texts.append(rng.choice([" ", "\n", "  "]).join(w))
+    return [*texts, "word " * 50, "word " * 51, "word " * 200, "word\n" * 60 + "end", texts[0], " " + texts[1] + "\n"]
+
+
+def test_only_runs_of_one_earlier_text_go(spark):
+    texts = phrases(8) + made(5, 60, words=120)[0] + ODD
+    got = {r.doc_id: r for r in chunks.remove_repeats(table(spark, texts).repartition(5)).collect()}
+    want = brute_repeats(texts)
+    assert {k: (r.text or "").split() for k, r in got.items()} == {k: " ".join(w).split() for k, w in want.items()}
+    same = [k for k, t in enumerate(texts) if want[k] == [x.decode() for x in (t or "").encode().split()]]
+    assert 20 < len(same) < len(texts) - 10 and all(got[k].text == texts[k] and not got[k].spans for k in same)
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(6)
     text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(2000))
