@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -320,6 +321,48 @@ def test_licences(spark):
     assert not re.search("Exchange|Python|Arrow", plan)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+{} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+{} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL3_TEXT = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+GPL2_TEXT = GPL3_TEXT.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+
+
+def test_wrapped_licences(spark):
+    cases = [
+        (MIT_TEXT, "mit-title mit-grant mit-condition mit-warranty", "MIT"), (ISC_TEXT, "isc-grant", "ISC"),
+        *[(BSD_TEXT.format(*marks), "bsd-grant bsd-source bsd-binary bsd-names", "BSD-3-Clause") for marks in (("1.", "2.", "3."), "***", ("(1)", "(2)", "(3)"), ("a)", "b)", "c)"))],
+        (GPL3_TEXT, "gpl3-plus-header gpl-warranty", "GPL-3.0-or-later"), (GPL2_TEXT, "gpl2-plus-header gpl-warranty", "GPL-2.0-or-later"),
+        ("| a | table\nLicensed under CC BY-NC 4.0.", "cc-by-nc-4-notice", "CC-BY-NC-4.0"), ("This project is licensed\nunder the MIT License\nand more", "mit-notice", "MIT"),
+        ("Released under the\n\nMIT license", "mit-title", None), ("Released. Under the MIT license", "", None),
+    ]
+    texts, want = [], []
+    for text, ids, name in cases:
+        for width in (10_000, 80, 72, 40):
+            for mark in ("", "# ", " * ", "// ", "dnl "):
+                lines = [line for part in text.split("\n") for line in textwrap.wrap(part, width, break_on_hyphens=False) or [""]]
+                texts.append("\n".join(mark + line for line in lines))
+                want.append((ids.split(), [name] if name else []))
+    texts += ["." * 200_000 + "x", ":\n" * 100_000, "中" * 300_000, "\n" * 300_000, "; " * 100_000, " | ~" * 50_000]
+    got = {r.doc_id: (list(r.identifiers), list(r.licences)) for r in licences.scan(table(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == (want[k] if k < len(want) else ([], [])), t[:300]
+
+
 # --- 7 ------------------------------------------------------------------------------------
 
 def brute_components(texts, percent=75):
