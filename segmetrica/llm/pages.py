@@ -23,7 +23,7 @@ SPREAD = 0.5  # threshold, in standard deviations of the fused score
 MAIN_SHARE = 0.85  # the article holds at least this share of the accepted text
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|iframe|select|object|video|audio|canvas|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
@@ -57,6 +57,12 @@ _CLOSED_BY = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)),
     "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",)),
 }
+#: Left out whole up to their end tag; one without an end tag ends at the next of _STARTS.
+_SKIPPED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in "noscript template svg math iframe select object video audio canvas head".split()}
+_STARTS = frozenset(
+    "body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure "
+    "figcaption form fieldset address details summary hr".split()
+)
 _SCOPE = frozenset("table ul ol dl td th article section div main body html".split())
 
 
@@ -89,10 +95,19 @@ class _Page:
         self.blocks: list[tuple[int, ...]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, left out
         self.number, self.fresh, self.top = 0, True, {0}  # 0: the page itself
-        for m in _TOKEN.finditer(source):
-            tag = m.group(3)
+        self.unclosed = 0  # elements of _SKIPPED on the stack
+        at = 0
+        while m := _TOKEN.match(source, at):
+            tag, at = m.group(3), m.end()
             if tag:
-                (self.end if m.group(2) else self.start)(tag.lower(), m.group(4) or "")
+                tag, attrs = tag.lower(), m.group(4) or ""
+                if tag in _SKIPPED and not m.group(2) and not attrs.rstrip().endswith("/"):
+                    other = _SKIPPED[tag].search(source, at)
+                    if other and other.group(1):
+                        self.fresh |= tag not in _INLINE
+                        at = other.end()
+                        continue
+                (self.end if m.group(2) else self.start)(tag, attrs)
             elif m.group(1):
                 if m.group(1).lower() not in _INLINE:
                     self.fresh = True
@@ -100,6 +115,10 @@ class _Page:
                 self.text(m.group())
 
     def start(self, tag: str, attrs: str) -> None:
+        if self.unclosed and tag in _STARTS:
+            first = next((k for k, e in enumerate(self.stack) if e[0] in _SKIPPED), len(self.stack))
+            del self.stack[first:]
+            self.unclosed = 0
         if tag not in _INLINE:
             self.fresh = True
             if tag not in ("hr",):
@@ -117,7 +136,8 @@ class _Page:
             self.top.add(self.number)
         if tag == "header" and "article" not in names and "main" not in names:
             out = True
-        self.stack.append((tag, self.number, out or _other(tag, attrs)))
+        self.unclosed += tag in _SKIPPED
+        self.stack.append((tag, self.number, out or tag in _SKIPPED or _other(tag, attrs)))
 
     def wide(self, element: int) -> bool:
         return element in self.top

@@ -186,6 +186,22 @@ def test_pages(spark):
     assert pages.main_text(deep).startswith("text, here.")
 
 
+LONG = "This is a long sentence of the article, with commas, and it goes on; so it counts. " * 3
+
+
+def test_pages_with_tags_left_open():
+    body = f"<p>{LONG}</p><p>{LONG}second</p>"
+    want = f"{LONG.strip()}\n\n{LONG}second"
+    for head in ("<head><title>t</title>", "<head><meta charset=utf-8><style>p {}</style><title>t</title>\n", "<head><title>t</title><noscript>x</noscript></head>"):
+        assert pages.main_text(f"<html>{head}<body>{body}</body></html>") == want
+        assert pages.main_text(f"<html>{head}{body}") == want
+    for tag in ("select", "object", "iframe", "video", "audio", "canvas", "svg", "template", "noscript"):
+        for inside in ("<option>one<option>two", "text", ""):
+            assert pages.main_text(f"<body><p>{LONG}</p><{tag}>{inside}<p>{LONG}second</p>") == want, tag
+            assert pages.main_text(f"<body><p>{LONG}</p><{tag}>{inside}<p>no</p></div></{tag}><p>{LONG}second</p>") == want, tag
+    assert pages.main_text(f"<body><p>{LONG}</p><select><option>a<p>{LONG}second</p><select><option>b</select>") == want
+
+
 # --- 3 ------------------------------------------------------------------------------------
 
 def test_records_round_trip(spark, tmp_path):
