@@ -3,8 +3,9 @@
 A page is read into text leaves, each with its path of tags from the root. Over all leaves of one path the text length
 and the punctuation are added up; a path's ratios are both, divided by its leaves. The ratios, taken in page order,
 are smoothed, fused into one score by their geometric mean, and compared with a threshold. The smallest element that
-holds nearly all accepted text is the article; its blocks are the result, without parts whose tag, role or class says
-that they are something else.
+holds nearly all accepted text is the article; its blocks are the result, without parts whose tag or role says that
+they are something else. A class or id that says so is only a hint: it doesn't count for headings, for an element that
+holds nearly all accepted text, nor for one whose own ratios are near those of the article, if its id has other words too.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .rawtext import slices
 SMOOTH = np.array([0.25, 0.5, 1.0, 0.5, 0.25])
 SPREAD = 0.5  # threshold, in standard deviations of the fused score
 MAIN_SHARE = 0.85  # the article holds at least this share of the accepted text
+NAMED = 0.5  # an element with a doubtful id needs this share of the article's ratios
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -51,6 +53,7 @@ _OTHER = frozenset(
 )
 #: A header named with one of these belongs to the article.
 _ARTICLE = frozenset("article post entry content story".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEEP_ANYWAY = frozenset(("html", "body", "article", "main"))
 #: An open tag on the left is closed by a start tag on the right.
 _CLOSED_BY = {
@@ -67,7 +70,7 @@ _SCOPE = frozenset("table ul ol dl td th article section div main body html".spl
 
 
 def _other(tag: str, attrs: str) -> bool:
-    """Whether an element's tag, role, class, id or style says that its text isn't the article's."""
+    """Whether an element's tag, role or style says that its text isn't the article's."""
     if tag in _NEVER:
         return True
     if not attrs.strip() or tag in _KEEP_ANYWAY:
@@ -80,18 +83,34 @@ def _other(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _WORD_PARTS.findall(value)}
-            if words & _OTHER or "header" in words and not words & _ARTICLE:
-                return True
     return False
 
 
+def _named(tag: str, attrs: str) -> str:
+    """Whether class or id hint that an element's text isn't the article's: "" (no), "yes", or "doubtful" for an id with other words."""
+    hint = ""
+    if not attrs.strip() or tag in _KEEP_ANYWAY or tag in _HEADINGS:
+        return hint
+    for name, value in _ATTR.findall(attrs):
+        name = name.lower()
+        # ids inside a line are anchors
+        if name == "class" or name == "id" and tag not in _INLINE:
+            parts = _WORD_PARTS.findall(value)
+            words = {w.lower() for w in parts}
+            if words & _OTHER or "header" in words and not words & _ARTICLE:
+                if name == "class" or not any(w not in _OTHER and not w.isdigit() for w in words):
+                    return "yes"
+                hint = "doubtful"
+    return hint
+
+
 class _Page:
     """Leaves (text, path, block number) of one page, and for each block the numbers of the elements that can hold blocks."""
 
     def __init__(self, source: str) -> None:
         self.leaves: list[tuple[str, str, int]] = []
+        self.hints: dict[int, str] = {}  # elements that class or id name as something else
+        self.under: list[tuple[int, ...]] = []  # of each leaf, those that hold it
         self.blocks: list[tuple[int, ...]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, left out
         self.number, self.fresh, self.top = 0, True, {0}  # 0: the page itself
@@ -137,6 +156,8 @@ class _Page:
         if tag == "header" and "article" not in names and "main" not in names:
             out = True
         self.unclosed += tag in _SKIPPED
+        if hint := _named(tag, attrs):
+            self.hints[self.number] = hint
         self.stack.append((tag, self.number, out or tag in _SKIPPED or _other(tag, attrs)))
 
     def wide(self, element: int) -> bool:
@@ -165,13 +186,14 @@ class _Page:
     def text(self, body: str) -> None:
         if self.stack and self.stack[-1][2]:
             return
-        if any(t == "header" for t, _, _ in self.stack) and not any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in self.stack):
+        if any(t == "header" for t, _, _ in self.stack) and not any(t in _HEADINGS for t, _, _ in self.stack):
             return
         if self.fresh:
             if not body.strip():
                 return
             self.blocks.append((0, *(n for t, n, _ in self.stack if t not in _BLOCKS and t not in _INLINE)))
             self.fresh = False
+        self.under.append(tuple(n for _, n, _ in self.stack if n in self.hints) if self.hints else ())
         self.leaves.append((html.unescape(body), "/".join(t for t, _, _ in self.stack), len(self.blocks) - 1))
 
 
@@ -188,14 +210,52 @@ def path_scores(leaves: list[tuple[str, str, int]]) -> np.ndarray:
     return np.sqrt(smooth(ratio(length)) * smooth(ratio(marks)))
 
 
+def _accepted(leaves: list[tuple[str, str, int]], size: np.ndarray) -> np.ndarray:
+    score = path_scores(leaves)
+    return (score >= min(SPREAD * score.std(), score.max())) & (size > 0)
+
+
+def _ratios(leaves: list[tuple[str, str, int]]) -> float:
+    """The fused ratios of leaves taken together."""
+    texts = [b for b, _, _ in leaves if b.strip()]
+    return (sum(len(b.strip()) for b in texts) * sum(len(_PUNCTUATION.findall(b)) for b in texts)) ** 0.5 / max(len(texts), 1)
+
+
+def _left_out(page: _Page) -> set[int]:
+    """The elements named by class or id whose text is left out."""
+    size = np.array([len(b.strip()) for b, _, _ in page.leaves])
+    accepted = _accepted(page.leaves, size)
+    held: dict[int, int] = {}
+    for k in np.flatnonzero(accepted):
+        for n in page.under[k]:
+            held[n] = held.get(n, 0) + int(size[k])
+    out = {n for n in page.hints if held.get(n, 0) < MAIN_SHARE * size[accepted].sum() or not held}
+    under: dict[int, list[int]] = {}
+    for k, u in enumerate(page.under):
+        for n in u:
+            under.setdefault(n, []).append(k)
+    inside = lambda n: [page.leaves[k] for k in under.get(n, ()) if not any(o in out and o > n for o in page.under[k])]
+    rest = [x for x, u in zip(page.leaves, page.under, strict=True) if not out.intersection(u)]
+    if not any(b.strip() for b, _, _ in rest):
+        # nothing else is there: the one most like an article
+        if best := max(out, key=lambda n: (_ratios(inside(n)), -n), default=0):
+            out -= {best, *(o for k, u in enumerate(page.under) if best in u for o in u if o < best)}
+        return out
+    good = _accepted(rest, np.array([len(b.strip()) for b, _, _ in rest]))
+    level = NAMED * _ratios([rest[k] for k in np.flatnonzero(good)])
+    return out - {n for n in sorted(out) if page.hints[n] == "doubtful" and _ratios(inside(n)) >= level > 0}
+
+
 def main_text(source: str) -> str:
     """The article of a page, blocks joined by blank lines; empty if there is none."""
     page = _Page(source)
+    if page.leaves and any(page.under):
+        out = _left_out(page)
+        page.leaves = [x for x, u in zip(page.leaves, page.under, strict=True) if not out.intersection(u)]
     if not page.leaves:
         return ""
-    score = path_scores(page.leaves)
     size = np.array([len(b.strip()) for b, _, _ in page.leaves])
-    accepted = (score >= min(SPREAD * score.std(), score.max())) & (size > 0)
+    accepted = _accepted(page.leaves, size)
     if not accepted.any():
         return ""
     held: dict[int, int] = {}

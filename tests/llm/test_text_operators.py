@@ -202,6 +202,19 @@ def test_pages_with_tags_left_open():
     assert pages.main_text(f"<body><p>{LONG}</p><select><option>a<p>{LONG}second</p><select><option>b</select>") == want
 
 
+def test_names_are_only_hints():
+    body = f"<h2 id='related-work'>Related work</h2><p>{LONG}</p><h3 id='search-algorithms' class='share'>Search</h3><p>{LONG}second</p>"
+    want = f"Related work\n\n{LONG.strip()}\n\nSearch\n\n{LONG}second"
+    side = "<div class='sidebar'><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></div><div id='comments'><p>Nice, thanks.</p></div>"
+    for name in ("site has-sidebar", "no-sidebar", "content ad-free", "x"):
+        for tag in ("div", "section"):
+            assert pages.main_text(f"<body><{tag} class='{name}'>{body}{side}</{tag}></body>") == want, name
+            assert pages.main_text(f"<body>{side}<div id='page-search'><{tag} class='{name}'><div>{body}</div>{side}</{tag}></div></body>") == want, name
+    part = f"<section id='related-work'><h2>Related</h2><p>{LONG}third</p><p>{LONG}fourth</p></section>"
+    assert pages.main_text(f"<article>{body}{part}<div id='related-posts'><a href=x>Other</a><a href=y>More</a></div></article>") == f"{want}\n\nRelated\n\n{LONG}third\n\n{LONG}fourth"
+    assert pages.main_text(f"<article>{body}<div class='comments'><p>{LONG}</p></div></article>") == want
+
+
 # --- 3 ------------------------------------------------------------------------------------
 
 def test_records_round_trip(spark, tmp_path):
