@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rawtext import slices
-from .shared import materialize
+from .shared import materialize, written
 
 WINDOW = 10
 SAMPLE = 8
@@ -194,7 +194,7 @@ def scan(texts: list[str], phrases: Phrases):
     return counts, spans, items
 
 
-_SCAN = "doc_id long, n_words long, spans array<array<int>>, items array<string>"
+_SCAN = "row long, doc_id long, n_words long, spans array<array<int>>, items array<string>"
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -205,13 +205,16 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     ignored; repeated items count once by id. A document row gives a row; an empty benchmark gives rows without hits.
 
     The benchmark goes to the tasks in blocks of items of about ``block_bytes``, the size being measured first, and
-    every block is searched in all documents; with one block there is no shuffle at all.
+    every block is searched in all documents; with one block there is no shuffle at all. With more, documents are written
+    once with a number for each row, by which what the blocks found is merged.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / block_bytes))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    if blocks > 1:
+        docs = written(docs, "numbered")
 
     def search(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
@@ -223,21 +226,21 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 counts, spans, found = scan(strings.to_pylist(), phrases)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+                        part.column(2), part.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
                         pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    names=["row", "doc_id", "n_words", "spans", "items"],
                 )
 
         return docs.mapInArrow(run, _SCAN)
 
     if blocks == 1:
-        return search(0)
+        return search(0).drop("row")
     parts = None
     for block in range(blocks):
         one = materialize(search(block), "passages")
         parts = one if parts is None else parts.union(one)
-    merged = parts.groupBy("doc_id").agg(
+    merged = parts.groupBy("row", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -247,7 +250,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         (F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= s[0]),
         F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], s[1])))),
     ).otherwise(F.concat(acc, F.array(s)))
-    return merged.withColumn("spans", F.aggregate("spans", start, join))
+    return merged.drop("row").withColumn("spans", F.aggregate("spans", start, join))
 
 
 def hit_words(spans: str = "spans"):

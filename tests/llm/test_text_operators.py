@@ -600,6 +600,17 @@ def test_benchmark_passages(spark, block):
     assert fm_index.find_passages(table(spark, texts).limit(0), bench).count() == 0
 
 
+def test_every_row_has_its_own_passages(spark):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(8)]
+    rows = [(1, items[0][1]), (1, f"a {items[1][1]}"), (None, items[2][1]), (None, "plain"), (None, None), (1, items[0][1]), (2, f"{items[3][1]} {items[7][1]}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(str((d, len((t or "").split()), [str(i) for i, x in items if x in (t or "")])) for d, t in rows)
+    for block in (1 << 24, 100):
+        got = fm_index.find_passages(docs, bench, block_bytes=block)
+        assert got.columns == ["doc_id", "n_words", "spans", "items"]
+        assert sorted(str((r.doc_id, r.n_words, list(r["items"]))) for r in got.collect()) == want
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for it in range(100):
