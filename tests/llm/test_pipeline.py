@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
-from test_text_operators import ODD, brute_components, brute_passages, made
+from test_text_operators import ODD, brute_components, brute_passages, brute_repeats, made, phrases
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -75,6 +75,24 @@ def test_stages(spark, tmp_path):
     assert sorted(r[0] for r in whole.select(key).collect()) == sorted(r[0] for r in docs.select(key).collect())
 
 
+def test_repeats_against_brute_force(spark, tmp_path):
+    texts = phrases(12, 60) + made(13, 40, words=110)[0] + ODD
+    rows = [(k, t, "en", "s", None if t is None else len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()}
+    seen, want = set(), brute_repeats(texts)
+    assert {k: (r.text or "").encode().split() for k, r in got.items()} == {k: [x.encode() for x in w] for k, w in want.items()}
+    for k, t in enumerate(texts):
+        old = (t or "").encode().split()
+        runs = {tuple(old[i : i + 51]) for i in range(len(old) - 50)}
+        left = (got[k].text or "").encode().split()
+        if runs & seen:
+            assert len(left) < len(old)
+        else:
+            assert (got[k].text, got[k].n_chars) == (t, rows[k][4])
+        seen |= runs
+
+
 def test_no_labels_and_no_rows(spark, tmp_path):
     texts, _ = fixture(spark, str(tmp_path), labels=False)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
