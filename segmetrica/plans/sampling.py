@@ -249,7 +249,7 @@ def header_probe(spark, sf):
     blank = F.lit("00" * 413)
     tag = F.concat(F.lit("00" * 32), F.lit("58696E6700000001"), word(k + 1, 8), F.lit("00" * (413 - 44)))
     frames = F.concat(F.lit("FFFB9000"), F.when(k % 2 == 1, tag).otherwise(blank), F.lit("FFFB9000"), blank)
-    mpeg = F.concat(F.encode(F.substring("html", 1, 200), "UTF-8"), F.unhex(frames))
+    mpeg = F.concat(F.encode("html", "UTF-8"), F.unhex(frames))
     content = F.when(k % 3 == 0, riff).when(k % 3 == 1, mpeg).otherwise(F.encode("html", "UTF-8"))
     return probe(B.table(spark, sf, "pages").select(k.cast("string").alias("path"), content.alias("content")))
 
