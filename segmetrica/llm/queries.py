@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, curve_packing, fm_index, language, licences, minhash, neighbours, pages, records, token_counts
+from . import chunks, curve_packing, fm_index, language, licences, merkle, minhash, neighbours, pages, records, token_counts
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,15 @@ def op10_decontaminate(spark, sf_dir):
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "spans",
     )
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    """Leaf, root and proof of every document; every third one by hash is checked with a changed text."""
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(docs, tampered=third)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+ORACLES["op13_merkle_manifest"] = merkle.oracle()
