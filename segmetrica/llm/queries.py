@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, curve_packing, fm_index, language, licences, merkle, minhash, neighbours, pages, records, token_counts
+from . import chunks, curve_packing, fm_index, language, licences, merkle, minhash, neighbours, pages, records, token_counts, whitening
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,13 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
+@query
+def op12_whitening(spark, sf_dir):
+    """Eight whitened coordinates of every vector, from the exact covariance of all of them."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     """Leaf, root and proof of every document; every third one by hash is checked with a changed text."""
