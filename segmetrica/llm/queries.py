@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, curve_packing, fm_index, language, licences, merkle, minhash, neighbours, pages, records, token_counts, whitening
+from . import chunks, curve_packing, fm_index, language, licences, merkle, minhash, mixing, neighbours, pages, records, token_counts, whitening
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,14 @@ def op10_decontaminate(spark, sf_dir):
     )
 
 
+@query
+def op11_context_mixing(spark, sf_dir):
+    """Log-probability of every document by a mixing model of all documents that aren't held out, beside unigrams."""
+    seventh = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    found = mixing.score(table(spark, sf_dir, "documents"), ~seventh)
+    return found.select("doc_id", seventh.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query
 def op12_whitening(spark, sf_dir):
     """Eight whitened coordinates of every vector, from the exact covariance of all of them."""
