@@ -80,7 +80,7 @@ def _rename(store, base: str, old: str, new: str) -> None:
     store.move(f"{base}/{old}", f"{base}/{new}")
 
 
-_FILES = "shard int, name string, records long, ids long, bytes long"
+_FILES = "shard long, name string, records long, ids long, bytes long"
 
 
 def write_records(rows: DataFrame, folder: str, width: int = 4) -> DataFrame:
@@ -108,8 +108,8 @@ def write_records(rows: DataFrame, folder: str, width: int = 4) -> DataFrame:
             _rename(store, base, f"{tag}.idx", f"{name}.idx")
             _rename(store, base, f"{tag}.bin", f"{name}.bin")
             row = pa.RecordBatch.from_pylist(
-                [{"shard": part * 100_000 + made, "name": name, "records": len(offsets) - 1, "ids": ids, "bytes": offsets[-1]}],
-                schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]),
+                [{"shard": part << 32 | made, "name": name, "records": len(offsets) - 1, "ids": ids, "bytes": offsets[-1]}],
+                schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]),
             )
             out, offsets, ids, made = None, [], 0, made + 1
             waiting.clear()
@@ -139,7 +139,8 @@ def write_records(rows: DataFrame, folder: str, width: int = 4) -> DataFrame:
 def read_records(files: DataFrame, folder: str, shuffle_seed: int | None = None) -> DataFrame:
     """Rows (shard, position, before, doc_id, width, ids) of all listed files, every checksum proved.
 
-    ``before`` counts the ids that stand earlier in the same file, which the index gives. Records are found through the
+    ``before`` counts the ids that stand earlier in the same file, which the index gives, and those of the column
+    ``base`` of the list, if it has one. Records are found through the
     index and read in blocks of neighbours; with ``shuffle_seed`` they come one by one in an order drawn from the seed.
     A damaged file raises ``DamagedRecord``.
     """
@@ -147,7 +148,7 @@ def read_records(files: DataFrame, folder: str, shuffle_seed: int | None = None)
     def read(batches):
         store, base = _store(folder)
         for batch in batches:
-            for shard, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for shard, name, earlier in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(f"{base}/{name}.idx") as f:
                     offsets = np.frombuffer(f.read(), "<u8").astype(np.int64)
                 with store.open_input_file(f"{base}/{name}.bin") as f:
@@ -162,16 +163,17 @@ def read_records(files: DataFrame, folder: str, shuffle_seed: int | None = None)
                             bodies.append(bytes(payload[9:]))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([shard] * len(docs), pa.int32()), pa.array(block, pa.int64()),
-                                pa.array((offsets[block] - block * _FRAME_BYTES) // width, pa.int64()),
+                                pa.array([shard] * len(docs), pa.int64()), pa.array(block, pa.int64()),
+                                pa.array((offsets[block] - block * _FRAME_BYTES) // width + earlier, pa.int64()),
                                 pa.array(docs, pa.int64()), pa.array([width] * len(docs), pa.int32()), pa.array(bodies, pa.binary()),
                             ],
                             names=["shard", "position", "before", "doc_id", "width", "ids"],
                         )
 
     # as many tasks as files, each named outright, since the rows are too small for Spark to keep them apart
-    listed = files.select("shard", "name").repartition(max(1, files.count()))
-    return listed.mapInArrow(read, "shard int, position long, before long, doc_id long, width int, ids binary")
+    base = F.col("base") if "base" in files.columns else F.lit(0)
+    listed = files.select("shard", "name", base.cast("long").alias("base")).repartition(max(1, files.count()))
+    return listed.mapInArrow(read, "shard long, position long, before long, doc_id long, width int, ids binary")
 
 
 def _blocks(offsets: np.ndarray, n: int, seed: int | None, shard: int):
@@ -216,16 +218,15 @@ def token_layout(files: DataFrame, folder: str) -> DataFrame:
 
     def measure(batches):
         for batch in batches:
-            wide = [np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4") for w, x in zip(batch.column(3).to_pylist(), batch.column(4), strict=True)]
+            wide = [np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4") for w, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(3)), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64())],
-                names=["shard", "before", "doc_id", "n_tokens", "ids_crc32"],
+                [batch.column(1), batch.column(0), pa.array([len(x) for x in wide], pa.int64()), pa.array([zlib.crc32(x) for x in wide], pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    # one row a file
+    # one row a file; what stands before a file goes along with its name, so no table of documents is joined
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("base"))
-    sized = read_records(files, folder).select("shard", "before", "doc_id", "width", "ids").mapInArrow(
-        measure, "shard int, before long, doc_id long, n_tokens long, ids_crc32 long"
+    based = files.withColumn("base", F.coalesce(F.sum("ids").over(earlier), F.lit(0)))
+    return read_records(based, folder).select("before", "doc_id", "width", "ids").mapInArrow(
+        measure, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
-    return sized.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
