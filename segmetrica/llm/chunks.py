@@ -5,9 +5,12 @@ words that a document with a smaller id holds too, contiguously and in that orde
 keeps its copy. So no run of over ``PASSAGE`` words that an earlier document has stays, and nothing else goes. White
 space between words may differ. Text without white space has no words and stays.
 
-Windows are found in two steps. The smallest hash of the pieces of about half a window's words names the window; it is
-the same wherever the window stands, and neighbouring windows mostly share it, so there are few names. Only windows
-whose name another document has too are then matched, each by a 64-bit hash of all its words.
+Texts are cut into content-defined chunks: a gear hash rolls over the bytes of the words, and a chunk ends at each word
+whose hash is the least of some ``reach`` neighbouring word ends. Ends depend on their neighbourhood alone, so an
+insertion changes the chunks around it only, and no chunk has over ``reach`` words. A passage that two texts share holds
+whole chunks, the same in both; so a digest of each chunk finds all texts that may share it. A window of words is looked
+at only if all chunks in its middle stand in another document, and goes if its own hash does in an earlier one: that
+settles the edges word by word and proves that the passage stands there as a whole.
 """
 
 from __future__ import annotations
@@ -19,45 +22,35 @@ from pyspark.sql import functions as F
 
 from .rawtext import SpanHasher, mix, raw, slices, stream, words_of
 
-MEAN, PASSAGE = 12, 50
-WORD_BYTES = 5  # rough bytes a word with its space, only used to set the share of spaces that end a chunk
+PASSAGE = 50
 GEAR = stream(256, 21)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_AT_SPACE = np.uint64((1 << 64) * WORD_BYTES // MEAN)
-_ANYWHERE = np.uint64((1 << 64) // 128)
+GEAR_BYTES = 8  # the gear hash knows the last eight bytes, so at most the last GEAR_WORDS words
+GEAR_WORDS = 4
 
 
-def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ends of all chunks of the texts in a buffer; a text's end is one too."""
-    h = GEAR[data]
-    with np.errstate(over="ignore"):
-        # h[i] = sum over the last 16 bytes of value << 4 * distance, by doubling
-        for span in (1, 2, 4, 8):
-            h[span:] += h[:-span] << np.uint64(4 * span)
-    space = _SPACE[data]
-    starts = np.ones(len(data), bool)  # of characters: the next byte doesn't continue one
-    starts[:-1] = (data[1:] & 0xC0) != 0x80
-    run = np.arange(len(data))
-    since = run - np.maximum.accumulate(np.where(space, run, -1))
-    cut = (h < _ANYWHERE) & starts & (since > 64) | space & (h < _AT_SPACE)
-    cut[at[1:][at[1:] > 0] - 1] = True
-    return np.flatnonzero(cut) + 1
-
-
-class Chunker:
-    """Cuts texts into content-defined chunks. remove_repeats doesn't use them: a few words that match prove no passage."""
+def reach_of(size: int) -> int:
+    """Neighbours among which a chunk's end has the least hash, for windows of ``size`` words.
 
-    def __init__(self) -> None:
-        self.hasher = SpanHasher()
-
-    def __call__(self, strings: pa.Array):
-        """Per buffer: bytes, text offsets, chunk starts and ends, digests, and the first chunk of each text."""
-        data, at = raw(strings)
-        ends = chunk_ends(data, at) if len(data) else np.zeros(0, np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        digests = self.hasher(data, starts, ends).astype(np.int64)
-        return data, at, starts, ends, digests, np.searchsorted(starts, at)
+    In a shared window the hashes agree behind the first GEAR_WORDS words, ends agree where all neighbours up to reach - 1
+    words away lie there too, and each stretch of reach words has an end. Twice that many words are left in the middle.
+    """
+    return max(1, (size - GEAR_WORDS) // 4)
+
+
+def gear(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rolling hash at the last byte of every word, over words with one space between them."""
+    sizes = ends - starts + 1
+    at = np.cumsum(sizes)
+    body = np.full(int(at[-1]) if len(at) else 0, 32, np.uint8)
+    inner = np.ones(len(body), bool)
+    inner[at - 1] = False
+    body[inner] = data[np.repeat(starts - (at - sizes), sizes - 1) + np.flatnonzero(inner)]
+    h = GEAR[body]
+    with np.errstate(over="ignore"):
+        # h[i] = sum over the last eight bytes of value << 8 * distance, by doubling
+        for span in (1, 2, 4):
+            h[span:] += h[:-span] << np.uint64(8 * span)
+    return mix(h[at - 2]) if len(at) else h
 
 
 def least(x: np.ndarray, span: int) -> np.ndarray:
@@ -70,31 +63,66 @@ def least(x: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:])
 
 
-class Windows:
-    """The windows of ``size`` words of the texts in a buffer."""
-
-    def __init__(self, size: int) -> None:
-        self.hasher, self.size, self.piece = SpanHasher(), size, (size + 1) // 2
+class Chunker:
+    """Chunks of the texts in a buffer, and windows of ``size`` of their words."""
 
-    def _sums(self, words: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of each n neighbouring words."""
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(words * self.hasher.powers[: len(words)], out=total[1:])
-            return mix((total[n:] - total[:-n]) * self.hasher.inverse[: len(words) - n + 1] + np.uint64(n))
+    def __init__(self, size: int = PASSAGE + 1) -> None:
+        self.hasher, self.size, self.reach = SpanHasher(), size, reach_of(size)
 
-    def __call__(self, strings: pa.Array):
-        """Text offsets, word starts, the first word of each text; of the window at each word its hash, its name, and whether it lies in one text."""
+    def __call__(self, strings: pa.Array) -> None:
         data, at = raw(strings)
         _, starts, ends, first = words_of(data, at)
-        if len(starts) < self.size:
-            none = np.zeros(0, np.int64)
-            return data, at, starts, first, none, none, none.astype(bool)
-        words = self.hasher(data, starts, ends)
-        text = np.repeat(np.arange(len(strings)), np.diff(first))
-        inside = text[: len(text) - self.size + 1] == text[self.size - 1 :]
-        names = least(self._sums(words, self.piece), self.size - self.piece + 1)
-        return data, at, starts, first, self._sums(words, self.size).view(np.int64), names.view(np.int64), inside
+        self.data, self.at, self.starts, self.first = data, at, starts, first
+        n = len(starts)
+        self.text = np.repeat(np.arange(len(strings)), np.diff(first))
+        # a chunk's last word has the least hash of some ``reach`` neighbours in its text, or ends the text
+        last = np.zeros(n, bool)
+        last[first[1:][np.diff(first) > 0] - 1] = True
+        if n >= self.reach:
+            h, r = gear(data, starts, ends), self.reach
+            low = least(h, r)
+            low[self.text[: n - r + 1] != self.text[r - 1 :]] = 0
+            edge = np.zeros(r - 1, np.uint64)
+            last |= ~least(~np.concatenate([edge, low, edge]), r) == h
+        self.chunk_end = np.flatnonzero(last) + 1
+        self.chunk_start = np.concatenate([[0], self.chunk_end[:-1]]) if len(self.chunk_end) else self.chunk_end
+        self.hasher._grow(len(data) + 1)
+        words = self.hasher(data, starts, ends) if n else np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            self.total = np.zeros(n + 1, np.uint64)
+            np.cumsum(words * self.hasher.powers[:n], out=self.total[1:])
+        self.digests = self._sums(self.chunk_start, self.chunk_end)
+        self.chunk_text = self.text[self.chunk_start]
+
+    def _sums(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of words."""
+        with np.errstate(over="ignore"):
+            return mix((self.total[end] - self.total[start]) * self.hasher.inverse[start] + (end - start).astype(np.uint64)).view(np.int64)
+
+    def chunk_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where chunks start and end in the buffer, with the white space behind them."""
+        ends = np.append(self.starts, 0)[self.chunk_end % max(1, len(self.starts))] if len(self.starts) else self.chunk_end
+        closes = np.append(self.chunk_text[1:] != self.chunk_text[:-1], True) if len(self.chunk_end) else np.zeros(0, bool)
+        ends = np.where(closes, self.at[self.chunk_text + 1], ends)
+        begins = np.where(np.concatenate([[True], closes[:-1]]), self.at[self.chunk_text], self.starts[self.chunk_start]) if len(ends) else ends
+        return begins, ends
+
+    def windows(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words at which windows begin that may be shared, and hashes of these windows. ``hit`` tells which chunks another
+        document has: all of those in a shared window's middle are."""
+        n, size = len(self.starts), self.size
+        if n < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        fine = self.text[: n - size + 1] == self.text[size - 1 :]
+        missed = np.flatnonzero(~hit)
+        lo = np.maximum(0, self.chunk_end[missed] - (size - self.reach))
+        hi = np.minimum(n - size + 1, self.chunk_start[missed] - (GEAR_WORDS + self.reach) + 1)
+        some = hi > lo
+        depth = np.zeros(n - size + 2, np.int64)
+        np.add.at(depth, lo[some], 1)
+        np.add.at(depth, hi[some], -1)
+        begin = np.flatnonzero(fine & (np.cumsum(depth)[:-1] == 0))
+        return begin, self._sums(begin, begin + size)
 
 
 def _once(digests: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
@@ -108,35 +136,37 @@ def _once(digests: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(docs, pa.int64())], names=["digest", "doc_id"])
 
 
-def window_names(docs: DataFrame, size: int) -> DataFrame:
-    """(digest, doc_id): the names of all windows of every text, once a document."""
+def chunk_digests(docs: DataFrame, size: int) -> DataFrame:
+    """(digest, doc_id): the chunks of every text, once a document."""
 
     def run(batches):
-        windows = Windows(size)
+        cut = Chunker(size)
         for part, strings in slices(batches, "text"):
-            _, _, _, first, _, names, inside = windows(strings)
-            keys = np.repeat(part.column(0).to_numpy(), np.diff(first))[: len(names)]
-            yield _once(names[inside], keys[inside])
+            cut(strings)
+            yield _once(cut.digests, part.column(0).to_numpy()[cut.chunk_text])
 
     return docs.select("doc_id", "text").mapInArrow(run, "digest long, doc_id long")
 
 
-def named_windows(joined: DataFrame, size: int) -> DataFrame:
-    """(digest, doc_id): hashes of the windows whose name is in the row's ``__digests``."""
+def shared_windows(joined: DataFrame, size: int) -> DataFrame:
+    """(digest, doc_id): hashes of the windows whose middle has only chunks of the row's ``__digests``."""
 
     def run(batches):
-        windows = Windows(size)
+        cut = Chunker(size)
         for part, strings in slices(batches, "text"):
             lists = part.column(part.schema.get_field_index("__digests"))
             some = lists.is_valid()
             if not some.true_count:
                 continue
             lists, ids = lists.filter(some), part.column(part.schema.get_field_index("doc_id")).filter(some).to_numpy()
-            _, _, _, first, hashes, names, inside = windows(strings.filter(some))
+            cut(strings.filter(some))
+            hit = np.zeros(len(cut.digests), bool)
+            edges = np.searchsorted(cut.chunk_text, np.arange(len(ids) + 1))
             for k in range(len(ids)):
-                lo, hi = first[k], min(first[k + 1], len(names))
-                inside[lo:hi] &= np.isin(names[lo:hi], lists[k].values.to_numpy())
-            yield _once(hashes[inside], np.repeat(ids, np.diff(first))[: len(names)][inside])
+                mine = slice(edges[k], edges[k + 1])
+                hit[mine] = np.isin(cut.digests[mine], lists[k].values.to_numpy())
+            begin, hashes = cut.windows(hit)
+            yield _once(hashes, ids[cut.text[begin]])
 
     return joined.mapInArrow(run, "digest long, doc_id long")
 
@@ -169,28 +199,32 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     share a doc_id each is cut alike. An input column ``spans`` is replaced. An empty table gives no rows.
 
     Both steps shuffle (digest, doc_id) behind a map-side aggregate, and in a join, which Spark splits where a digest is
-    in very many documents. Names are few; window hashes are only made where a name repeats. Both joins of texts with
-    their lists use the same columns, so that the texts are dealt once.
+    in very many documents. Chunks have about six words; window hashes are only made where all chunks of a window's
+    middle repeat. Both joins of texts with their lists use the same columns, so that the texts are dealt once.
     """
     keyed, size = docs.drop("spans"), passage + 1
     columns = keyed.columns
     rest = [c for c in columns if c != "text"]
     own = keyed.where("doc_id is not null")
     listed = lambda found: keyed.join(found, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    named = listed(repeats(window_names(own, size), later=False))
-    joined = listed(repeats(named_windows(named, size), later=True))
+    chunked = listed(repeats(chunk_digests(own, size), later=False))
+    joined = listed(repeats(shared_windows(chunked, size), later=True))
 
     def run(batches):
-        windows = Windows(size)
+        cut = Chunker(size)
         for part, strings in slices(batches, "text"):
             lists, old = part.column(part.schema.get_field_index("__digests")), part.column(part.schema.get_field_index("text"))
             texts, spans = [], []
-            data, at, starts, first, hashes, _, inside = windows(strings)
+            cut(strings)
+            data, at, starts, first = cut.data, cut.at, cut.starts, cut.first
+            begin, hashes = cut.windows(np.ones(len(cut.digests), bool))
+            edge = np.searchsorted(begin, first)
             for k in range(part.num_rows):
-                lo, hi = first[k], min(first[k + 1], len(hashes))
-                ranges = []
-                if lists[k].is_valid and hi > lo:
-                    ranges = _covered(inside[lo:hi] & np.isin(hashes[lo:hi], lists[k].values.to_numpy()), size)
+                lo, mine, ranges = first[k], slice(edge[k], edge[k + 1]), []
+                if lists[k].is_valid and edge[k + 1] > edge[k]:
+                    hit = np.zeros(first[k + 1] - lo, bool)
+                    hit[begin[mine] - lo] = np.isin(hashes[mine], lists[k].values.to_numpy())
+                    ranges = _covered(hit, size)
                 if not ranges:
                     texts.append(old[k].as_py())
                     spans.append([])
@@ -198,13 +232,13 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 # a passage takes the white space behind it along, at the beginning of a text also that before it
                 edges = np.append(starts[lo : first[k + 1]], at[k + 1]) - at[k]
                 edges[0] = 0
-                cuts = [(int(edges[a]), int(edges[b])) for a, b in ranges]
+                spots = [(int(edges[a]), int(edges[b])) for a, b in ranges]
                 body, keep, p = data[at[k] : at[k + 1]].tobytes(), [], 0
-                for a, b in cuts:
+                for a, b in spots:
                     keep.append(body[p:a])
                     p = b
                 texts.append((b"".join(keep) + body[p:]).decode())
-                spans.append([{"start": a, "end": b} for a, b in cuts])
+                spans.append([{"start": a, "end": b} for a, b in spots])
             kept = {c: part.column(part.schema.get_field_index(c)) for c in rest}
             kept["text"] = pa.array(texts, pa.string())
             kept["spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
