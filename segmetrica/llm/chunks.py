@@ -8,9 +8,10 @@ space between words may differ. Text without white space has no words and stays.
 Texts are cut into content-defined chunks: a gear hash rolls over the bytes of the words, and a chunk ends at each word
 whose hash is the least of some ``reach`` neighbouring word ends. Ends depend on their neighbourhood alone, so an
 insertion changes the chunks around it only, and no chunk has over ``reach`` words. A passage that two texts share holds
-whole chunks, the same in both; so a digest of each chunk finds all texts that may share it. A window of words is looked
-at only if all chunks in its middle stand in another document, and goes if its own hash does in an earlier one: that
-settles the edges word by word and proves that the passage stands there as a whole.
+whole chunks, the same in both; so the digests of chunks find all texts that may share it. Of the chunks in the middle of
+a window of words the one with the least digest stands for it, which leaves about half of the chunks. A window is looked
+at only if its chunk stands in another document, and goes if its own hash does in an earlier one: that settles the edges
+word by word and proves that the passage stands there as a whole.
 """
 
 from __future__ import annotations
@@ -107,22 +108,33 @@ class Chunker:
         begins = np.where(np.concatenate([[True], closes[:-1]]), self.at[self.chunk_text], self.starts[self.chunk_start]) if len(ends) else ends
         return begins, ends
 
-    def windows(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words at which windows begin that may be shared, and hashes of these windows. ``hit`` tells which chunks another
-        document has: all of those in a shared window's middle are."""
+    def names(self) -> np.ndarray:
+        """For the window at each word the least digest among the chunks in its middle."""
         n, size = len(self.starts), self.size
         if n < size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        fine = self.text[: n - size + 1] == self.text[size - 1 :]
-        missed = np.flatnonzero(~hit)
-        lo = np.maximum(0, self.chunk_end[missed] - (size - self.reach))
-        hi = np.minimum(n - size + 1, self.chunk_start[missed] - (GEAR_WORDS + self.reach) + 1)
-        some = hi > lo
-        depth = np.zeros(n - size + 2, np.int64)
-        np.add.at(depth, lo[some], 1)
-        np.add.at(depth, hi[some], -1)
-        begin = np.flatnonzero(fine & (np.cumsum(depth)[:-1] == 0))
-        return begin, self._sums(begin, begin + size)
+            return np.zeros(0, np.int64)
+        opened, closed = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        opened[self.chunk_start + 1] = closed[self.chunk_end] = 1
+        at = np.arange(n - size + 1)
+        a = np.cumsum(opened)[at + GEAR_WORDS + self.reach]  # chunks that start before the middle
+        b = np.cumsum(closed)[at + size - self.reach]  # chunks that end by its end
+        out = np.zeros(len(at), np.int64)
+        span, level, width = b - a, self.digests, 1
+        while width <= span.max():
+            # the least of each ``width`` neighbours covers spans up to twice that by two looks
+            mine = np.flatnonzero((span >= width) & (span < 2 * width))
+            out[mine] = np.minimum(level[a[mine]], level[b[mine] - width])
+            level, width = np.minimum(level[: max(0, len(level) - width)], level[width:]), 2 * width
+        return out
+
+    def inside(self) -> np.ndarray:
+        """Whether the window at each word lies in one text."""
+        n = len(self.starts)
+        return self.text[: n - self.size + 1] == self.text[self.size - 1 :] if n >= self.size else np.zeros(0, bool)
+
+    def hashes(self, begin: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at the given words."""
+        return self._sums(begin, begin + self.size)
 
 
 def _once(digests: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
@@ -137,19 +149,20 @@ def _once(digests: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
 
 
 def chunk_digests(docs: DataFrame, size: int) -> DataFrame:
-    """(digest, doc_id): the chunks of every text, once a document."""
+    """(digest, doc_id): the chunks of every text that stand for a window, once a document."""
 
     def run(batches):
         cut = Chunker(size)
         for part, strings in slices(batches, "text"):
             cut(strings)
-            yield _once(cut.digests, part.column(0).to_numpy()[cut.chunk_text])
+            at = np.flatnonzero(cut.inside())
+            yield _once(cut.names()[at], part.column(0).to_numpy()[cut.text[at]])
 
     return docs.select("doc_id", "text").mapInArrow(run, "digest long, doc_id long")
 
 
 def shared_windows(joined: DataFrame, size: int) -> DataFrame:
-    """(digest, doc_id): hashes of the windows whose middle has only chunks of the row's ``__digests``."""
+    """(digest, doc_id): hashes of the windows whose chunk is one of the row's ``__digests``."""
 
     def run(batches):
         cut = Chunker(size)
@@ -160,13 +173,12 @@ def shared_windows(joined: DataFrame, size: int) -> DataFrame:
                 continue
             lists, ids = lists.filter(some), part.column(part.schema.get_field_index("doc_id")).filter(some).to_numpy()
             cut(strings.filter(some))
-            hit = np.zeros(len(cut.digests), bool)
-            edges = np.searchsorted(cut.chunk_text, np.arange(len(ids) + 1))
+            names, hit = cut.names(), cut.inside()
             for k in range(len(ids)):
-                mine = slice(edges[k], edges[k + 1])
-                hit[mine] = np.isin(cut.digests[mine], lists[k].values.to_numpy())
-            begin, hashes = cut.windows(hit)
-            yield _once(hashes, ids[cut.text[begin]])
+                mine = slice(cut.first[k], cut.first[k + 1])
+                hit[mine] &= np.isin(names[mine], lists[k].values.to_numpy())
+            begin = np.flatnonzero(hit)
+            yield _once(cut.hashes(begin), ids[cut.text[begin]])
 
     return joined.mapInArrow(run, "digest long, doc_id long")
 
@@ -199,8 +211,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     share a doc_id each is cut alike. An input column ``spans`` is replaced. An empty table gives no rows.
 
     Both steps shuffle (digest, doc_id) behind a map-side aggregate, and in a join, which Spark splits where a digest is
-    in very many documents. Chunks have about six words; window hashes are only made where all chunks of a window's
-    middle repeat. Both joins of texts with their lists use the same columns, so that the texts are dealt once.
+    in very many documents. Chunks have about six words; window hashes are only made where a window's chunk repeats. Both joins of texts with their lists use the same columns, so that the texts are dealt once.
     """
     keyed, size = docs.drop("spans"), passage + 1
     columns = keyed.columns
@@ -217,8 +228,8 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
             texts, spans = [], []
             cut(strings)
             data, at, starts, first = cut.data, cut.at, cut.starts, cut.first
-            begin, hashes = cut.windows(np.ones(len(cut.digests), bool))
-            edge = np.searchsorted(begin, first)
+            begin = np.flatnonzero(cut.inside())
+            hashes, edge = cut.hashes(begin), np.searchsorted(begin, first)
             for k in range(part.num_rows):
                 lo, mine, ranges = first[k], slice(edge[k], edge[k + 1]), []
                 if lists[k].is_valid and edge[k + 1] > edge[k]:
