@@ -151,6 +151,9 @@ def test_mixing_is_the_plain_model():
                     n = [sum(v for c, v in ctx.items() if below[c][:j] == mine[:j] and len(below[c]) > j and below[c][j] == b) for b in (0, 1)]
                     x.append(np.clip(round(16 * math.log((n[1] + mixing.DOUBT) / (n[0] + mixing.DOUBT))), -127, 127) / 16 if ctx else 0.0)
                 z = np.clip(np.dot([*x, 0.3], start.weights[gate]), -8, 8) * (2 * bit - 1)
+                if j >= mixing.REFINED:
+                    logs -= math.log1p(math.exp(-z))
+                    continue
                 w = z * scale[gate]
                 p = 1 / (1 + math.exp(-w))
                 cell = min(int(abs(w) * 2), mixing.STEPS - 1)
@@ -199,8 +202,7 @@ def test_the_bits_of_a_byte_make_a_distribution():
         entry = lookup.places(np.where(age < 4, gram, word))
         mixer.first_layer(gram, word, entry)
         e = entry[4]
-        z = mixer.z[mixer.z_at[e] : mixer.z_at[e + 1]].astype(float)
-        inputs.append(np.prod(1 / (1 + np.exp(-z))))
+        inputs.append(np.prod(1 / (1 + np.exp(-np.array([float(z[e]) for z in mixer.z])))) * math.exp(mixer.rest[e]))
     assert 0.5 < sum(inputs) < 1.0
 
 
