@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
+from . import crossing as C
 from . import metrics as M
 from .pooling import POOLINGS, column_name, pool
 from .prefix import attach, join_back
@@ -114,13 +115,18 @@ def score_grid(pooled: DataFrame, grid: Sequence[dict], keep: Sequence[str]) ->
 def sweep(pooled: DataFrame, grid: Sequence[dict], n_resamples: int = 1000, seed: int = 42, blend_weight: float = 0.5,
           metric: str = "worst_family", places: int | None = None) -> DataFrame:
     """Rank formulas by a robust error: (metric, overall EER, interval upper bound, key). ``places`` rounds the scores first."""
+    from ..session import materialize
+
     long = score_grid(pooled, grid, ["file_id", "grp", "family", "label"])
     if places is not None:
         long = long.withColumn("score", F.round("score", places))
     k = ["formula_id"]
-    overall = M.summarize(long, k)
-    worst = M.worst_family(M.leave_one_family_out(long, k), overall, k, blend_weight)
-    out = join_back(overall.drop("note"), worst, k)
+    # one table of counts serves all error rates; scores are computed again for each pass, never stored
+    rows = C.bucketed(long, k, "family")
+    counts = materialize(C.bucket_counts(rows, k), "formula-counts")
+    overall = materialize(C.summaries(rows, counts, k), "formula-summaries")
+    worst = M.worst_family(C.family_crossings(rows, counts, k), overall, k, blend_weight)
+    out = join_back(overall, worst, k)
     if n_resamples:
         ci = M.bootstrap_eer(long, k, "grp", n_resamples=n_resamples, seed=seed).select("formula_id", "lower", "upper")
         out = join_back(out, ci, k)
@@ -163,7 +169,7 @@ def weight_curve(df: DataFrame, heads: dict, keys: Sequence[str] = (), weights=W
         else:
             label, score, keep = (acc.when(here, x) for acc, x in zip((label, score, keep), parts))
     long = long.select(*keys, "head", "w", label.alias("label"), (score if places is None else F.round(score, places)).alias("score"), keep.alias("keep"))
-    return M.eer(long.filter("keep AND label IS NOT NULL").drop("keep"), [*keys, "head", "w"])
+    return C.eer(long.filter("keep AND label IS NOT NULL").drop("keep"), [*keys, "head", "w"])
 
 
 def smooth_argmin(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -175,6 +181,24 @@ def smooth_argmin(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def transfer_weights(curves: DataFrame, for_panels: str) -> DataFrame:
+    """Weights fitted on one part and read on others: (head, scope, fitted_on, read_on, chosen_w, eer, base_eer).
+
+    curves(scope, part, head, w, eer): scope ``split`` has the parts among which weights move, each part's smoothed minimum
+    being read on all other parts; on the parts of scope ``panel`` the weights of split ``for_panels`` are read. base_eer
+    is the error at weight 0. The curves are a small table, so both directions and the panels are one plan.
+    """
+    from ..session import materialize
+
+    c = materialize(curves, "curves")
+    chosen = smooth_argmin(c.where("scope = 'split'"), ["head", "part"]).select("head", F.col("part").alias("fitted_on"), "chosen_w")
+    read = c.select("head", "scope", F.col("part").alias("read_on"), F.col("w").alias("chosen_w"), "eer")
+    base = c.where("w = 0").select("head", "scope", F.col("part").alias("read_on"), F.col("eer").alias("base_eer"))
+    allowed = F.when(F.col("scope") == "split", F.col("read_on") != F.col("fitted_on")).otherwise(F.col("fitted_on") == for_panels)
+    moved = chosen.join(read, ["head", "chosen_w"]).where(allowed).join(base, ["head", "scope", "read_on"])
+    return moved.select("head", "scope", "fitted_on", "read_on", "chosen_w", "eer", "base_eer")
+
+
 def best_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """Row with the lexicographically smallest order per key, as an aggregate."""
     best = F.min_by(F.struct(*columns), F.struct(*order)).alias("_b")

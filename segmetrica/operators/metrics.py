@@ -297,36 +297,20 @@ def bootstrap_eer(
 ) -> DataFrame:
     """Percentile interval of the EER when whole groups are resampled.
 
-    Resampled rows are never built: (group, score) counts are multiplied by how
-    often the group was drawn. Replicates with one class are counted, not scored.
+    Resampled rows are never built: counts are multiplied by how often a group was drawn, first a coarse bucket, then
+    score by score in the bucket where a replicate's error rates cross (``resampling``). Replicates with one class are
+    counted, not scored.
     """
+    from .resampling import bootstrap
+
     if n_resamples < 1 or not 0.0 < confidence < 1.0:
         raise ValueError("n_resamples must be positive and confidence inside (0, 1)")
     keys = list(keys)
-    y = F.col(label).cast("long")
-    cells = df.groupBy(*keys, F.col(group).alias("grp"), F.col(score).alias("score")).agg(
-        F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
-    )
     times = resample_counts(df, group, n_resamples, seed)
-    drawn = join_back(cells, times, ["grp"]).select(
-        *keys,
-        "replicate",
-        "score",
-        (F.col("pos") * F.col("times")).alias("pos"),
-        (F.col("neg") * F.col("times")).alias("neg"),
-        "n_groups",
-    )
-    rk = [*keys, "replicate"]
-    hist = drawn.groupBy(*rk, "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("n_groups").alias("n_groups")
-    )
-    pts = roc_points(hist, rk)
-    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    cand = _crossing(F.col("fp"), F.col("n_neg"), F.col("tp"), F.col("n_pos"), -F.col("score"))
-    per = pts.groupBy(*rk).agg(
-        F.when(F.max(both), F.least(F.min(F.when(both, cand)), _anchor()).getField("eer")).alias("eer"),
-        F.max("n_groups").alias("n_groups"),
-    )
+    per = bootstrap(df, times, keys, n_resamples, group, label, score, 4096 if keys else 1 << 16)
+    n_groups = df.agg(F.count_distinct(group).alias("n_groups"))
+    per = join_back(df.select(*keys).distinct(), per, keys, "left") if keys else per
+    per = attach(per, n_groups, [])
     q = [(1.0 - confidence) / 2.0, 0.5, (1.0 + confidence) / 2.0]
     return (
         per.groupBy(*keys)

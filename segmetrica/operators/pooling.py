@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ POOLINGS = {
     "mix0.5": ("mix", 0.5),
     "mix0.75": ("mix", 0.75),
 }
-SALTS = 32
 
 
 def column_name(pooling: str) -> str:
@@ -77,39 +78,119 @@ def silence(segments: Column, rms: Column) -> Column:
     return F.when(rms < A.SILENCE_RMS, F.array().cast("array<double>")).otherwise(segments)
 
 
-def pool_smooth_max(
-    df: DataFrame, keys: Sequence[str], z: str, weight: Column | None = None, taus: Sequence[float] = (1.0,),
-    salts: int = SALTS,
-) -> DataFrame:
-    """tau * log(sum w exp(z / tau) / sum w), one column ``lse_<i>`` per tau.
-
-    Mergeable form: every salt of a key keeps (max, sums scaled by that max) and the
-    few partial results are rescaled to the key's maximum, so a very long file is
-    shared by many tasks and nothing is read twice.
+OPEN_ROWS = 200_000  # partial results a task holds before it merges them
+
+
+def _codes(keys: pa.Table) -> np.ndarray:
+    """A number for each distinct combination of the key columns."""
+    out = np.zeros(keys.num_rows, np.int64)
+    for column in keys.columns:
+        coded = column.combine_chunks().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        # numbers stay below the number of rows after each column
+        out = out * (len(coded.dictionary) + 1) + coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+        out = np.unique(out, return_inverse=True)[1]
+    return out
+
+
+def _merge(keys: pa.Table, states: np.ndarray, taus: Sequence[float]) -> tuple[pa.Table, np.ndarray]:
+    """One state a key: for each pool the maximum, the weights' sum, and for each tau a sum scaled by the maximum."""
+    codes = _codes(keys)
+    order = np.argsort(codes, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+    sizes = np.diff(np.append(edge, len(order)))
+    out = np.empty((len(edge), states.shape[1]))
+    width = 2 + len(taus)
+    for i in range(0, states.shape[1], width):
+        s = states[order, i : i + width]
+        top = np.maximum.reduceat(s[:, 0], edge)
+        with np.errstate(invalid="ignore"):
+            below = s[:, 0] - np.repeat(top, sizes)
+        below[np.isnan(below)] = 0.0  # no logit yet on either side: all its sums are 0
+        out[:, i], out[:, i + 1] = top, np.add.reduceat(s[:, 1], edge)
+        for k, t in enumerate(taus):
+            out[:, i + 2 + k] = np.add.reduceat(s[:, 2 + k] * np.exp(below / t), edge)
+    return keys.take(pa.array(order[edge])), out
+
+
+def smooth_max_pools(df: DataFrame, keys: Sequence[str], pools: Sequence[tuple[Column, Column | None]], taus: Sequence[float] = (1.0,)) -> DataFrame:
+    """tau * log(sum w exp(z / tau) / sum w) for every pool (z, w) and tau, in one pass: columns ``x_<pool>_<tau>``.
+
+    Each task first merges its own rows to one state a key (maximum and scaled sums, which can be merged again), so a
+    file of any length, also with equal logits only, leaves its tasks as a few rows. Rows without a logit count with
+    their weight only; a key with none is NULL.
     """
-    keys = list(keys)
-    w = F.lit(1.0) if weight is None else weight
-    rows = df.select(*keys, F.col(z).alias("_z"), w.alias("_w")).withColumn(
-        "_salt", F.pmod(F.xxhash64("_z", "_w"), F.lit(salts)).cast("int")
-    )
-    peak = F.max("_z").over(Window.partitionBy(*keys, "_salt"))
-    part = rows.withColumn("_m", peak).groupBy(*keys, "_salt", "_m").agg(
-        F.sum("_w").alias("_sw"),
-        *[F.sum(F.col("_w") * F.exp((F.col("_z") - F.col("_m")) / F.lit(float(t)))).alias(f"_e{i}")
-          for i, t in enumerate(taus)],
-    )
-    merged = part.groupBy(*keys).agg(
-        F.max("_m").alias("_zmax"),
-        F.sum("_sw").alias("_sw"),
-        F.collect_list(F.struct("_m", *[f"_e{i}" for i in range(len(taus))])).alias("_parts"),
-    )
-    def value(i: int, tau: float) -> Column:
-        t, zmax = F.lit(float(tau)), F.col("_zmax")
-        total = F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p[f"_e{i}"] * F.exp((p["_m"] - zmax) / t))
-        return (t * F.log(total / F.greatest(F.col("_sw"), F.lit(1e-12))) + zmax).alias(f"lse_{i}")
-
-    out = [value(i, t) for i, t in enumerate(taus)]
-    return merged.select(*keys, *out)
+    keys, taus, width, n_pools = list(keys), [float(t) for t in taus], 2 + len(taus), len(pools)
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, state array<double>"
+
+    def emit(k: pa.Table, s: np.ndarray):
+        for at in range(0, len(s), 10_000):
+            part = s[at : at + 10_000]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * s.shape[1], pa.int32()), pa.array(part.ravel()))
+            rows = k.slice(at, len(part)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*rows.columns, flat], names=[*keys, "state"])
+
+    def merged(parts):
+        """parts: (keys, states); merges whenever many are open, and passes on what stays large."""
+        held, rows = [], 0
+        for part in parts:
+            if not len(part[1]):
+                continue
+            held.append(part)
+            rows += len(part[1])
+            if rows >= OPEN_ROWS:
+                one = _merge(pa.concat_tables([k for k, _ in held]), np.concatenate([s for _, s in held]), taus)
+                held, rows = [one], len(one[1])
+                if rows >= OPEN_ROWS // 2 and not final[0]:
+                    yield from emit(*one)
+                    held, rows = [], 0
+        if held:
+            yield from emit(*_merge(pa.concat_tables([k for k, _ in held]), np.concatenate([s for _, s in held]), taus))
+
+    final = [False]
+
+    def states(batches):
+        for batch in batches:
+            n = batch.num_rows
+            out = np.zeros((n, n_pools * width))
+            for i in range(n_pools):
+                z = batch.column(len(keys) + 2 * i).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+                w = batch.column(len(keys) + 2 * i + 1).fill_null(0.0).to_numpy(zero_copy_only=False)
+                none = np.isnan(z)
+                out[:, i * width] = np.where(none, -np.inf, z)
+                out[:, i * width + 1] = w
+                out[:, i * width + 2 : (i + 1) * width] = np.where(none, 0.0, w)[:, None]
+            yield pa.Table.from_batches([batch]).select(keys), out
+
+    def first(batches):
+        yield from merged(states(batches))
+
+    def last(batches):
+        final[0] = True  # all rows of a key are here: nothing may leave before the end
+        def read():
+            for batch in batches:
+                s = batch.column(len(keys))
+                yield pa.Table.from_batches([batch]).select(keys), s.flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
+        yield from merged(read())
+
+    columns = [c for i, (z, w) in enumerate(pools) for c in (z.cast("double").alias(f"_z{i}"), (F.lit(1.0) if w is None else w.cast("double")).alias(f"_w{i}"))]
+    partial = df.select(*keys, *columns).mapInArrow(first, schema)
+    whole = partial.repartition(*keys).mapInArrow(last, schema)
+
+    def value(i: int, k: int) -> Column:
+        m, sw, e = (F.col("state")[i * width + j] for j in (0, 1, 2 + k))
+        x = F.lit(taus[k]) * F.log(e / F.greatest(sw, F.lit(1e-12))) + m
+        return F.when(m > float("-inf"), x).alias(f"x_{i}_{k}")
+
+    return whole.select(*keys, *[value(i, k) for i in range(len(pools)) for k in range(len(taus))])
+
+
+def pool_smooth_max(df: DataFrame, keys: Sequence[str], z: str, weight: Column | None = None, taus: Sequence[float] = (1.0,)) -> DataFrame:
+    """One pool of ``smooth_max_pools``, one column ``lse_<i>`` per tau."""
+    found = smooth_max_pools(df, keys, [(F.col(z), weight)], taus)
+    return found.select(*keys, *[F.col(f"x_0_{i}").alias(f"lse_{i}") for i in range(len(taus))])
 
 
 def presence_weight(z: Column, gamma: float) -> Column:

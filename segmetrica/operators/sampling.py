@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import count
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_long, hash_text, hash_uniform
-from ..session import cut_lineage
-from .graph import components
+from ..session import cut_lineage, materialize, scratch_path
+from .graph import components, with_least
 from .prefix import accumulate, attach, hash_rank
 
 
@@ -108,51 +108,115 @@ def balanced_pairs(df: DataFrame, key: str, group: str, label: str, max_rows: in
     return picked
 
 
-def generator_round_robin(df: DataFrame, key: str, group: str, label: str, family: str, budget: int | None = None, seed: int = 0) -> DataFrame:
+CANDIDATES = 1_000_000  # rows that one task plays out at a time, shared evenly by the families
+
+
+def _play(table: pa.Table, names: list, limit: dict, turn: int, at: int, budget: int) -> tuple[list, dict, tuple[int, int], bool]:
+    """Takes turns over the candidates of every family, in order, as long as each family's candidates last.
+
+    Returns the picks (candidate row, family, turn), how many candidates each family is past, the turn and the family to go
+    on with, and whether the game is over. ``limit`` holds the position of each family's last candidate; a family whose
+    list goes on behind it can't pass.
+    """
+    family, grp = table.column("family").to_pylist(), table.column("grp").combine_chunks().dictionary_encode()
+    groups, free, pos = grp.indices.to_numpy(), table.column("free").to_numpy(zero_copy_only=False), table.column("pos").to_numpy()
+    more = {f: limit[f][0] < limit[f][1] for f in names}
+    lists: dict = {f: [] for f in names}
+    for k in np.argsort(pos, kind="stable"):
+        lists[family[k]].append(int(k))
+    taken = np.zeros(len(grp.dictionary), bool)
+    taken[groups[~free]] = True
+    past, picks, idle = dict.fromkeys(names, 0), [], 0
+    while len(picks) < budget:
+        f = names[at]
+        mine, k = lists[f], past[f]
+        while k < len(mine) and taken[groups[mine[k]]]:
+            k += 1
+        past[f] = k
+        if k < len(mine):
+            taken[groups[mine[k]]] = True
+            picks.append((mine[k], f, turn))
+            past[f], idle = k + 1, 0
+        elif more[f]:
+            return picks, past, (turn, at), False
+        else:
+            idle += 1
+            if idle == len(names):
+                return picks, past, (turn, at), True
+        at += 1
+        if at == len(names):
+            at, turn = 0, turn + 1
+    return picks, past, (turn, at), True
+
+
+def generator_round_robin(df: DataFrame, key: str, group: str, label: str, family: str, budget: int | None = None, seed: int = 0,
+                          candidates: int = CANDIDATES) -> DataFrame:
     """Fakes picked family by family in turn, each from a group nobody took yet: (grp, family, fake_id, round).
 
-    Within a round every family proposes its best free group; a group goes to the first
-    family in order that proposed it, the others propose again until nobody changes. That
-    equals taking turns, because every group prefers the earlier family. State lives in
-    checkpointed tables of (family, best fake) pairs.
+    Every family's groups are ranked once, by prefix sums. Then a task plays many rounds at once over the next
+    ``candidates`` / families groups of each family, until a family has used up its share and its list goes on; the next
+    share is read from there, without the groups taken meanwhile. So the number of jobs follows the number of (group,
+    family) pairs over ``candidates``, not the rounds. One row a family passes the driver. If the free groups run out
+    before the budget, an error says so.
     """
+    spark = df.sparkSession
     fakes = df.filter(F.col(label) == 1)
     paired = df.groupBy(F.col(group).alias("grp")).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo = 0 AND hi = 1").select("grp")
     h = hash_text(seed, F.col(key))
-    free = fakes.select(F.col(group).alias("grp"), F.col(family).alias("family"), F.struct(h.alias("h"), F.col(key).alias("id")).alias("c"))
-    free = cut_lineage(free.join(paired, "grp", "left_semi").groupBy("grp", "family").agg(F.min("c").alias("c")))
+    offers = fakes.select(F.col(group).alias("grp"), F.col(family).alias("family"), F.struct(h.alias("h"), F.col(key).alias("id")).alias("c"))
+    offers = offers.join(paired, "grp", "left_semi").groupBy("grp", "family").agg(F.min("c").alias("c"))
+    ranked = hash_rank(offers.select("grp", "family", F.col("c.h").alias("_h"), F.col("c.id").alias("id")), ["family"], "_h", "id")
+    ranked = materialize(ranked.select("grp", "family", "id", "pos", "n"), "offers")
     total = paired.count()
     budget = total if budget is None else min(budget, total)
-    chosen, taken = None, 0
-    for turn in count():
-        offers, won = free, None
-        while True:
-            best = offers.groupBy("family").agg(F.min(F.struct("c", "grp")).alias("b")).select("family", "b.*")
-            win = best.groupBy("grp").agg(F.min("family").alias("family"))
-            settled = cut_lineage(best.join(win, ["grp", "family"], "left_semi"))
-            lost = cut_lineage(best.join(win, ["grp", "family"], "left_anti"))
-            won = settled
-            if lost.isEmpty():
-                break
-            # A lost group is closed to the families after its winner, for this round.
-            closed = lost.select("family", "grp")
-            offers = cut_lineage(offers.join(closed, ["family", "grp"], "left_anti"))
-        n = won.count()
-        if n == 0:
-            break
-        won = won.withColumn("round", F.lit(turn))
-        if taken + n >= budget:
-            order = Window.orderBy("family")  # one row per family
-            won = won.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= budget - taken).drop("_k")
-        # one table for all rounds so far, so that the plan doesn't grow with their number
-        chosen = won if chosen is None else cut_lineage(chosen.unionByName(won))
-        taken += n
-        if taken >= budget:
+    ends = {r["family"]: int(r["n"]) for r in ranked.groupBy("family").agg(F.max("n").alias("n")).collect()}
+    names = sorted(ends)
+    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
+    schema = f"grp {kinds['grp']}, family {kinds['family']}, fake_id {kinds['id']}, round int"
+    folder, made, place, done = scratch_path(spark, "picks"), 0, (0, 0), not names
+    share = max(1, candidates // max(1, len(names)))
+    past = dict.fromkeys(names, 0)
+    while not done and made < budget:
+        limit = {f: (min(past[f] + share, ends[f]), ends[f]) for f in names}
+        picked = None if not made else spark.read.schema(schema).parquet(f"{folder}/*").select("grp", F.lit(True).alias("gone"))
+        near = F.lit(False)
+        for f in names:
+            near = near | (F.col("family").eqNullSafe(F.lit(f)) & (F.col("pos") > past[f]) & (F.col("pos") <= limit[f][0]))
+        block = ranked.where(near)
+        block = block.withColumn("gone", F.lit(None).cast("boolean")) if picked is None else block.join(picked, "grp", "left")
+        block = block.select("grp", "family", "id", "pos", F.col("gone").isNull().alias("free"))
+        turn, at, left = *place, budget - made
+
+        def run(table: pa.Table) -> pa.Table:
+            picks, used, (t, a), over = _play(table, names, limit, turn, at, left)
+            rows = pa.array([k for k, _, _ in picks], pa.int64())
+            chosen = table.take(rows)
+            # a last row a family tells how far it is
+            state = pa.table({
+                "grp": pa.nulls(len(names), chosen.column("grp").type), "family": pa.array(names, chosen.column("family").type),
+                "fake_id": pa.nulls(len(names), chosen.column("id").type), "round": pa.array([t] * len(names), pa.int32()),
+                "used": pa.array([used[f] for f in names], pa.int64()), "at": pa.array([a] * len(names), pa.int32()), "over": pa.array([over] * len(names)),
+            })
+            won = pa.table({
+                "grp": chosen.column("grp"), "family": chosen.column("family"), "fake_id": chosen.column("id"),
+                "round": pa.array([t_ for _, _, t_ in picks], pa.int32()), "used": pa.nulls(len(picks), pa.int64()),
+                "at": pa.nulls(len(picks), pa.int32()), "over": pa.nulls(len(picks), pa.bool_()),
+            })
+            return pa.concat_tables([won, state])
+
+        played = materialize(block.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(run, f"{schema}, used long, at int, over boolean"), "played")
+        state = played.where("used IS NOT NULL").collect()  # one row a family
+        if not state:
             break
-        free = cut_lineage(free.join(won.select("grp"), "grp", "left_anti"))
-    if chosen is None or taken < budget:
+        won = played.where("used IS NULL").drop("used", "at", "over")
+        won.write.parquet(f"{folder}/part-{made}")
+        made += won.count()
+        for r in state:
+            past[r["family"]] = past[r["family"]] + int(r["used"])
+        place, done = (int(state[0]["round"]), int(state[0]["at"])), bool(state[0]["over"])
+    if made < budget or not budget:
         raise ValueError("not enough free paired groups")
-    return chosen.select("grp", "family", F.col("c.id").alias("fake_id"), "round")
+    return spark.read.schema(schema).parquet(f"{folder}/*").select("grp", "family", "fake_id", "round")
 
 
 def window_draws(items: DataFrame, key: str, pool: str, length: str, n_draws: int, shares: dict[str, float], seed: int, width: int) -> DataFrame:
@@ -185,11 +249,11 @@ def repeat_rows(df: DataFrame, times: int) -> DataFrame:
 def connected_groups(edges: DataFrame, item: str, token: str) -> DataFrame:
     """(item, component): items linked by shared tokens, labelled by their smallest item.
 
-    Each token ties its items to the smallest of them: an aggregate and a join on the token, whose
-    small side has one row a token, so that Spark can split a token that very many items carry.
+    Each token ties its items to the smallest of them. A token that very many items carry is cut into salts
+    (``graph.with_least``), so that no task gets all of its items.
     """
     e = cut_lineage(edges.select(F.col(item).alias("i"), F.col(token).alias("t")).distinct())
-    ties = e.join(e.groupBy("t").agg(F.min("i").alias("m")), "t").select(F.col("i").alias("a"), F.col("m").alias("b"))
+    ties = with_least(e, "t", "i", e.count()).select(F.col("i").alias("a"), F.col("m").alias("b"))
     found = components(ties)
     items = e.select("i").distinct()
     return items.join(found, F.col("i") == F.col("node"), "left").select(F.col("i").alias(item), F.coalesce("root", "i").alias("component"))

@@ -205,9 +205,6 @@ def rank_fusion(spark, sf):
 
 # --- grids --------------------------------------------------------------------------
 
-_GRID_POOLS = ("max", "mean", "top2")
-
-
 def _pooled(spark, sf):
     from ..operators.grid import pooled_streams
 
@@ -215,31 +212,38 @@ def _pooled(spark, sf):
     return pooled_streams(B.segment_scores(spark, sf), d)
 
 
-_POOLED = f"""{B.SEGMENTS}, {B.ITEMS}, rk AS (SELECT *, row_number() OVER (PARTITION BY file_id, stream ORDER BY score DESC) AS k FROM segments),
-pl AS (SELECT file_id, {', '.join(f"coalesce(max(CASE WHEN stream='{s}' THEN score END),0e0) AS {s[0:2]}_max, coalesce(avg(CASE WHEN stream='{s}' THEN score END),0e0) AS {s[0:2]}_mean, coalesce(avg(CASE WHEN stream='{s}' AND k<=2 THEN score END),0e0) AS {s[0:2]}_top2" for s in ('voice', 'music', 'mixture'))} FROM rk GROUP BY 1),
-pooled AS (SELECT items.*, file_fake AS label, {', '.join(f"coalesce({s}_{p},0e0) AS {s}_{p}" for s in ('vo', 'mu', 'mi') for p in _GRID_POOLS)} FROM items LEFT JOIN pl USING (file_id))"""
+def _pool_sql(s):
+    here = f"CASE WHEN stream='{s}'"
+    top = [f"coalesce(avg({here} AND k<={k} THEN score END),0e0) AS {s[:2]}_top{k}" for k in (2, 3)]
+    return ", ".join([f"coalesce(max({here} THEN score END),0e0) AS {s[:2]}_max", f"coalesce(avg({here} THEN score END),0e0) AS {s[:2]}_mean", *top])
 
 
-def _grid():
-    from ..operators.grid import build_grid
+_POOLED = f"""{B.SEGMENTS}, {B.ITEMS}, rk AS (SELECT *, row_number() OVER (PARTITION BY file_id, stream ORDER BY score DESC) AS k FROM segments),
+pl AS (SELECT file_id, {', '.join(_pool_sql(s) for s in ('voice', 'music', 'mixture'))} FROM rk GROUP BY 1),
+pooled AS (SELECT items.*, file_fake AS label, {', '.join(f"coalesce({s}_{p},0e0) AS {s}_{p}" for s in ('vo', 'mu', 'mi') for p in ('max', 'mean', 'top2', 'top3'))} FROM items LEFT JOIN pl USING (file_id))"""
+
 
-    return build_grid(_GRID_POOLS, ("max", "prob_or"), (0.0, 1.0), (0.0, 0.25))
+def _sql_pool(stream, pooling):
+    if pooling.startswith("mix"):
+        a = float(pooling[3:])
+        return f"({a!r}e0*{stream}_mean+{1.0 - a!r}e0*{stream}_max)"
+    return f"{stream}_{pooling}"
 
 
 def _sql_formula(f):
-    g = lambda s, e: f"{'' if e == 0 else ('voice_present*' if s == 'vo' else 'music_present*')}{s}_{f['voice_pooling']}"
-    v, m = g("vo", f["voice_exponent"]), g("mu", f["music_exponent"])
-    x = f"greatest({v},{m})" if f["combine"] == "max" else f"(1e0-(1e0-{v})*(1e0-{m}))"
+    g = lambda s, e, p: f"{'' if e == 0 else ('voice_present*' if s == 'vo' else 'music_present*')}{_sql_pool(s, p)}"
+    v, m = g("vo", f["voice_exponent"], f["voice_pooling"]), g("mu", f["music_exponent"], f["music_pooling"])
+    x = {"max": f"greatest({v},{m})", "prob_or": f"(1e0-(1e0-{v})*(1e0-{m}))", "sum_clipped": f"least(1e0,{v}+{m})"}[f["combine"]]
     w = f["mixture_weight"]
     if w:
-        x = f"({1 - w!r}*{x}+{w!r}*mi_{f['mixture_pooling']})"
+        x = f"({1 - w!r}e0*{x}+{w!r}e0*{_sql_pool('mi', f['mixture_pooling'])})"
     return f"least(1e0,greatest(0e0,{x}))::DOUBLE"
 
 
 def _register_sweep():
     from ..operators import grid as GR
 
-    grid = _grid()
+    grid = GR.build_grid()
     arr = ", ".join(_sql_formula(f) for f in grid)
     keys = ", ".join(f"'{f['formula_key']}'" for f in grid)
     names = ", ".join(f"'{f['name']}'" for f in grid)
@@ -260,19 +264,26 @@ SELECT row_number() OVER (ORDER BY we, eer, formula_key, formula_id)::INT AS ran
         r = r.select("rank", "name", "formula_key", "eer", F.round("roc_auc", 7).alias("roc_auc"), "worst_family_eer", "worst_family", "blend_eer")
         return B.rounded(r)
 
+    @query("grid_sweep_intervals")
+    def grid_sweep_intervals(spark, sf):
+        """The whole sweep: every formula with the interval of its EER from 1,000 resamples of the groups, which ranks ties."""
+        r = GR.sweep(_pooled(spark, sf), grid, n_resamples=RESAMPLES, places=9)
+        return B.rounded(r.select("rank", "name", "formula_key", "eer", "lower", "upper", "worst_family_eer", "worst_family", "blend_eer"))
+
 
 _register_sweep()
 
 
 _WLIST = "[" + ",".join(f"{0.05 * i:.2f}e0" for i in range(21)) + "]"
-_WEIGHTED = f"""{B.SCORE13}, wc AS (SELECT file_fake, voice_fake, CASE WHEN file_id%6=0 THEN NULL WHEN file_fake=1 AND file_id%2=0 THEN 1 ELSE 0 END AS music_fake, unnest({_WLIST}) AS w, (file_id%4<>0) AS vp, (file_id%5<>0) AS mp, current_file, current_voice, nii, spectra, lofcz, voice_present, music_present, current_music FROM score13),
-wl AS (SELECT 'file' AS head, w, file_fake AS label, round(greatest(CASE WHEN w=0 THEN current_file ELSE {B.sql_logit_blend('current_file', 'spectra', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END, voice_present*current_voice, music_present*current_music),7) AS score FROM wc
- UNION ALL SELECT 'voice', w, voice_fake, round(CASE WHEN w=0 THEN current_voice ELSE {B.sql_logit_blend('current_voice', 'nii', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE vp AND voice_fake IS NOT NULL
- UNION ALL SELECT 'music', w, music_fake, round(CASE WHEN w=0 THEN current_music ELSE {B.sql_logit_blend('current_music', 'lofcz', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE mp AND music_fake IS NOT NULL)"""
+_WEIGHTED = f"""{B.SCORE13}, wc AS (SELECT CASE WHEN file_id//7%2=0 THEN 'val' ELSE 'test' END AS split, domain, file_fake, voice_fake, CASE WHEN file_id%6=0 THEN NULL WHEN file_fake=1 AND file_id%2=0 THEN 1 ELSE 0 END AS music_fake, unnest({_WLIST}) AS w, (file_id%4<>0) AS vp, (file_id%5<>0) AS mp, current_file, current_voice, nii, spectra, lofcz, voice_present, music_present, current_music FROM score13),
+wl AS (SELECT split, domain, 'file' AS head, w, file_fake AS label, round(greatest(CASE WHEN w=0 THEN current_file ELSE {B.sql_logit_blend('current_file', 'spectra', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END, voice_present*current_voice, music_present*current_music),7) AS score FROM wc
+ UNION ALL SELECT split, domain, 'voice', w, voice_fake, round(CASE WHEN w=0 THEN current_voice ELSE {B.sql_logit_blend('current_voice', 'nii', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE vp AND voice_fake IS NOT NULL
+ UNION ALL SELECT split, domain, 'music', w, music_fake, round(CASE WHEN w=0 THEN current_music ELSE {B.sql_logit_blend('current_music', 'lofcz', 0).replace('1*', '(1e0-w)*').replace('+ 0*', '+ w*')} END,7) FROM wc WHERE mp AND music_fake IS NOT NULL)"""
 
 
-def weight_curves(spark, sf):
-    """FILE is blended before the floor, VOICE and MUSIC after it. Rounded, so that both engines see the same ties."""
+def weight_curves(spark, sf, parts=False):
+    """EER by (head, w), with ``parts`` also by (scope, part): the two splits and the panels, of which a file has one each.
+    FILE is blended before the floor, VOICE and MUSIC after it. Rounded, so that both engines see the same ties."""
     from ..operators import grid as GR
 
     c = F.col
@@ -282,14 +293,17 @@ def weight_curves(spark, sf):
         (c("file_id") % 4 != 0).cast("int").alias("vp"), (c("file_id") % 5 != 0).cast("int").alias("mp"),
         "current_file", "current_voice", "current_music",
         *[A.ratio_logit(c(x)).alias(f"l_{x}") for x in ("current_file", "spectra", "current_voice", "nii", "current_music", "lofcz")],
-        F.greatest(c("voice_present") * c("current_voice"), c("music_present") * c("current_music")).alias("floor"))
+        F.greatest(c("voice_present") * c("current_voice"), c("music_present") * c("current_music")).alias("floor"),
+        F.array(F.struct(F.lit("split").alias("scope"), F.when(F.expr("file_id div 7 % 2 = 0"), "val").otherwise("test").alias("part")),
+                F.struct(F.lit("panel").alias("scope"), c("domain").alias("part"))).alias("parts"))
+    d = d.select("*", F.explode("parts").alias("at")).select("*", "at.*") if parts else d
     mixed = lambda cur, new, w: F.when(w == 0, c(cur)).otherwise(
         A.sigmoid((F.lit(1.0) - w) * c(f"l_{cur}") + w * c(f"l_{new}")))
     return GR.weight_curve(d, {
         "file": ("file_fake", lambda w: F.greatest(mixed("current_file", "spectra", w), c("floor")), None),
         "voice": ("voice_fake", lambda w: mixed("current_voice", "nii", w), "vp"),
         "music": ("music_fake", lambda w: mixed("current_music", "lofcz", w), "mp"),
-    }, places=7)
+    }, ["scope", "part"] if parts else [], places=7)
 
 
 @query("weight_curve", f"WITH {_WEIGHTED}, {B.sql_eer('wl', ['head', 'w'], 'cv')} SELECT head, w::DOUBLE AS w, round(eer,8) AS eer FROM cv")
@@ -305,51 +319,84 @@ def weight_curve_argmin(spark, sf):
     return B.rounded(GR.smooth_argmin(weight_curves(spark, sf), ["head"]))
 
 
-def _pool_features(spark, sf):
+@query("weight_transfer", f"""WITH {_WEIGHTED}, wt AS (SELECT 'split' AS scope, split AS part, head, w, label, score FROM wl UNION ALL SELECT 'panel', domain, head, w, label, score FROM wl),
+{B.sql_eer('wt', ['scope', 'part', 'head', 'w'], 'cv')}, sm AS (SELECT head, part, w, avg(eer) OVER (PARTITION BY head, part ORDER BY w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM cv WHERE scope='split'),
+ch AS (SELECT head, part, arg_min(w, (s, w)) AS cw FROM sm GROUP BY 1, 2)
+SELECT ch.head, o.scope, ch.part AS fitted_on, o.part AS read_on, ch.cw::DOUBLE AS chosen_w, round(o.eer,8) AS eer, round(z.eer,8) AS base_eer FROM ch
+JOIN cv o ON o.head=ch.head AND o.w=ch.cw AND ((o.scope='split' AND o.part<>ch.part) OR (o.scope='panel' AND ch.part='test'))
+JOIN cv z ON z.head=o.head AND z.scope=o.scope AND z.part=o.part AND z.w=0""")
+def weight_transfer(spark, sf):
+    """Weights chosen on one split and read on the other, both ways; those chosen on test also read on every panel."""
     from ..operators import grid as GR
-    from ..operators.pooling import pool_smooth_max, presence_weight
-    from .segments import voice_windows
 
-    w = voice_windows(spark, sf).withColumn("zp", ((F.col("file_id") * 13 + F.col("win_idx") * 7) % 61 - 30) / 10.0)
-    y = B.items(spark, sf).filter("voice_fake IS NOT NULL").select("file_id", F.col("voice_fake").alias("label"))
-    out = None
-    for g in GR.GAMMAS:
-        p = pool_smooth_max(w, ["file_id"], "z", presence_weight(F.col("zp"), g), GR.TAUS).join(y, "file_id")
-        cells = F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(g).alias("gamma"), F.col(f"lse_{i}").alias("x")) for i, t in enumerate(GR.TAUS)])
-        p = p.select("label", F.explode(cells).alias("c")).select("label", "c.*")
-        out = p if out is None else out.unionByName(p)
-    return out
+    return B.rounded(GR.transfer_weights(weight_curves(spark, sf, parts=True), "test"))
+
+
+# Labels of the three heads, and who is eligible: a stream's head only where the stream is present and labelled.
+_HEAD_LABELS = f"""hl AS (SELECT file_id, 'file' AS head, file_fake AS label FROM items
+ UNION ALL SELECT file_id, 'voice', voice_fake FROM items WHERE file_id%4<>0 AND voice_fake IS NOT NULL
+ UNION ALL SELECT file_id, 'music', CASE WHEN file_fake=1 AND file_id%2=0 THEN 1 ELSE 0 END FROM items WHERE file_id%5<>0 AND file_id%6<>0)"""
+
+
+def head_labels(spark, sf):
+    i, k = B.items(spark, sf), F.col("file_id")
+    music = F.when((F.col("file_fake") == 1) & (k % 2 == 0), 1).otherwise(0)
+    heads = F.array(
+        F.struct(F.lit("file").alias("head"), F.col("file_fake").alias("label"), F.lit(True).alias("ok")),
+        F.struct(F.lit("voice").alias("head"), F.col("voice_fake").alias("label"), (k % 4 != 0).alias("ok")),
+        F.struct(F.lit("music").alias("head"), music.alias("label"), ((k % 5 != 0) & (k % 6 != 0)).alias("ok")))
+    return i.select("file_id", F.explode(heads).alias("h")).select("file_id", "h.*").where("ok AND label IS NOT NULL").drop("ok")
+
+
+def pool_features(spark, sf):
+    from .segments import pooled_heads
+
+    p = pooled_heads(spark, sf).withColumnRenamed("pooled", "x")
+    return p.join(head_labels(spark, sf), ["file_id", "head"]).select("head", "tau", "gamma", "x", "label")
 
 
 @query("pooling_search")
 def pooling_search(spark, sf):
-    """Affine fit, EER and cross-entropy of every (tau, gamma), ranked by (EER, cross-entropy)."""
+    """Affine fit, EER and cross-entropy of every (tau, gamma) of every head, ranked within a head by (EER, cross-entropy)."""
     from ..operators import grid as GR
-
-    cells = GR.fit_pooling(_pool_features(spark, sf), ["tau", "gamma"])
-    best = GR.best_by(cells, [], [F.col("eer"), F.col("bce"), F.col("tau"), F.col("gamma")], ["tau", "gamma"])
     from ..operators.prefix import attach
 
-    out = attach(cells, best.select(F.col("tau").alias("best_tau"), F.col("gamma").alias("best_gamma")), [])
-    return B.rounded(out.select("tau", "gamma", "a", "b", "eer", "bce", ((F.col("tau") == F.col("best_tau")) & (F.col("gamma") == F.col("best_gamma"))).alias("chosen")), 6)
+    cells = GR.fit_pooling(pool_features(spark, sf), ["head", "tau", "gamma"])
+    best = GR.best_by(cells, ["head"], [F.col("eer"), F.col("bce"), F.col("tau"), F.col("gamma")], ["tau", "gamma"])
+    out = attach(cells, best.select("head", F.col("tau").alias("best_tau"), F.col("gamma").alias("best_gamma")), ["head"])
+    chosen = (F.col("tau") == F.col("best_tau")) & (F.col("gamma") == F.col("best_gamma"))
+    return B.rounded(out.select("head", "tau", "gamma", "a", "b", "eer", "bce", chosen.alias("chosen")), 6)
 
 
-@query("file_pool_eval", f"""WITH {{VOICE}}, {B.ITEMS}, pz AS (SELECT file_id, avg(z) AS mean, max(z) AS mx, ln(avg(exp(z-zm)))+max(zm) AS lse FROM (SELECT *, max(z) OVER (PARTITION BY file_id) AS zm FROM wz) GROUP BY 1),
-u AS (SELECT i.file_fake, i.voice_fake, unnest(['mean','max','lse1']) AS pool, round(1e0/(1e0+exp(-unnest([mean,mx,lse]))),7) AS score FROM pz JOIN items i USING (file_id)),
-hp AS (SELECT 'file' AS head, pool, file_fake AS label, score FROM u UNION ALL SELECT 'voice', pool, voice_fake, score FROM u WHERE voice_fake IS NOT NULL), {B.sql_eer('hp', ['head', 'pool'], 'r')}
-SELECT head, pool, round(eer,8) AS eer FROM r UNION ALL SELECT 'all', 'mean_lse1', round(avg(eer),8) FROM r WHERE pool='lse1'""".replace("{VOICE}", __import__("segmetrica.plans.segments", fromlist=["_VOICE"])._VOICE.replace(B.SEGMENTS, B.SEGMENTS)))
-def file_pool_eval(spark, sf):
-    """EER of mean, max and smooth-max pooled window logits per head, and the mean smooth-max EER."""
-    from ..operators.pooling import pool_smooth_max
-    from .segments import voice_windows
+def _voice_sql():
+    from . import segments as G
 
-    w = voice_windows(spark, sf)
-    p = w.groupBy("file_id").agg(F.avg("z").alias("mean"), F.max("z").alias("mx")).join(pool_smooth_max(w, ["file_id"], "z"), "file_id")
+    return G._VOICE, G._HEADS_SQL
+
+
+_POOLED_HEADS = ", ".join(f"avg(z_{h}) AS mean_{h}, max(z_{h}) AS mx_{h}, ln(avg(exp(z_{h}-zm_{h})))+max(zm_{h}) AS lse_{h}" for h in ("file", "voice", "music"))
+_PEAKS = ", ".join(f"max(z_{h}) OVER (PARTITION BY file_id) AS zm_{h}" for h in ("file", "voice", "music"))
+_HEAD_POOLS = " UNION ALL ".join(
+    f"SELECT file_id, '{h}' AS head, unnest(['mean','max','lse1']) AS pool, round(1e0/(1e0+exp(-unnest([mean_{h},mx_{h},lse_{h}]))),7) AS score FROM pz" for h in ("file", "voice", "music"))
+
+
+@query("file_pool_eval", f"""WITH {', '.join(_voice_sql())}, {B.ITEMS}, {_HEAD_LABELS}, pz AS (SELECT file_id, {_POOLED_HEADS} FROM (SELECT *, {_PEAKS} FROM hz) GROUP BY 1),
+u AS ({_HEAD_POOLS}), hp AS (SELECT head, pool, label, score FROM u JOIN hl USING (file_id, head)), {B.sql_eer('hp', ['head', 'pool'], 'r')}
+SELECT head, pool, round(eer,8) AS eer FROM r UNION ALL SELECT 'all', 'mean_lse1', round(avg(eer),8) FROM r WHERE pool='lse1'""")
+def file_pool_eval(spark, sf):
+    """EER of mean, max and smooth-max pooled window logits of three heads, and the mean of the smooth-max EERs."""
+    from ..operators import crossing as C
+    from ..operators.pooling import smooth_max_pools
+    from .segments import head_windows
+
+    heads = ("file", "voice", "music")
+    w = head_windows(spark, sf)
+    plain = w.groupBy("file_id").agg(*[f(f"z_{h}").alias(f"{n}_{h}") for h in heads for n, f in (("mean", F.avg), ("mx", F.max))])
+    p = plain.join(smooth_max_pools(w, ["file_id"], [(F.col(f"z_{h}"), None) for h in heads]), "file_id")
     s = lambda z: F.round(A.sigmoid(F.col(z)), 7)
-    pools = F.array(*[F.struct(F.lit(n).alias("pool"), s(z).alias("score")) for n, z in (("mean", "mean"), ("max", "mx"), ("lse1", "lse_0"))])
-    d = p.join(B.items(spark, sf).select("file_id", "file_fake", "voice_fake"), "file_id").select("file_fake", "voice_fake", F.explode(pools).alias("p"))
-    heads = F.array(F.struct(F.lit("file").alias("head"), F.col("file_fake").alias("label")), F.struct(F.lit("voice").alias("head"), F.col("voice_fake").alias("label")))
-    long = d.select("p.*", F.explode(heads).alias("h")).select("pool", "score", "h.*").filter("label IS NOT NULL")
-    e = M.eer(long, ["head", "pool"])
+    cells = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(n).alias("pool"), s(z).alias("score"))
+                      for i, h in enumerate(heads) for n, z in (("mean", f"mean_{h}"), ("max", f"mx_{h}"), ("lse1", f"x_{i}_0"))])
+    long = p.select("file_id", F.explode(cells).alias("c")).select("file_id", "c.*").join(head_labels(spark, sf), ["file_id", "head"])
+    e = C.eer(long, ["head", "pool"])
     mean3 = e.filter("pool = 'lse1'").agg(F.lit("all").alias("head"), F.lit("mean_lse1").alias("pool"), F.avg("eer").alias("eer"))
     return B.rounded(e.unionByName(mean3))

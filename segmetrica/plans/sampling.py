@@ -81,7 +81,14 @@ def limited_groups(spark, sf):
     return SP.limit_groups(_labelled(spark, sf), "grp", 50, 2).select("file_id", "grp")
 
 
-@query("generator_round_robin")
+@query("generator_round_robin", f"""WITH RECURSIVE {_LAB}, ok AS (SELECT grp FROM lb GROUP BY 1 HAVING min(label)=0 AND max(label)=1),
+o AS (SELECT grp, family, arg_min(file_id, ({HASH(4, 'file_id')}, file_id)) AS fake_id, min(({HASH(4, 'file_id')}, file_id)) AS c FROM lb JOIN ok USING (grp) WHERE label=1 GROUP BY 1, 2),
+n AS (SELECT family, row_number() OVER (ORDER BY family)-1 AS j, count(*) OVER () AS nf FROM (SELECT DISTINCT family FROM o)),
+q AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY c) AS pos FROM o JOIN n USING (family)),
+t AS (SELECT 0 AS k, []::BIGINT[] AS taken, NULL::BIGINT AS grp, NULL::VARCHAR AS family, NULL::BIGINT AS fake_id
+ UNION ALL SELECT k+1, list_append(taken, b.grp), b.grp, b.family, b.fake_id FROM (SELECT t.k, t.taken, arg_min(struct_pack(grp := q.grp, family := q.family, fake_id := q.fake_id), q.pos) AS b
+  FROM t JOIN q ON q.j = t.k % q.nf AND q.pos <= 41 AND NOT list_contains(t.taken, q.grp) WHERE t.k < 40 GROUP BY t.k, t.taken))
+SELECT grp, family, fake_id, ((k-1) // (SELECT max(nf) FROM n))::INT AS round FROM t WHERE k > 0""")
 def generator_round_robin(spark, sf):
     return SP.generator_round_robin(_labelled(spark, sf), "file_id", "grp", "label", "family", 40, 4)
 
@@ -230,8 +237,8 @@ def binary_digests(spark, sf):
   (CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 16000 ELSE 44100 END WHEN 1 THEN 44100 END)::INT AS sample_rate,
   (CASE page_id % 3 WHEN 0 THEN 1 + page_id % 2 WHEN 1 THEN 2 END)::INT AS channels,
   (CASE page_id % 3 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 256 ELSE 1411 END WHEN 1 THEN 128 END)::INT AS bitrate_kbps,
-  CASE page_id % 3 WHEN 0 THEN round(strlen(html) / (2 * (1 + page_id % 2)) / (CASE WHEN page_id % 2 = 0 THEN 16000e0 ELSE 44100e0 END), 3)
-    WHEN 1 THEN CASE WHEN page_id % 2 = 1 THEN round((page_id + 1) * 1152e0 / 44100, 3) ELSE round(834 / 16000e0, 3) END END AS duration_seconds
+  CASE page_id % 3 WHEN 0 THEN strlen(html) / (2e0 * (1 + page_id % 2) * (CASE WHEN page_id % 2 = 0 THEN 16000 ELSE 44100 END))
+    WHEN 1 THEN CASE WHEN page_id % 2 = 1 THEN (page_id + 1) * 1152e0 / 44100 ELSE 834 / 16000e0 END END AS duration_seconds
 FROM pages""")
 def header_probe(spark, sf):
     """Header facts of files built from each page: RIFF around its text, MPEG frames behind text and tags, plain text."""

@@ -166,18 +166,19 @@ def linear_score_file17(spark, sf):
     return B.rounded(S.linear_score(d, [n for n, _ in pairs], MD.linear_model(17), "score").select("file_id", "score"), 7)
 
 
-@query("linear_score_embedding", f"""WITH {EVIDENCE}, f AS (SELECT vec_id, list_concat([{', '.join(sql_features('file17'))}], embedding::DOUBLE[]) AS f FROM evidence JOIN embeddings ON vec_id=file_id)
-SELECT vec_id, round({SG('-0.125e0+list_sum(list_transform(f, lambda v, i: (v-(((i-1)*7%11-5)/10e0))/(((i-1)%5+2)/2e0)*(((i-1)*13%17-8)/20e0)))')},7) AS score FROM f""")
+@query("linear_score_embedding", f"""WITH {EVIDENCE}, f AS (SELECT file_id, list_concat([{', '.join(sql_features('file17'))}], embedding::DOUBLE[]) AS f FROM evidence JOIN embeddings ON vec_id=file_id % (SELECT count(*) FROM embeddings))
+SELECT file_id, round({SG('-0.125e0+list_sum(list_transform(f, lambda v, i: (v-(((i-1)*7%11-5)/10e0))/(((i-1)%5+2)/2e0)*(((i-1)*13%17-8)/20e0)))')},7) AS score FROM f""")
 def linear_score_embedding(spark, sf):
-    """The 17 logits followed by the embedding values, as one array."""
+    """The 17 logits of every file followed by an embedding, as one array. Vectors are given to files by their number in turn."""
     pairs = feature_set("music17")
     e = B.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    d = evidence(spark, sf).join(e, F.col("file_id") == F.col("vec_id")).select(
-        "vec_id", F.concat(F.array(*[c for _, c in pairs]), "embedding").alias("x"))
+    of_file = F.pmod(F.col("file_id"), e.select(F.count(F.lit(1))).scalar())
+    d = evidence(spark, sf).withColumn("_vec", of_file).join(e, F.col("_vec") == F.col("vec_id")).select(
+        "file_id", F.concat(F.array(*[c for _, c in pairs]), "embedding").alias("x"))
     i = F.sequence(F.lit(0), F.size("x") - 1)
-    d = d.select("vec_id", "x", F.transform(i, lambda k: ((k * 7) % 11 - 5) / 10.0).alias("m"),
+    d = d.select("file_id", "x", F.transform(i, lambda k: ((k * 7) % 11 - 5) / 10.0).alias("m"),
                  F.transform(i, lambda k: (k % 5 + 2) / 2.0).alias("s"), F.transform(i, lambda k: ((k * 13) % 17 - 8) / 20.0).alias("c"))
-    return B.rounded(S.linear_score_array(d, "x", F.col("m"), F.col("s"), F.col("c"), -0.125, "score").select("vec_id", "score"), 7)
+    return B.rounded(S.linear_score_array(d, "x", F.col("m"), F.col("s"), F.col("c"), -0.125, "score").select("file_id", "score"), 7)
 
 
 @query("incumbent_voice_binding", f"""WITH {EVIDENCE}, s AS (SELECT *, CASE WHEN file_id%9=0 THEN voice44+1e-6 ELSE voice44 END AS stored FROM evidence)
@@ -325,15 +326,14 @@ SELECT file_id, round({SG('0.42680907029203735e0*pf-0.6304034896286665e0')},7) A
  round({SG('0.3936595595390725e0*pm-0.13954637928984984e0')},6) AS music FROM p""")
 def tuned_window_heads(spark, sf):
     """Window logits to the three tuned probabilities with the published pooling."""
-    from ..operators.pooling import pool_smooth_max, presence_weight
+    from ..operators.pooling import presence_weight, smooth_max_pools
 
     w = G.voice_windows(spark, sf).withColumn("zp", ((F.col("file_id") * 13 + F.col("win_idx") * 7) % 61 - 30) / 10.0)
-    out = None
-    for head, (tau, gamma, a, b) in A.TUNED_POOLING.items():
-        p = pool_smooth_max(w, ["file_id"], "z", presence_weight(F.col("zp"), gamma), (tau,))
-        p = p.select("file_id", F.round(A.sigmoid(F.lit(a) * F.col("lse_0") + F.lit(b)), 6 if head == "music" else 7).alias(head))
-        out = p if out is None else out.join(p, "file_id")
-    return out
+    heads = list(A.TUNED_POOLING.items())
+    taus = sorted({t for _, (t, *_) in heads})
+    wide = smooth_max_pools(w, ["file_id"], [(F.col("z"), presence_weight(F.col("zp"), g) if g else None) for _, (_, g, *_) in heads], taus)
+    return wide.select("file_id", *[
+        F.round(A.sigmoid(F.lit(a) * F.col(f"x_{i}_{taus.index(t)}") + F.lit(b)), 6 if h == "music" else 7).alias(h) for i, (h, (t, g, a, b)) in enumerate(heads)])
 
 
 # --- model tables ------------------------------------------------------------------------

@@ -211,24 +211,49 @@ def pooling_empty_streams(spark, sf):
         F.col("voice"), F.col("music"), F.col("voice_present"), F.col("music_present")).alias("file_score")))
 
 
-def _lse_sql(tau, gamma):
-    w = "1e0" if gamma == 0 else f"(pow(1e0/(1e0+exp(-(z*0.5e0))), {gamma}e0)+1e-6)"
-    return f"""SELECT file_id, '{tau}|{gamma}' AS cell,
-  round({tau}e0*ln(sum(w*exp((z-zm)/{tau}e0))/greatest(sum(w),1e-12))+max(zm),7) AS pooled
-  FROM (SELECT file_id, z, max(z) OVER (PARTITION BY file_id) AS zm, {w} AS w FROM wz) GROUP BY 1"""
+# Three heads over the same windows: a logit each, and the logit of the stream's presence (FILE has none).
+_HEAD_LOGITS = {"file": ("(file_id*31+win_idx*17)%101-50", None), "voice": ("(file_id*29+win_idx*23)%97-48", "(file_id*13+win_idx*7)%61-30"),
+                "music": ("(file_id*37+win_idx*19)%89-44", "(file_id*11+win_idx*5)%53-26")}
+_HEADS_SQL = "hz AS (SELECT file_id, win_idx, " + ", ".join(
+    f"({z})/10e0 AS z_{h}" + (f", ({p})/10e0 AS p_{h}" if p else "") for h, (z, p) in _HEAD_LOGITS.items()) + " FROM win)"
 
 
-@query("smooth_max_pooling", f"WITH {_VOICE} " + " UNION ALL ".join(_lse_sql(t, g) for g in (0, 1, 2) for t in (1, 4, 1000)))
+def head_windows(spark, sf):
+    cols = [F.expr(f"({e})/10D").alias(f"{n}_{h}") for h, pair in _HEAD_LOGITS.items() for n, e in zip("zp", pair) if e]
+    return voice_windows(spark, sf).select("file_id", "win_idx", *cols)
+
+
+def head_gammas(head):
+    from ..operators import grid as GR
+
+    return GR.GAMMAS if _HEAD_LOGITS[head][1] else (0.0,)
+
+
+def pooled_heads(spark, sf):
+    """(file_id, head, tau, gamma, pooled) of every head, temperature and presence weight, in one pass over the windows."""
+    from ..operators import grid as GR
+
+    cells = [(h, g) for h in _HEAD_LOGITS for g in head_gammas(h)]
+    pools = [(F.col(f"z_{h}"), P.presence_weight(F.col(f"p_{h}"), g) if g else None) for h, g in cells]
+    wide = P.smooth_max_pools(head_windows(spark, sf), ["file_id"], pools, GR.TAUS)
+    long = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(t).alias("tau"), F.lit(g).alias("gamma"), F.col(f"x_{i}_{k}").alias("pooled"))
+                     for i, (h, g) in enumerate(cells) for k, t in enumerate(GR.TAUS)])
+    return wide.select("file_id", F.explode(long).alias("c")).select("file_id", "c.*")
+
+
+def _lse_sql(head, tau, gamma):
+    w = f"(pow(1e0/(1e0+exp(-p_{head})), {gamma}e0)+1e-6)" if gamma else "1e0"
+    return f"""SELECT file_id, '{head}' AS head, {tau}::DOUBLE AS tau, {gamma}::DOUBLE AS gamma,
+  round({tau}::DOUBLE*ln(sum(w*exp((z-zm)/{tau}::DOUBLE))/greatest(sum(w),1e-12))+max(zm),7) AS pooled
+  FROM (SELECT file_id, z_{head} AS z, max(z_{head}) OVER (PARTITION BY file_id) AS zm, {w} AS w FROM hz) GROUP BY 1"""
+
+
+_LSE = [(h, t, g) for h, gs in (("file", (0,)), ("voice", (0, 1, 2)), ("music", (0, 1, 2))) for g in gs for t in (0.25, 0.5, 1.0, 2.0, 4.0, 1000.0)]
+
+
+@query("smooth_max_pooling", f"WITH {_VOICE}, {_HEADS_SQL} " + " UNION ALL ".join(_lse_sql(*c) for c in _LSE))
 def smooth_max_pooling(spark, sf):
-    taus, out = (1, 4, 1000), None
-    w = voice_windows(spark, sf)
-    for g in (0, 1, 2):
-        weight = P.presence_weight(F.col("z") * 0.5, float(g))
-        p = P.pool_smooth_max(w, ["file_id"], "z", weight, taus)
-        cells = F.array(*[F.struct(F.lit(f"{t}|{g}").alias("cell"), F.col(f"lse_{i}").alias("pooled")) for i, t in enumerate(taus)])
-        p = p.select("file_id", F.explode(cells).alias("c")).select("file_id", "c.*")
-        out = p if out is None else out.unionByName(p)
-    return B.rounded(out, 7)
+    return B.rounded(pooled_heads(spark, sf), 7)
 
 
 @query("presence_interval_join", f"""WITH {_VOICE}, g AS (SELECT file_id, max(presence) AS top FROM wpres GROUP BY 1 HAVING max(presence) >= 0.2 AND bool_and(presence IS NOT NULL)),

@@ -43,7 +43,7 @@ def riff_facts(data: bytes) -> tuple:
         return ("wav", rate, channels, None, None)
     body, size = chunks[b"data"]
     frame = channels * depth // 8
-    seconds = round(min(size, len(data) - body) / frame / rate, 3) if frame else None
+    seconds = min(size, len(data) - body) / (frame * rate) if frame else None
     return ("wav", rate, channels, per_second // 1000, seconds)
 
 
@@ -90,7 +90,7 @@ def mpeg_facts(data: bytes) -> tuple:
         frames = _number(data, tag + 8, 4, "big")
         if frames:
             seconds = frames * int(heads.samples[k]) / rate
-    return ("mp3", rate, 1 if mono else 2, kbps, round(seconds, 3))
+    return ("mp3", rate, 1 if mono else 2, kbps, seconds)
 
 
 def header_facts(data: bytes) -> tuple:
