@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_long, hash_text, hash_uniform
 from ..session import cut_lineage, materialize, scratch_path
 from .graph import components, with_least
-from .prefix import accumulate, attach, hash_rank
+from .prefix import accumulate, attach, hash_rank, join_back
 
 
 def _hash_bucket12(digest: str) -> Column:
@@ -242,6 +244,40 @@ def window_draws(items: DataFrame, key: str, pool: str, length: str, n_draws: in
     return j.select("draw", "pool", "item", F.pmod(hash_long(seed, F.lit("start"), F.col("draw")), slack).alias("start"))
 
 
+DRAW_BINS = 4096  # of a stratum's summed weights
+
+
+def stratified_draws(items: DataFrame, key: str, strata: Sequence[str], n_draws: int, seed: int, weight: str | None = None) -> DataFrame:
+    """(draw, strata..., key): draws with replacement, first a stratum (all alike), then an item in it by weight.
+
+    Strata with items but no weight are never drawn. An item owns the stretch of its stratum's summed weights that ends at
+    its own running sum, in order of its hash; a draw takes the item on whose stretch its uniform number falls. Running sums
+    are made in two levels. Draws meet items by bins of the stretch, DRAW_BINS a stratum, so a stratum with very many items
+    or a third of all draws is shared by many tasks; an item as long as several bins stands in each of them.
+    """
+    spark, strata = items.sparkSession, list(strata)
+    w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    rows = items.select(*strata, F.col(key).alias("_key"), w.alias("_w")).where("_w > 0").withColumn("_h", hash_text(seed, F.col("_key")))
+    summed = accumulate(rows, strata, [F.col("_h").asc(), F.col("_key").asc()], _hash_bucket12("_h"), ["_w"], descending=False)
+    # one row a stratum, numbered in order; strata are few
+    sizes = summed.groupBy(*strata).agg(F.max("_w_all").alias("_all"))
+    numbered = sizes.withColumn("_s", F.row_number().over(Window.orderBy(*strata)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    numbered = cut_lineage(numbered)
+    n = numbered.count()
+    if not n:
+        raise ValueError("no stratum has an item with weight")
+    stretch = join_back(summed.drop("_w_all"), numbered, strata)
+    lo, hi = F.col("_w_cum") - F.col("_w"), F.col("_w_cum")
+    bin_of = lambda x: F.least(F.floor(x / F.col("_all") * DRAW_BINS), F.lit(DRAW_BINS - 1)).cast("int")
+    stretch = stretch.select("_s", "_key", *strata, lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(bin_of(lo), bin_of(hi))).alias("_bin"))
+    draws = spark.range(n_draws).select(F.col("id").alias("draw"))
+    draws = draws.withColumn("_s", F.pmod(hash_long(seed, F.lit("stratum"), F.col("draw")), F.lit(n)).cast("int"))
+    draws = draws.join(numbered.select("_s", "_all"), "_s").withColumn("_u", hash_uniform(seed, F.lit("item"), F.col("draw")) * F.col("_all"))
+    draws = draws.withColumn("_bin", bin_of(F.col("_u")))
+    hit = draws.join(stretch, ["_s", "_bin"]).where("_lo <= _u AND _u < _hi")
+    return hit.select("draw", *strata, F.col("_key").alias(key))
+
+
 def repeat_rows(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(int(times)))))
 

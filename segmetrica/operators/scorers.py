@@ -170,21 +170,44 @@ def tree_violations(nodes: DataFrame, keys: Sequence[str], n_features: int, max_
 def fit_receipt(df: DataFrame, group: str, label: str, role: str | None = None) -> DataFrame:
     """Counts a fit must report, recomputed from its training table.
 
-    The group list is reported as a digest: a per-group digest is summed, so no list
-    of groups is ever collected.
+    The list of groups is reported as one digest (``list_digest``), so it is never collected.
     """
     g = df.groupBy(F.col(group).cast("string").alias("g")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"),
         *([F.sum(F.when(F.col(role) == v, 1).otherwise(0)).alias(f"n_{v}") for v in ("old", "extra")] if role else []),
     )
-    return g.agg(
+    counts = g.agg(
         F.sum("n").alias("training_rows"),
         F.count(F.lit(1)).alias("training_groups"),
         (F.sum("n") - F.sum("pos")).alias("class_0"),
         F.sum("pos").alias("class_1"),
         *([F.sum(f"n_{v}").alias(f"{v}_rows") for v in ("old", "extra")] if role else []),
-        F.sum(F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long")).alias("groups_digest"),
     )
+    return attach(counts, list_digest(g, "g").withColumnRenamed("digest", "groups_digest"), [])
+
+
+def list_digest(df: DataFrame, column: str, digits: Sequence[int] = (6, 3, 0)) -> DataFrame:
+    """One row: a SHA-256 that two lists share only if they hold the same distinct values, in whatever order.
+
+    Hashes of the values are sorted within ranges (equal leading hex digits) and hashed; the range hashes are again, by
+    fewer digits, up to one. Nothing is added up, so no exchange of values can cancel out. Nulls are left out; an empty
+    list has the hash of nothing.
+    """
+    rows = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+    level = rows.select(F.sha2("v", 256).alias("at"), F.sha2("v", 256).alias("h"))
+    for n in digits:
+        keyed = level.withColumn("_p", F.substring("at", 1, n) if n else F.lit(""))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+        level = keyed.groupBy("_p").agg(F.sha2(joined, 256).alias("h")).select(F.col("_p").alias("at"), "h")
+    return level.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+def pin_violations(files: DataFrame, pins: DataFrame, key: str = "path") -> DataFrame:
+    """(key, rule) of pinned files that are missing or whose sha256 differs from their pin; case doesn't matter."""
+    f = files.select(F.col(key), F.lower("sha256").alias("_found"))
+    both = pins.select(F.col(key), F.lower(F.trim("sha256")).alias("_pin")).join(f, key, "left")
+    rule = F.when(F.col("_found").isNull(), "pinned file is missing").when(F.col("_found") != F.col("_pin"), "sha256 differs from its pin")
+    return both.select(key, rule.alias("rule")).where("rule IS NOT NULL")
 
 
 def receipt_violations(actual: DataFrame, receipt: DataFrame) -> DataFrame:

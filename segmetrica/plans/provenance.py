@@ -97,6 +97,33 @@ def configurable_manifest_violations(spark, sf):
     return MF.manifest_rows(d, {"rel_path": "file", "label": "verdict", "content_group": "who"}, root="root")[1]
 
 
+_SCANNED = f"""{cte('m', 'orders', CONFIG_ROWS)}, p AS (SELECT *, row_number() OVER (ORDER BY "row")+1 AS nr, trim(file) AS rel, CASE lower(trim(verdict)) WHEN 'spoof' THEN 1 WHEN 'genuine' THEN 0 WHEN '0' THEN 0 END AS y FROM m)"""
+
+
+def _scanned(spark, sf):
+    """The manifest as one file in order, some of its fields with line ends and quotes, scanned with the rows' numbers."""
+    path = scratch_path(spark, "manifest") + "/manifest.csv"
+    d = bound(spark, sf, "orders", CONFIG_ROWS)
+    note = F.when(F.col("row") % 9 == 0, F.concat(F.lit('two\nlines, "quoted" of '), "row")).otherwise(F.lit("-"))
+    sinks.write_ordered(d.withColumn("note", note), path, ["row"], ["file", "verdict", "who", "generator_family", "note"])
+    return MF.read_csv(spark, path, row="row")
+
+
+@query("scanned_manifest", f"""WITH {_SCANNED} SELECT nr AS "row", rel AS sample_id, y AS label, CASE WHEN trim(who)='' THEN 'unknown' ELSE trim(who) END AS content_group,
+ CASE WHEN ("row")%9=0 THEN 'two' || chr(10) || 'lines, "quoted" of ' || "row" ELSE '-' END AS note FROM p WHERE rel<>'' AND rel NOT LIKE '%..%' AND y IS NOT NULL""")
+def scanned_manifest(spark, sf):
+    d = _scanned(spark, sf)
+    rows = MF.manifest_rows(d, {"rel_path": "file", "label": "verdict", "content_group": "who"}, root="root")[0]
+    return rows.join(d.select("row", "note"), "row").select("row", "sample_id", "label", F.trim("content_group").alias("content_group"), "note")
+
+
+@query("scanned_manifest_violations", f"""WITH {_SCANNED}, q AS (SELECT *, min(nr) OVER (PARTITION BY rel) AS f FROM p)
+SELECT nr AS "row", 'no audio path' AS rule FROM q WHERE rel='' UNION ALL SELECT nr, 'unsafe rel_path' FROM q WHERE rel LIKE '%..%'
+UNION ALL SELECT nr, 'unknown label' FROM q WHERE verdict='dunno' UNION ALL SELECT nr, 'duplicate sample' FROM q WHERE rel<>'' AND nr>f""")
+def scanned_manifest_violations(spark, sf):
+    return MF.manifest_rows(_scanned(spark, sf), {"rel_path": "file", "label": "verdict", "content_group": "who"}, root="root")[1]
+
+
 TRAIN_ROWS = {"relative_path": "concat('wav/', CAST(o_orderkey AS STRING), '.flac')", "file_fake": "CASE WHEN o_orderstatus = 'F' THEN 'bona-fide' ELSE 'SPOOF' END",
               "speaker": "CASE WHEN o_custkey % 4 = 0 THEN '' ELSE CAST(o_custkey AS STRING) END", "weight": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 5 AS STRING) END", "channel": "o_orderpriority"}
 
@@ -305,6 +332,16 @@ def template_alignment(spark, sf):
     return Q.align(back.select("pos", "ID"), found)[1]
 
 
+@query("ordered_predictions", f"""WITH {cte('t', 'orders', TEMPLATE_ROWS)} SELECT row_number() OVER (ORDER BY pos)::BIGINT AS pos, ID, round((pos % 7) / 7e0, 6)::VARCHAR AS FILE_FAKE_PROB FROM t""")
+def ordered_predictions(spark, sf):
+    """Predictions exported as one file in template order, read back as a plain template: the row's number is its position."""
+    t = bound(spark, sf, "orders", TEMPLATE_ROWS)
+    value = F.round(F.col("pos") % 7 / F.lit(7.0), 6)
+    path = scratch_path(spark, "export") + "/predictions.csv"
+    sinks.export_predictions(t.select("pos", "ID", *[value.alias(c) for c in PREDICTION_COLUMNS]), path)
+    return MF.template(spark, path).select("pos", "ID", "FILE_FAKE_PROB")
+
+
 def _cache_rows(spark, sf):
     k = F.col("doc_id")
     s = lambda c: c.cast("string")

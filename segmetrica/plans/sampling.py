@@ -102,6 +102,17 @@ def window_draws(spark, sf):
     return SP.window_draws(o, "o_orderkey", "pool", "len", 5000, {"mix": 3.0, "view": 1.0}, 7, 64000)
 
 
+@query("stratified_draws", f"""WITH {B.ITEMS}, i AS (SELECT file_id, domain, file_fake, CASE WHEN file_id%11=0 THEN 0e0 ELSE (1+file_id%4)::DOUBLE END AS w FROM items),
+c AS (SELECT *, sum(w) OVER (PARTITION BY domain, file_fake ORDER BY {HASH(6, 'file_id')}, file_id) AS hi, sum(w) OVER (PARTITION BY domain, file_fake) AS al FROM i WHERE w > 0),
+s AS (SELECT domain, file_fake, max(al) AS al, row_number() OVER (ORDER BY domain, file_fake)-1 AS j, count(*) OVER () AS n FROM c GROUP BY 1, 2),
+d AS (SELECT id AS draw, s.domain, s.file_fake, ('0x'||substr({HASH(6, "'item'", 'id')},1,8))::BIGINT/4294967296e0*al AS u FROM range(20000) t(id) JOIN s ON ('0x'||substr({HASH(6, "'stratum'", 'id')},1,8))::BIGINT % n = j)
+SELECT draw, domain, file_fake, file_id FROM d JOIN c USING (domain, file_fake) WHERE c.hi-c.w <= u AND u < c.hi""")
+def stratified_draws(spark, sf):
+    """Panel and class first, all alike, then a file by its weight, with replacement."""
+    i = B.items(spark, sf).withColumn("w", F.when(F.col("file_id") % 11 == 0, 0.0).otherwise((1 + F.col("file_id") % 4).cast("double")))
+    return SP.stratified_draws(i, "file_id", ["domain", "file_fake"], 20000, 6, "w")
+
+
 @query("repeated_rows", "SELECT o_orderkey, c::INT AS copy FROM orders, range(1,4) t(c) WHERE o_orderstatus='F' UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus='P'")
 def repeated_rows(spark, sf):
     o = B.table(spark, sf, "orders")

@@ -373,7 +373,9 @@ def tree_table_integrity(spark, sf):
 @query("fit_receipt", """WITH g AS (SELECT o_custkey::VARCHAR AS g, count(*) AS n, sum(CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END) AS pos,
   sum(CASE WHEN o_orderpriority='5-LOW' THEN 1 ELSE 0 END) AS old FROM orders GROUP BY 1)
 SELECT sum(n)::BIGINT AS training_rows, count(*)::BIGINT AS training_groups, (sum(n)-sum(pos))::BIGINT AS class_0, sum(pos)::BIGINT AS class_1,
- sum(old)::BIGINT AS old_rows, (sum(n)-sum(old))::BIGINT AS extra_rows, sum(('0x'||substr(md5(g),1,8))::BIGINT)::BIGINT AS groups_digest FROM g""")
+ sum(old)::BIGINT AS old_rows, (sum(n)-sum(old))::BIGINT AS extra_rows,
+ (SELECT sha256(string_agg(h, '' ORDER BY p)) FROM (SELECT left(p,3) AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM (
+   SELECT left(sha256(g),6) AS p, sha256(string_agg(sha256(g), '' ORDER BY sha256(g))) AS h FROM g GROUP BY 1) GROUP BY 1)) AS groups_digest FROM g""")
 def fit_receipt(spark, sf):
     d = B.items(spark, sf).withColumn("role", F.when(F.col("family") == "5-LOW", "old").otherwise("extra"))
     return S.fit_receipt(d, "grp", "file_fake", "role")

@@ -55,6 +55,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()) if store.exists(at) else []
 
 
+def folder_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder."""
+    store, at = _store(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(at) if f.isFile())
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to the folder was committed."""
     store, at = _store(spark, f"{path}/_SUCCESS")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.labels import AUDIO_EXTENSIONS, known, parse_label, parse_training_label
 from ..operators.prefix import accumulate
 from ..operators.quality import duplicates, first_wins
-from ..schemas import LEDGER, TEMPLATE
+from ..session import materialize
+from ..schemas import LEDGER
+from .lines import read_records
 
 # Fixed candidate columns of training manifests.
 PATH_COLUMNS = ("path", "relative_path", "file", "audio_path")
@@ -19,11 +21,12 @@ GROUP_COLUMNS = ("group", "speaker_id", "speaker", "content_id")
 META_COLUMNS = ("system", "channel", "source")
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV of strings with a header; a byte order mark in the header is tolerated."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+def read_csv(spark: SparkSession, path: str, schema=None, row: str | None = None) -> DataFrame:
+    """CSV of strings with a header; a byte order mark is tolerated, files are split whatever they hold.
+
+    ``row`` adds the number of each record in its file, the header being 1.
+    """
+    return read_records(spark, path, schema, row)
 
 
 def manifest_rows(df: DataFrame, columns: Mapping[str, str] | None = None, root: str = "", row: str = "row") -> tuple[DataFrame, DataFrame]:
@@ -94,21 +97,20 @@ def licence_index(df: DataFrame, wanted: DataFrame, row: str = "row") -> DataFra
 def paired_fakes(df: DataFrame, originals: DataFrame) -> DataFrame:
     """Fakes of wanted originals with their position in path order.
 
-    Positions are counted in two levels over path prefixes, so an original with very many
+    Positions are counted in two levels over ranges of the paths found in the data, so an original with very many
     fakes is shared by many tasks and nothing is collected.
     """
     d = df.withColumn("original_audio", F.trim("original_audio")).join(originals.select("original_audio").distinct(), "original_audio", "left_semi")
-    d = accumulate(d.withColumn("_one", F.lit(1)), ["original_audio"], [F.col("path_in_dataset").asc()],
-                   F.substring("path_in_dataset", 1, 24), ["_one"], descending=False)
+    d = materialize(d.repartitionByRange("original_audio", "path_in_dataset").withColumn("_range", F.spark_partition_id()), "fakes")
+    d = accumulate(d.withColumn("_one", F.lit(1)), ["original_audio"], [F.col("path_in_dataset").asc()], F.col("_range"), ["_one"], descending=False).drop("_range")
     return d.withColumn("pos", F.col("_one_cum")).drop("_one", "_one_cum", "_one_all")
 
 
-def template(spark: SparkSession, path: str, pos: Column | None = None) -> DataFrame:
-    """Submission template. The sink writes an explicit pos column; a plain file gets one from its single partition's order."""
-    df = read_csv(spark, path)
-    if "pos" not in df.columns:
-        df = read_csv(spark, path, TEMPLATE).withColumn("pos", F.monotonically_increasing_id())
-    return df.withColumn("ID", F.trim("ID")).withColumn("pos", F.col("pos").cast("long"))
+def template(spark: SparkSession, path: str) -> DataFrame:
+    """Submission template in its own order: pos is the column of that name, or the number of the row in the file."""
+    df = read_csv(spark, path, row="_row")
+    pos = F.col("pos").cast("long") if "pos" in df.columns else F.col("_row") - 1
+    return df.withColumn("ID", F.trim("ID")).withColumn("pos", pos).drop("_row")
 
 
 def template_violations(df: DataFrame) -> DataFrame:
