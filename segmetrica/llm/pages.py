@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,14 @@ MAIN_SHARE = 0.85  # the article holds at least this share of the accepted text
 NAMED = 0.5  # an element with a doubtful id needs this share of the article's ratios
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)|<[!?][^>]*+>|[^<]++|<",
     re.S | re.I,
 )
+#: Behind the last > there is no tag.
+_TAIL = re.compile(r"<!--.*|[^<]++|<", re.S)
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_MARK = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…«»“”\"()]")
 _WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -104,40 +109,101 @@ def _named(tag: str, attrs: str) -> str:
     return hint
 
 
+class _Source:
+    """A page's source, and where its tags end.
+
+    A tag ends at the first > outside quotes. Where there is none, finding that out means reading on to the end of the
+    page; so after the first such tag the ends of all are worked out at once, from the last mark to the first.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, source.rfind(">")
+        self.marks: list[int] | None = None
+
+    def rest(self, at: int) -> re.Match | None:
+        """The attributes and the end of a tag, from behind its name on."""
+        if at > self.last or self.marks is not None and not self.closed[bisect_left(self.marks, at)]:
+            return None
+        found = _REST.match(self.source, at)
+        if found is None:
+            self._work_out()
+        return found
+
+    def _work_out(self) -> None:
+        places = [(m.start(), m.group()) for m in _MARK.finditer(self.source)]
+        self.marks = [p for p, _ in places]
+        # whether a tag that is outside quotes before mark k ends somewhere
+        self.closed = [False] * (len(places) + 1)
+        following = {"\"": len(places), "'": len(places)}
+        for k in range(len(places) - 1, -1, -1):
+            kind = places[k][1]
+            if kind == ">":
+                self.closed[k] = True
+            else:
+                end = following[kind]
+                self.closed[k] = end < len(places) and self.closed[end + 1]
+                following[kind] = k
+
+
+_CLOSABLE = frozenset(_CLOSED_BY) | {"p"} | _SCOPE
+
+
 class _Page:
-    """Leaves (text, path, block number) of one page, and for each block the numbers of the elements that can hold blocks."""
+    """Leaves (text, path number, block number) of one page, the innermost element that can hold blocks for each block, and
+    for each leaf the innermost element that class or id name as something else. Elements are numbered in page order, so
+    holders have smaller numbers than what they hold; 0 is the page itself, or none."""
 
     def __init__(self, source: str) -> None:
-        self.leaves: list[tuple[str, str, int]] = []
+        self.leaves: list[tuple[str, int, int]] = []
         self.hints: dict[int, str] = {}  # elements that class or id name as something else
-        self.under: list[tuple[int, ...]] = []  # of each leaf, those that hold it
-        self.blocks: list[tuple[int, ...]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element number, left out
-        self.number, self.fresh, self.top = 0, True, {0}  # 0: the page itself
-        self.unclosed = 0  # elements of _SKIPPED on the stack
-        at = 0
-        while m := _TOKEN.match(source, at):
-            tag, at = m.group(3), m.end()
+        self.hint_above: dict[int, int] = {}
+        self.holder: dict[int, int] = {0: 0}  # of each element that can hold blocks the next one outside
+        self.under: list[int] = []
+        self.blocks: list[int] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        # tag, element number, left out, path, innermost holder, innermost hint
+        self.stack: list[tuple[str, int, bool, int, int, int]] = []
+        self.open: dict[str, int] = {}  # how often each tag is on the stack
+        self.closable: list[int] = []  # places on the stack that close_open looks at
+        self.skipped: list[int] = []  # places of elements of _SKIPPED
+        self.headings = 0
+        self.number, self.fresh, self.top = 0, True, {0}
+        at, page = 0, _Source(source)
+        while m := (_TOKEN if at <= page.last else _TAIL).match(source, at):
+            tag, at = m.group(3) if m.re is _TOKEN else None, m.end()
             if tag:
-                tag, attrs = tag.lower(), m.group(4) or ""
+                rest = page.rest(at)
+                if rest is None:
+                    at = m.start() + 1
+                    self.text("<")
+                    continue
+                tag, attrs, at = tag.lower(), rest.group(1), rest.end()
                 if tag in _SKIPPED and not m.group(2) and not attrs.rstrip().endswith("/"):
-                    other = _SKIPPED[tag].search(source, at)
+                    other = _SKIPPED[tag].search(source, at) if at <= page.last else None
                     if other and other.group(1):
                         self.fresh |= tag not in _INLINE
                         at = other.end()
                         continue
                 (self.end if m.group(2) else self.start)(tag, attrs)
-            elif m.group(1):
+            elif m.re is _TOKEN and m.group(1):
                 if m.group(1).lower() not in _INLINE:
                     self.fresh = True
             elif not m.group().startswith(("<!", "<?")):
                 self.text(m.group())
 
+    def cut(self, k: int) -> None:
+        """Takes everything from place k on off the stack."""
+        for tag, *_ in self.stack[k:]:
+            self.open[tag] -= 1
+            self.headings -= tag in _HEADINGS
+        del self.stack[k:]
+        for places in (self.closable, self.skipped):
+            while places and places[-1] >= k:
+                places.pop()
+
     def start(self, tag: str, attrs: str) -> None:
-        if self.unclosed and tag in _STARTS:
-            first = next((k for k, e in enumerate(self.stack) if e[0] in _SKIPPED), len(self.stack))
-            del self.stack[first:]
-            self.unclosed = 0
+        if self.skipped and tag in _STARTS:
+            self.cut(self.skipped[0])
         if tag not in _INLINE:
             self.fresh = True
             if tag not in ("hr",):
@@ -149,55 +215,77 @@ class _Page:
         if attrs.rstrip().endswith("/") and tag not in _KEEP_ANYWAY:
             return
         self.number += 1
-        out = bool(self.stack) and self.stack[-1][2]
-        names = [t for t, _, _ in self.stack]
+        _, _, out, path, holder, hint = self.stack[-1] if self.stack else ("", 0, False, 0, 0, 0)
         if tag in ("html", "body"):
             self.top.add(self.number)
-        if tag == "header" and "article" not in names and "main" not in names:
+        if tag == "header" and not self.open.get("article") and not self.open.get("main"):
             out = True
-        self.unclosed += tag in _SKIPPED
-        if hint := _named(tag, attrs):
-            self.hints[self.number] = hint
-        self.stack.append((tag, self.number, out or tag in _SKIPPED or _other(tag, attrs)))
+        if named := _named(tag, attrs):
+            self.hints[self.number], self.hint_above[self.number], hint = named, hint, self.number
+        if tag not in _BLOCKS and tag not in _INLINE:
+            self.holder[self.number], holder = holder, self.number
+        if tag in _SKIPPED:
+            self.skipped.append(len(self.stack))
+        if tag in _CLOSABLE:
+            self.closable.append(len(self.stack))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.headings += tag in _HEADINGS
+        path = self.paths.setdefault((path, tag), len(self.paths) + 1)
+        self.stack.append((tag, self.number, out or tag in _SKIPPED or _other(tag, attrs), path, holder, hint))
 
     def wide(self, element: int) -> bool:
         return element in self.top
 
     def close_open(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
+        n = len(self.closable) - 1
+        while n >= 0:
+            k = self.closable[n]
             open_tag = self.stack[k][0]
             if open_tag == "p" or tag in _CLOSED_BY.get(open_tag, ()):
-                del self.stack[k:]
-                return self.close_open(tag)
-            if open_tag in _SCOPE:
-                return None
-        return None
+                self.cut(k)
+                n = len(self.closable) - 1
+            elif open_tag in _SCOPE:
+                return
+            else:
+                n -= 1
 
     def end(self, tag: str, _: str) -> None:
         if tag not in _INLINE:
             self.fresh = True
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self.cut(k)
                 return
             if tag in _INLINE and self.stack[k][0] not in _INLINE:
                 return
 
     def text(self, body: str) -> None:
-        if self.stack and self.stack[-1][2]:
-            return
-        if any(t == "header" for t, _, _ in self.stack) and not any(t in _HEADINGS for t, _, _ in self.stack):
+        _, _, out, path, holder, hint = self.stack[-1] if self.stack else ("", 0, False, 0, 0, 0)
+        if out or self.open.get("header") and not self.headings:
             return
         if self.fresh:
             if not body.strip():
                 return
-            self.blocks.append((0, *(n for t, n, _ in self.stack if t not in _BLOCKS and t not in _INLINE)))
+            self.blocks.append(holder)
             self.fresh = False
-        self.under.append(tuple(n for _, n, _ in self.stack if n in self.hints) if self.hints else ())
-        self.leaves.append((html.unescape(body), "/".join(t for t, _, _ in self.stack), len(self.blocks) - 1))
+        self.under.append(hint)
+        self.leaves.append((html.unescape(body), path, len(self.blocks) - 1))
+
+
+def _handed_up(sums: dict[int, int], above: dict[int, int]) -> dict[int, int]:
+    """Sums of elements with those of all that they hold."""
+    out: dict[int, int] = {}
+    for n in sorted(above, reverse=True):
+        if s := sums.get(n, 0) + out.get(n, 0):
+            out[n] = s
+            if n:
+                out[above[n]] = out.get(above[n], 0) + s
+    return out
 
 
-def path_scores(leaves: list[tuple[str, str, int]]) -> np.ndarray:
+def path_scores(leaves: list[tuple[str, int, int]]) -> np.ndarray:
     """The fused, smoothed score of each leaf's path."""
     length, marks, times = {}, {}, {}
     for body, path, _ in leaves:
@@ -210,65 +298,89 @@ def path_scores(leaves: list[tuple[str, str, int]]) -> np.ndarray:
     return np.sqrt(smooth(ratio(length)) * smooth(ratio(marks)))
 
 
-def _accepted(leaves: list[tuple[str, str, int]], size: np.ndarray) -> np.ndarray:
+def _accepted(leaves: list[tuple[str, int, int]], size: np.ndarray) -> np.ndarray:
     score = path_scores(leaves)
     return (score >= min(SPREAD * score.std(), score.max())) & (size > 0)
 
 
-def _ratios(leaves: list[tuple[str, str, int]]) -> float:
+def _ratios(leaves: list[tuple[str, int, int]]) -> float:
     """The fused ratios of leaves taken together."""
     texts = [b for b, _, _ in leaves if b.strip()]
     return (sum(len(b.strip()) for b in texts) * sum(len(_PUNCTUATION.findall(b)) for b in texts)) ** 0.5 / max(len(texts), 1)
 
 
-def _left_out(page: _Page) -> set[int]:
-    """The elements named by class or id whose text is left out."""
+def _left_out(page: _Page) -> tuple[set[int], list[int]]:
+    """The elements named by class or id whose text is left out, and for each leaf the innermost of them, 0 for none."""
     size = np.array([len(b.strip()) for b, _, _ in page.leaves])
     accepted = _accepted(page.leaves, size)
-    held: dict[int, int] = {}
+    sums: dict[int, int] = {}
     for k in np.flatnonzero(accepted):
-        for n in page.under[k]:
-            held[n] = held.get(n, 0) + int(size[k])
-    out = {n for n in page.hints if held.get(n, 0) < MAIN_SHARE * size[accepted].sum() or not held}
-    under: dict[int, list[int]] = {}
-    for k, u in enumerate(page.under):
-        for n in u:
-            under.setdefault(n, []).append(k)
-    inside = lambda n: [page.leaves[k] for k in under.get(n, ()) if not any(o in out and o > n for o in page.under[k])]
-    rest = [x for x, u in zip(page.leaves, page.under, strict=True) if not out.intersection(u)]
+        sums[page.under[k]] = sums.get(page.under[k], 0) + int(size[k])
+    held = _handed_up(sums, page.hint_above)
+    enough, some = MAIN_SHARE * size[accepted].sum(), any(n for n in held)
+    out = {n for n in page.hints if not some or held.get(n, 0) < enough}
+
+    def innermost() -> list[int]:
+        """Of each leaf the innermost of its elements that is out."""
+        found = {0: 0}
+        for n in sorted(page.hints):
+            found[n] = n if n in out else found[page.hint_above[n]]
+        return [found[u] for u in page.under]
+
+    inside: dict[int, list] = {}
+    owner = innermost()
+    for x, o in zip(page.leaves, owner, strict=True):
+        inside.setdefault(o, []).append(x)
+    rest = inside.get(0, [])
     if not any(b.strip() for b, _, _ in rest):
         # nothing else is there: the one most like an article
-        if best := max(out, key=lambda n: (_ratios(inside(n)), -n), default=0):
-            out -= {best, *(o for k, u in enumerate(page.under) if best in u for o in u if o < best)}
-        return out
+        if best := max(out, key=lambda n: (_ratios(inside.get(n, [])), -n), default=0):
+            holds = {0}
+            for u in set(page.under):
+                while u and u not in holds:
+                    holds.add(u)
+                    u = page.hint_above[u]
+            if best in holds:
+                o = best
+                while o:
+                    out.discard(o)
+                    o = page.hint_above[o]
+            out.discard(best)
+        return out, innermost()
     good = _accepted(rest, np.array([len(b.strip()) for b, _, _ in rest]))
     level = NAMED * _ratios([rest[k] for k in np.flatnonzero(good)])
-    return out - {n for n in sorted(out) if page.hints[n] == "doubtful" and _ratios(inside(n)) >= level > 0}
+    out -= {n for n in sorted(out) if page.hints[n] == "doubtful" and _ratios(inside.get(n, [])) >= level > 0}
+    return out, innermost()
 
 
 def main_text(source: str) -> str:
-    """The article of a page, blocks joined by blank lines; empty if there is none."""
+    """The article of a page, blocks joined by blank lines; empty if there is none. Takes time in proportion to the source."""
     page = _Page(source)
     if page.leaves and any(page.under):
-        out = _left_out(page)
-        page.leaves = [x for x, u in zip(page.leaves, page.under, strict=True) if not out.intersection(u)]
+        _, owner = _left_out(page)
+        page.leaves = [x for x, o in zip(page.leaves, owner, strict=True) if not o]
     if not page.leaves:
         return ""
     size = np.array([len(b.strip()) for b, _, _ in page.leaves])
     accepted = _accepted(page.leaves, size)
     if not accepted.any():
         return ""
-    held: dict[int, int] = {}
+    sums: dict[int, int] = {}
     for k in np.flatnonzero(accepted):
-        for n in page.blocks[page.leaves[k][2]]:
-            held[n] = held.get(n, 0) + int(size[k])
+        n = page.blocks[page.leaves[k][2]]
+        sums[n] = sums.get(n, 0) + int(size[k])
+    held = _handed_up(sums, page.holder)
     # elements are numbered in page order, so the innermost of those with enough text is the last
-    root = max((n for n, s in held.items() if s >= MAIN_SHARE * size[accepted].sum()), default=0)
+    enough = MAIN_SHARE * size[accepted].sum()
+    root = max((n for n, s in held.items() if s >= enough), default=0)
+    within = {0: root == 0}
+    for n in sorted(page.holder):
+        if n:
+            within[n] = n == root or within[page.holder[n]]
 
     def belongs(block: int) -> bool:
-        holders = page.blocks[block]
         # a page without an element for the article: what shares its innermost element with accepted text
-        return holders[-1] in held if page.wide(root) else root in holders
+        return page.blocks[block] in held if page.wide(root) else within[page.blocks[block]]
 
     parts: dict[int, list[str]] = {}
     for body, _, block in page.leaves:

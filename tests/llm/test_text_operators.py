@@ -645,3 +645,32 @@ def test_fm_index():
         for k in range(10):
             p = phrases[k, 4 - lengths[k] :].tolist()
             assert sorted(index.locate(np.arange(lo[k], hi[k])).tolist()) == [j for j in range(n) if seq[j : j + lengths[k]].tolist() == p]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\">", "<div>x", "<b>x", "<svg>x", "<script ", "<div class=ad>x, y. ", "<blockquote>x", "</i>x", "<!--", "<td>x", "<li><dt>x"])
+def test_hostile_pages_take_time_in_proportion(piece):
+    """400 KB of unclosed markup, which once took hours, ends within seconds."""
+    import time
+
+    small, large = (piece * (n // len(piece)) for n in (40_000, 400_000))
+    begin = time.perf_counter()
+    pages.main_text("<p>An article, with words.</p>" + small)
+    middle = time.perf_counter()
+    pages.main_text("<p>An article, with words.</p>" + large)
+    assert time.perf_counter() - middle < 40 * (middle - begin) + 0.5
+
+
+def test_path_ratios_are_the_plain_sums():
+    rng = random.Random(4)
+    leaves = [("".join(rng.choices("ab ,.;é", k=rng.randint(0, 30))), rng.randint(1, 6), 0) for _ in range(80)]
+    size, marks, n = collections.Counter(), collections.Counter(), collections.Counter()
+    for text, path, _ in leaves:
+        size[path] += len(text.strip())
+        marks[path] += sum(c in ".,;" for c in text)
+        n[path] += bool(text.strip())
+    want = []
+    for k in range(len(leaves)):
+        near = [leaves[min(max(k + d, 0), len(leaves) - 1)][1] for d in range(-2, 3)]
+        one, two = (sum(w * of[p] / max(n[p], 1) for w, p in zip((0.25, 0.5, 1.0, 0.5, 0.25), near)) / 2.5 for of in (size, marks))
+        want.append((one * two) ** 0.5)
+    assert pages.path_scores(leaves) == pytest.approx(want)
