@@ -8,10 +8,10 @@ space between words may differ. Text without white space has no words and stays.
 Texts are cut into content-defined chunks: a gear hash rolls over the bytes of the words, and a chunk ends at each word
 whose hash is the least of some ``reach`` neighbouring word ends. Ends depend on their neighbourhood alone, so an
 insertion changes the chunks around it only, and no chunk has over ``reach`` words. A passage that two texts share holds
-whole chunks, the same in both; so the digests of chunks find all texts that may share it. Of the chunks in the middle of
-a window of words the one with the least digest stands for it, which leaves about half of the chunks. A window is looked
-at only if its chunk stands in another document, and goes if its own hash does in an earlier one: that settles the edges
-word by word and proves that the passage stands there as a whole.
+runs of RUN whole chunks, the same in both; so the digests of such runs find all texts that may share it. Of the runs in
+the middle of a window of words the one with the least digest stands for it. A window is looked at only if its run stands
+in another document, and goes if its own hash does in an earlier one: that settles the edges word by word and proves that
+the passage stands there as a whole.
 """
 
 from __future__ import annotations
@@ -27,15 +27,17 @@ PASSAGE = 50
 GEAR = stream(256, 21)
 GEAR_BYTES = 8  # the gear hash knows the last eight bytes, so at most the last GEAR_WORDS words
 GEAR_WORDS = 4
+RUN = 3  # neighbouring chunks that are looked up as one
 
 
 def reach_of(size: int) -> int:
     """Neighbours among which a chunk's end has the least hash, for windows of ``size`` words.
 
     In a shared window the hashes agree behind the first GEAR_WORDS words, ends agree where all neighbours up to reach - 1
-    words away lie there too, and each stretch of reach words has an end. Twice that many words are left in the middle.
+    words away lie there too, and each stretch of reach words has an end. RUN + 1 times that many words are left in the
+    middle, so RUN whole chunks stand there.
     """
-    return max(1, (size - GEAR_WORDS) // 4)
+    return max(1, (size - GEAR_WORDS) // (RUN + 3))
 
 
 def gear(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -109,17 +111,17 @@ class Chunker:
         return begins, ends
 
     def names(self) -> np.ndarray:
-        """For the window at each word the least digest among the chunks in its middle."""
+        """For the window at each word the least digest among the runs of RUN chunks in its middle."""
         n, size = len(self.starts), self.size
-        if n < size:
-            return np.zeros(0, np.int64)
+        if n < size or len(self.chunk_start) < RUN:
+            return np.zeros(max(0, n - size + 1), np.int64)
         opened, closed = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
         opened[self.chunk_start + 1] = closed[self.chunk_end] = 1
         at = np.arange(n - size + 1)
         a = np.cumsum(opened)[at + GEAR_WORDS + self.reach]  # chunks that start before the middle
-        b = np.cumsum(closed)[at + size - self.reach]  # chunks that end by its end
+        b = np.cumsum(closed)[at + size - self.reach] - RUN + 1  # runs that end by its end
         out = np.zeros(len(at), np.int64)
-        span, level, width = b - a, self.digests, 1
+        span, level, width = b - a, self._sums(self.chunk_start[: len(self.chunk_start) - RUN + 1], self.chunk_end[RUN - 1 :]), 1
         while width <= span.max():
             # the least of each ``width`` neighbours covers spans up to twice that by two looks
             mine = np.flatnonzero((span >= width) & (span < 2 * width))
@@ -149,7 +151,7 @@ def _once(digests: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
 
 
 def chunk_digests(docs: DataFrame, size: int) -> DataFrame:
-    """(digest, doc_id): the chunks of every text that stand for a window, once a document."""
+    """(digest, doc_id): the runs of chunks of every text that stand for a window, once a document."""
 
     def run(batches):
         cut = Chunker(size)
@@ -162,7 +164,7 @@ def chunk_digests(docs: DataFrame, size: int) -> DataFrame:
 
 
 def shared_windows(joined: DataFrame, size: int) -> DataFrame:
-    """(digest, doc_id): hashes of the windows whose chunk is one of the row's ``__digests``."""
+    """(digest, doc_id): hashes of the windows whose run of chunks is one of the row's ``__digests``."""
 
     def run(batches):
         cut = Chunker(size)
@@ -211,7 +213,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     share a doc_id each is cut alike. An input column ``spans`` is replaced. An empty table gives no rows.
 
     Both steps shuffle (digest, doc_id) behind a map-side aggregate, and in a join, which Spark splits where a digest is
-    in very many documents. Chunks have about six words; window hashes are only made where a window's chunk repeats. Both joins of texts with their lists use the same columns, so that the texts are dealt once.
+    in very many documents. Chunks have about four words; window hashes are only made where a window's run of chunks repeats. Both joins of texts with their lists use the same columns, so that the texts are dealt once.
     """
     keyed, size = docs.drop("spans"), passage + 1
     columns = keyed.columns
