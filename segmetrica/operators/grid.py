@@ -117,11 +117,12 @@ def sweep(pooled: DataFrame, grid: Sequence[dict], n_resamples: int = 1000, seed
     """Rank formulas by a robust error: (metric, overall EER, interval upper bound, key). ``places`` rounds the scores first."""
     from ..session import materialize
 
-    long = score_grid(pooled, grid, ["file_id", "grp", "family", "label"])
+    # the pooled streams are read by every pass, so they are made once; formula scores are not stored
+    long = score_grid(materialize(pooled, "pooled"), grid, ["file_id", "grp", "family", "label"])
     if places is not None:
         long = long.withColumn("score", F.round("score", places))
     k = ["formula_id"]
-    # one table of counts serves all error rates; scores are computed again for each pass, never stored
+    # one table of counts serves all error rates
     rows = C.bucketed(long, k, "family")
     counts = materialize(C.bucket_counts(rows, k), "formula-counts")
     overall = materialize(C.summaries(rows, counts, k), "formula-summaries")
