@@ -123,7 +123,7 @@ def sweep(pooled: DataFrame, grid: Sequence[dict], n_resamples: int = 1000, seed
         long = long.withColumn("score", F.round("score", places))
     k = ["formula_id"]
     # one table of counts serves all error rates
-    rows = C.bucketed(long, k, "family")
+    rows = C.bucketed(long, k, "family", buckets=256)  # the table has formulas x families x buckets rows
     counts = materialize(C.bucket_counts(rows, k), "formula-counts")
     overall = materialize(C.summaries(rows, counts, k), "formula-summaries")
     worst = M.worst_family(C.family_crossings(rows, counts, k), overall, k, blend_weight)
